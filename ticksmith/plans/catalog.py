@@ -23,7 +23,7 @@ from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
 from ticksmith.sources import bars as bar_sources
 from ticksmith.sources import messages as msg_sources
-from ticksmith.streaming import pipeline, state_ema
+from ticksmith.streaming import pipeline, state_ema, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -333,6 +333,33 @@ def q_stream_ema(spark, sf_dir):
                       r6("ema_12").alias("ema_12"), r6("ema_26").alias("ema_26"))
 
 
+def q_recent_rows_sma(spark, sf_dir):
+    """SMA results published as messages, tailed into the recent-rows table, last 100."""
+    out = _run_pipeline(spark, sf_dir)
+    topic = scratch_path(spark, "topic-sma")
+    writers.publish(pipeline.read_result(spark, out, "sma"), path=topic)
+    root = scratch_path(spark, "tables")
+    qs = tail.start_tables({"sma": msg_sources.file_stream(spark, topic)}, root,
+                           trigger={"availableNow": True})
+    pipeline.run_available(qs)
+    rows = tail.latest_rows(spark, root, "sma", 100, order=("window_start",))
+    return rows.select(timefmt.to_wall_clock("window_start").alias("window_start"),
+                       timefmt.to_wall_clock("window_end").alias("window_end"),
+                       r6("sma_20").alias("sma_20"))
+
+
+def q_chart_macd(spark, sf_dir):
+    """MACD trio as the chart draws it: seeded on each symbol's last 100 rows."""
+    out = views.macd_series(_ticks(spark, sf_dir), TICK_KEYS, TICK_ORDER, lookback=100)
+    return _rounded(out, ["EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist"])
+
+
+def q_chart_rsi(spark, sf_dir):
+    """The chart's price-level RSI over each symbol's last 100 rows."""
+    out = views.price_level_rsi_series(_ticks(spark, sf_dir), TICK_KEYS, TICK_ORDER, lookback=100)
+    return _rounded(out, ["RSI"])
+
+
 QUERIES: dict[str, Query] = {
     "sliding_sma": q_sliding_sma,
     "sliding_bands": q_sliding_bands,
@@ -370,4 +397,7 @@ QUERIES: dict[str, Query] = {
     "stream_sliding_bands": q_stream_sliding_bands,
     "stream_passthrough": q_stream_passthrough,
     "stream_ema": q_stream_ema,
+    "recent_rows_sma": q_recent_rows_sma,
+    "chart_macd": q_chart_macd,
+    "chart_rsi": q_chart_rsi,
 }

@@ -98,6 +98,13 @@ _PRICE_RSI = (
 _SEQ = ("s AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, "
         "row_number() OVER (" + _W + ") AS rn FROM events WHERE value IS NOT NULL)")
 
+# The chart's visible slice: each symbol's last 100 rows, renumbered.
+_SLICE = ("s0 AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, "
+          "row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back "
+          "FROM events WHERE value IS NOT NULL), "
+          "s AS (SELECT symbol, ts, seq, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) "
+          "AS rn FROM s0 WHERE back <= 100)")
+
 
 def _ema_sql(span: int, out: str) -> str:
     a, q = _alpha(span), _q(span)
@@ -107,11 +114,11 @@ def _ema_sql(span: int, out: str) -> str:
             f"SELECT symbol, ts, seq, price, round(e, 6) AS {out} FROM r")
 
 
-def _macd_rec() -> str:
+def _macd_rec(src: str = _SEQ) -> str:
     a12, q12, a26, q26, a9, q9 = _alpha(12), _q(12), _alpha(26), _q(26), _alpha(9), _q(9)
     e12 = f"({a12} * s.price + {q12} * r.e12)"
     e26 = f"({a26} * s.price + {q26} * r.e26)"
-    return (f"{_SEQ}, r AS (SELECT symbol, ts, seq, price, rn, price AS e12, price AS e26, "
+    return (f"{src}, r AS (SELECT symbol, ts, seq, price, rn, price AS e12, price AS e26, "
             f"CAST(0 AS DOUBLE) AS sig FROM s WHERE rn = 1 "
             f"UNION ALL SELECT s.symbol, s.ts, s.seq, s.price, s.rn, {e12}, {e26}, "
             f"{a9} * ({e12} - {e26}) + {q9} * r.sig FROM r JOIN s ON s.symbol = r.symbol AND s.rn = r.rn + 1)")
@@ -244,4 +251,13 @@ ORACLE: dict[str, str] = {
     "stream_passthrough": ("SELECT timestamp, date, price, open, high, low, volume, change_percent "
                            f"FROM ({MSGS}) m"),
     "stream_ema": _EMA2,
+    "recent_rows_sma": ("SELECT * FROM (" + _sliding("sma", where=_STREAM_DONE) +
+                        ") z ORDER BY window_start DESC LIMIT 100"),
+    "chart_macd": f"WITH RECURSIVE {_macd_rec(_SLICE)} SELECT symbol, ts, seq, price, {_MACD_COLS} FROM r",
+    "chart_rsi": (
+        f"WITH {_SLICE}, m AS (SELECT *, avg(CASE WHEN price > 0 THEN price ELSE 0 END) OVER w AS pg, "
+        "-avg(CASE WHEN price < 0 THEN price ELSE 0 END) OVER w AS nl, count(price) OVER w AS n "
+        "FROM s WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)) "
+        "SELECT symbol, ts, seq, price, CASE WHEN n >= 14 THEN CASE WHEN nl > 0 THEN "
+        "round(100 - 100 / (1 + pg / nl), 6) WHEN pg > 0 THEN 100.0 END END AS RSI FROM m"),
 }
