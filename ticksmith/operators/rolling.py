@@ -46,12 +46,15 @@ def add_bollinger(b: DataFrame, w: WindowSpec, src: str, n: int, k: float,
                   middle: str = "BB_middle", upper: str = "BB_upper",
                   lower: str = "BB_lower") -> DataFrame:
     f = series.frame(w, n)
-    std = _full(src, f, n, F.stddev_samp)
-    return (b.withColumn(middle, _full(src, f, n, F.avg))
-            .withColumn("_bb_std", std)
-            .withColumn(upper, F.col(middle) + F.lit(k) * F.col("_bb_std"))
-            .withColumn(lower, F.col(middle) - F.lit(k) * F.col("_bb_std"))
-            .drop("_bb_std"))
+    x = F.col(src)
+    b = (b.withColumn("_bb_n", F.count(x).over(f))
+         .withColumn("_bb_avg", F.avg(x).over(f))
+         .withColumn("_bb_std", F.stddev_samp(x).over(f)))
+    full = F.col("_bb_n") >= n
+    return (b.withColumn(middle, F.when(full, F.col("_bb_avg")))
+            .withColumn(upper, F.col(middle) + F.lit(k) * F.when(full, F.col("_bb_std")))
+            .withColumn(lower, F.col(middle) - F.lit(k) * F.when(full, F.col("_bb_std")))
+            .drop("_bb_n", "_bb_avg", "_bb_std"))
 
 
 def rsi_from_means(avg_gain: Column, avg_loss: Column) -> Column:
@@ -70,9 +73,12 @@ def add_rsi(b: DataFrame, w: WindowSpec, src: str, n: int, out: str) -> DataFram
     gain = F.when(F.col(d) > 0, F.col(d)).otherwise(F.lit(0.0))
     loss = F.when(F.col(d) < 0, -F.col(d)).otherwise(F.lit(0.0))
     f = series.frame(w, n)
-    return (b.withColumn(out, F.when(F.count(F.lit(1)).over(f) >= n,
-                                     rsi_from_means(F.avg(gain).over(f), F.avg(loss).over(f))))
-            .drop(d))
+    b = (b.withColumn("_rsi_n", F.count(F.lit(1)).over(f))
+         .withColumn("_rsi_gain", F.avg(gain).over(f))
+         .withColumn("_rsi_loss", F.avg(loss).over(f)))
+    rsi = rsi_from_means(F.col("_rsi_gain"), F.col("_rsi_loss"))
+    return (b.withColumn(out, F.when(F.col("_rsi_n") >= n, rsi))
+            .drop(d, "_rsi_n", "_rsi_gain", "_rsi_loss"))
 
 
 def add_price_level_rsi(b: DataFrame, w: WindowSpec, src: str, n: int, out: str) -> DataFrame:
@@ -83,9 +89,11 @@ def add_price_level_rsi(b: DataFrame, w: WindowSpec, src: str, n: int, out: str)
     """
     p = F.col(src)
     f = series.frame(w, n)
-    pos = F.avg(F.when(p > 0, p).otherwise(F.lit(0.0))).over(f)
-    neg = -F.avg(F.when(p < 0, p).otherwise(F.lit(0.0))).over(f)
-    return b.withColumn(out, F.when(F.count(p).over(f) >= n, rsi_from_means(pos, neg)))
+    b = (b.withColumn("_pl_n", F.count(p).over(f))
+         .withColumn("_pl_pos", F.avg(F.when(p > 0, p).otherwise(F.lit(0.0))).over(f))
+         .withColumn("_pl_neg", -F.avg(F.when(p < 0, p).otherwise(F.lit(0.0))).over(f)))
+    rsi = rsi_from_means(F.col("_pl_pos"), F.col("_pl_neg"))
+    return b.withColumn(out, F.when(F.col("_pl_n") >= n, rsi)).drop("_pl_n", "_pl_pos", "_pl_neg")
 
 
 # ---------------------------------------------------------------- public API

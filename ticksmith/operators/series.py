@@ -57,8 +57,12 @@ def _names(cols: str | Sequence[str]) -> list[str]:
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Number of range partitions: the session's shuffle partition count."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Number of range partitions: the larger of the session's shuffle
+    partition count and the input's own partition count (scan splits of
+    ``spark.sql.files.maxPartitionBytes``), so partitions keep their size as
+    the input grows. Planning only; no job runs."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, df.rdd.getNumPartitions())
 
 
 def with_global_position(df: DataFrame, keys: str | Sequence[str],

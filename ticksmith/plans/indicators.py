@@ -42,8 +42,9 @@ def indicator_frame(df: DataFrame, price: str = "price",
     block = ema.block_rows_for([MACD_FAST, MACD_SLOW, MACD_SIGNAL], halo)
     b, w = series.blocked(df.filter(F.col(price).isNotNull()), keys, order, halo, block)
     b = rolling.add_rsi(b, w, price, RSI_N, "RSI")
-    b = rolling.add_rolling_mean(b, w, price, SMA_FAST, "SMA_20")
     b = rolling.add_rolling_mean(b, w, price, SMA_SLOW, "SMA_50")
     b = rolling.add_bollinger(b, w, price, BB_N, BB_K)
+    # SMA_20 is the band middle (same frame, same guard): computed once.
+    b = b.withColumn("SMA_20", F.col("BB_middle"))
     b = ema.add_macd(ema.add_index(b, w), w, price, MACD_FAST, MACD_SLOW, MACD_SIGNAL)
-    return series.finish(b.drop(ema.J))
+    return series.finish(b.drop(ema.J)).select(*df.columns, *FRAME_COLUMNS)
