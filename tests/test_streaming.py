@@ -131,3 +131,42 @@ def test_kafka_options():
     assert o["subscribe"] == "bitcoin_data" and o["startingOffsets"] == "earliest"
     assert o["failOnDataLoss"] == "false" and o["kafka.group.id"] == "bitcoin-spark-processor"
     assert o["maxOffsetsPerTrigger"] == "100"
+
+
+def test_await_all_raises_first_failure_and_stops_others(spark, scratch):
+    import pytest
+    src_dir = f"{scratch}/in"
+    _write_batches(src_dir, ORDER[:1])
+    ok = (msg_sources.file_stream(spark, src_dir).writeStream.format("memory").queryName("alive")
+          .option("checkpointLocation", f"{scratch}/ck1").trigger(processingTime="1 second").start())
+
+    def boom(df, batch_id):
+        raise RuntimeError("sink down")
+
+    bad = (msg_sources.file_stream(spark, src_dir).writeStream.foreachBatch(boom)
+           .option("checkpointLocation", f"{scratch}/ck2").start())
+    with pytest.raises(RuntimeError, match="failed"):
+        pipeline.await_all(spark, [ok, bad], timeout=120)
+    assert not ok.isActive and not bad.isActive
+
+
+def test_result_tables_from_topic_messages(spark, scratch):
+    import pytest
+    from ticksmith.streaming import tail
+    topic = f"{scratch}/topic"
+    os.makedirs(topic)
+    rows = [{"window_start": f"2024-01-01T00:0{i}:00.000Z", "window_end": f"2024-01-01T00:0{i + 5}:00.000Z",
+             "sma_20": float(i)} for i in range(4)]
+    with open(f"{topic}/m.json", "w") as f:
+        for r in rows:
+            f.write(json.dumps(r) + "\n")
+        f.write(json.dumps(json.dumps(rows[0] | {"sma_20": 9.0})) + "\n")  # double-encoded
+    qs = tail.start_tables({"sma": msg_sources.file_stream(spark, topic)}, f"{scratch}/tables",
+                           trigger={"availableNow": True})
+    pipeline.run_available(qs)
+    last = tail.latest_rows(spark, f"{scratch}/tables", "sma", 2, order=("window_start", "sma_20"))
+    assert [r.sma_20 for r in last.orderBy("window_start").collect()] == [2.0, 3.0]
+    table = spark.read.parquet(f"{scratch}/tables/sma")
+    assert table.count() == 5 and "processed_at" in table.columns
+    with pytest.raises(ValueError):
+        tail.latest_rows(spark, f"{scratch}/tables", "volume")

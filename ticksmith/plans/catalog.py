@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from ticksmith.functions import codec, text, timefmt
 from ticksmith.operators import ema, latest as L, rolling, timewin
 from ticksmith.plans import fixtures, normalize, views
-from ticksmith.plans.indicators import indicator_frame
+from ticksmith.plans.indicators import FRAME_COLUMNS, indicator_frame
 from ticksmith.schema import BAR_MESSAGE
 from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
@@ -65,6 +65,13 @@ def _bar_messages(spark, sf_dir) -> DataFrame:
     return normalize.to_messages(b, sent_at=F.col("date"), keep=["symbol"])
 
 
+BAR_EVENT_SCHEMA = StructType([
+    StructField("event_id", LongType()), StructField("ts", StringType()),
+    StructField("event_type", StringType()), StructField("value", DoubleType()),
+    StructField("props", StructType([StructField("k", LongType())])),
+])
+
+
 # ---------------------------------------------------------------- time windows
 
 def q_sliding_sma(spark, sf_dir):
@@ -126,7 +133,6 @@ def q_macd(spark, sf_dir):
 
 
 def q_indicator_frame(spark, sf_dir):
-    from ticksmith.plans.indicators import FRAME_COLUMNS
     return _rounded(indicator_frame(_ticks(spark, sf_dir)), FRAME_COLUMNS)
 
 
@@ -195,13 +201,6 @@ def q_export_csv(spark, sf_dir):
     return views.read_export(spark, path, schema)
 
 
-BAR_EVENT_SCHEMA = StructType([
-    StructField("event_id", LongType()), StructField("ts", StringType()),
-    StructField("event_type", StringType()), StructField("value", DoubleType()),
-    StructField("props", StructType([StructField("k", LongType())])),
-])
-
-
 # ---------------------------------------------------------------- parsing / normalising
 
 def q_normalize_prices(spark, sf_dir):
