@@ -284,12 +284,14 @@ def _message_files(spark, sf_dir) -> str:
     return path
 
 
-def _run_pipeline(spark, sf_dir) -> pipeline.Outputs:
+def _run_pipeline(spark, sf_dir, processed: bool = False, indicators: bool = True) -> pipeline.Outputs:
+    """Publish the tick messages as files, then run the streaming pipeline over them."""
     _utc(spark)
     src = msg_sources.file_stream(spark, _message_files(spark, sf_dir))
     streams = pipeline.indicator_streams(src)
     out = pipeline.Outputs(root=scratch_path(spark, "stream"))
-    pipeline.run_available(pipeline.start(streams, out, trigger={"availableNow": True}))
+    pipeline.run_available(pipeline.start(streams, out, trigger={"availableNow": True},
+                                          processed=processed, indicators=indicators))
     return out
 
 
@@ -309,7 +311,7 @@ def q_stream_sliding_bands(spark, sf_dir):
 
 
 def q_stream_passthrough(spark, sf_dir):
-    out = _run_pipeline(spark, sf_dir)
+    out = _run_pipeline(spark, sf_dir, processed=True, indicators=False)
     res = pipeline.read_result(spark, out, "processed")
     return codec.decode_frame(res, BAR_MESSAGE)
 

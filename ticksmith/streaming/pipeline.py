@@ -82,8 +82,8 @@ class Outputs:
 
 
 def start(streams: IndicatorStreams, out: Outputs, trigger: dict | None = None,
-          processed: bool = True) -> list[StreamingQuery]:
-    """Start the pass-through query and the fused indicator query."""
+          processed: bool = True, indicators: bool = True) -> list[StreamingQuery]:
+    """Start the pass-through query and/or the fused indicator query."""
     trigger = trigger or {"processingTime": "1 second"}
     queries = []
     if processed:
@@ -95,6 +95,8 @@ def start(streams: IndicatorStreams, out: Outputs, trigger: dict | None = None,
                                     path=out.path("processed"))
         queries.append(w.trigger(**trigger).start())
 
+    if not indicators:
+        return queries
     keys = streams.keys
 
     def split(batch: DataFrame) -> dict[str, DataFrame]:
