@@ -34,9 +34,9 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(_c(c), _WS, "")
 
 
-def py_float(c: str | Column) -> Column:
+def py_float(c: str | Column, stripped: bool = False) -> Column:
     """``float(text)`` or NULL where Python would raise."""
-    s = strip(c)
+    s = _c(c) if stripped else strip(c)
     return F.when(s.rlike(_PY_FLOAT), s.try_cast("double"))
 
 
@@ -54,6 +54,25 @@ def parse_percent(c: str | Column) -> Column:
     return nan_to_null(py_float(F.regexp_replace(_c(c), "%", "")))
 
 
+def volume_parts(c: str | Column) -> tuple[Column, Column]:
+    """Volume text -> (number text, factor): the first suffix found sets both.
+
+    Separate from the parse so a projection can compute it once per cell.
+    """
+    s = strip(c)
+    body, factor = None, None
+    for letter, f in VOLUME_SUFFIXES:
+        b = F.replace(s, F.lit(letter), F.lit(""))
+        body = F.when(s.contains(letter), b) if body is None else body.when(s.contains(letter), b)
+        factor = (F.when(s.contains(letter), F.lit(f)) if factor is None
+                  else factor.when(s.contains(letter), F.lit(f)))
+    return strip(body.otherwise(F.replace(s, F.lit(","), F.lit("")))), factor.otherwise(F.lit(1.0))
+
+
+def volume_from_parts(body: str | Column, factor: str | Column) -> Column:
+    return F.coalesce(py_float(body, stripped=True) * _c(factor), F.lit(0.0))
+
+
 def parse_volume(c: str | Column) -> Column:
     """Volume text with an optional K/M/B suffix -> double; missing/bad -> 0.0.
 
@@ -71,7 +90,8 @@ def parse_volume(c: str | Column) -> Column:
     return F.coalesce(parsed, F.lit(0.0))
 
 
-def parse_market_date(c: str | Column, formats: list[str] | None = None) -> Column:
+def parse_market_date(c: str | Column, formats: list[str] | None = None,
+                      stripped: bool = False) -> Column:
     """First layout that parses wins; NULL when none does."""
-    s = strip(c)
+    s = _c(c) if stripped else strip(c)
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in (formats or DATE_FORMATS)])

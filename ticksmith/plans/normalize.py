@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ticksmith.functions import text, timefmt
 from ticksmith.schema import BAR_FIELDS, CSV_COLUMNS
 
+# The CSV price cells (thousands separators, no suffix).
+PRICE_CELLS = ["Price", "Open", "High", "Low"]
+
 
 def normalize_csv_bars(raw: DataFrame, sort: bool = True,
                        tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -24,17 +27,26 @@ def normalize_csv_bars(raw: DataFrame, sort: bool = True,
     Extra columns are kept as they are and, like the typed ones, a NULL or
     NaN in any of them drops the row. Volume never drops a row: bad or
     missing volume is 0.0.
+
+    Two projections: the first cleans each cell once (strip, separators,
+    suffix), the second parses the cleaned text. Kept apart, every regular
+    expression runs once per cell and the generated code stays small.
     """
     extra = [c for c in raw.columns if c not in CSV_COLUMNS]
-    typed = raw.select(
+    vol_body, vol_factor = text.volume_parts(F.col("`Vol.`"))
+    cleaned = raw.select(
+        *[F.col(f"`{c}`") for c in extra],
+        text.strip("Date").alias("_date"),
+        *[text.strip(F.regexp_replace(F.col(c), ",", "")).alias(f"_{c}") for c in PRICE_CELLS],
+        vol_body.alias("_vol"), vol_factor.alias("_vol_f"),
+        text.strip(F.regexp_replace(F.col("`Change %`"), "%", "")).alias("_chg"),
+    )
+    typed = cleaned.select(
         *[F.col(f"`{c}`") for c in extra],
-        text.parse_market_date("Date").alias("date"),
-        text.parse_number("Price").alias("price"),
-        text.parse_number("Open").alias("open"),
-        text.parse_number("High").alias("high"),
-        text.parse_number("Low").alias("low"),
-        text.parse_volume(F.col("`Vol.`")).alias("volume"),
-        text.parse_percent(F.col("`Change %`")).alias("change_percent"),
+        text.parse_market_date("_date", stripped=True).alias("date"),
+        *[text.nan_to_null(text.py_float(f"_{c}", stripped=True)).alias(c.lower()) for c in PRICE_CELLS],
+        text.volume_from_parts("_vol", "_vol_f").alias("volume"),
+        text.nan_to_null(text.py_float("_chg", stripped=True)).alias("change_percent"),
     ).na.drop(how="any")
     if sort:
         typed = typed.orderBy("date", *(tiebreak or extra))
