@@ -170,3 +170,12 @@ def test_result_tables_from_topic_messages(spark, scratch):
     assert table.count() == 5 and "processed_at" in table.columns
     with pytest.raises(ValueError):
         tail.latest_rows(spark, f"{scratch}/tables", "volume")
+
+
+def test_result_topic_options():
+    import pytest
+    o = msg_sources.result_topic_options("k:9092", "sma")
+    assert o["subscribe"] == "bitcoin_sma" and o["kafka.group.id"] == "bitcoin_consumers_bitcoin_sma"
+    assert o["startingOffsets"] == "earliest"
+    with pytest.raises(ValueError):
+        msg_sources.result_topic_options("k:9092", "volume")

@@ -19,6 +19,7 @@ from ticksmith.schema import RESULT_SCHEMAS
 INPUT_TOPIC = "bitcoin_data"
 RESULT_TOPICS = {"price": "bitcoin_processed", "sma": "bitcoin_sma", "bb": "bitcoin_bb"}
 ENGINE_GROUP = "bitcoin-spark-processor"
+CONSUMER_GROUP_PREFIX = "bitcoin_consumers_"
 
 
 def kafka_options(servers: str, topic: str, group_id: str | None = ENGINE_GROUP,
@@ -59,6 +60,20 @@ def file_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("text").load(path)
 
 
+def result_topic_options(servers: str, kind: str) -> dict[str, str]:
+    """Reader options of one result topic: earliest offsets, its own consumer group."""
+    if kind not in RESULT_TOPICS:
+        raise ValueError(f"unknown result kind: {kind!r}")
+    topic = RESULT_TOPICS[kind]
+    return kafka_options(servers, topic, group_id=f"{CONSUMER_GROUP_PREFIX}{topic}")
+
+
+def result_stream(spark: SparkSession, servers: str, kind: str) -> DataFrame:
+    """Typed rows of one result topic, as a stream (feeds a recent-rows table)."""
+    raw = spark.readStream.format("kafka").options(**result_topic_options(servers, kind)).load()
+    return decode_results(raw.select(F.col("value").cast("string").alias("value")), kind)
+
+
 def decode_results(messages: DataFrame, kind: str, schema: StructType | None = None) -> DataFrame:
     """Result-topic messages -> typed rows of that topic's schema.
 
