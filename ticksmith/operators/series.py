@@ -50,6 +50,9 @@ _ROWS = "_rows"
 _ROW_MASK = (1 << 33) - 1
 
 DEFAULT_BLOCK_ROWS = 1 << 14
+# Upper bound on range partitions: bounds the start-offset broadcast (12 bytes
+# per partition) and the file count of the positions table.
+MAX_RANGE_PARTITIONS = 100_000
 
 
 def _names(cols: str | Sequence[str]) -> list[str]:
@@ -60,12 +63,14 @@ def range_partitions(df: DataFrame) -> int:
     """Number of range partitions: the larger of the session's shuffle
     partition count and the input's own partition count (scan splits of
     ``spark.sql.files.maxPartitionBytes``), so partitions keep their size as
-    the input grows. Planning only; no job runs."""
+    the input grows; capped at ``MAX_RANGE_PARTITIONS``. Planning only; no
+    job runs."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     try:
-        return max(configured, df.rdd.getNumPartitions())
+        n = max(configured, df.rdd.getNumPartitions())
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
-        return configured
+        n = configured
+    return min(n, MAX_RANGE_PARTITIONS)
 
 
 def with_global_position(df: DataFrame, keys: str | Sequence[str],
