@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # What Python's float() accepts, without digit underscores.
 _PY_FLOAT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 # Python's str.strip() whitespace (ASCII part).
-_WS = r"^[\s\x0b\x0c]+|[\s\x0b\x0c]+$"
+_WS = " \t\n\r\x0b\x0c"
 
 # Volume suffixes in the order they are tested, and their factors.
 VOLUME_SUFFIXES = [("K", 1e3), ("M", 1e6), ("B", 1e9)]
@@ -31,27 +31,32 @@ def _c(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(_c(c), _WS, "")
+    return F.btrim(_c(c), F.lit(_WS))
 
 
 def py_float(c: str | Column, stripped: bool = False) -> Column:
-    """``float(text)`` or NULL where Python would raise."""
+    """``float(text)`` or NULL where Python would raise.
+
+    The text is referenced once: a failed full match extracts ``""``, which
+    casts to NULL. (``when(rlike(s), cast(s))`` would evaluate ``s`` twice:
+    Spark does not share subexpressions across conditional branches.)
+    """
     s = _c(c) if stripped else strip(c)
-    return F.when(s.rlike(_PY_FLOAT), s.try_cast("double"))
+    return F.regexp_extract(s, _PY_FLOAT, 0).try_cast("double")
 
 
 def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def parse_number(c: str | Column) -> Column:
     """Thousands separators removed, then a number; unparseable -> NULL."""
-    return nan_to_null(py_float(F.regexp_replace(_c(c), ",", "")))
+    return nan_to_null(py_float(F.replace(_c(c), F.lit(","), F.lit(""))))
 
 
 def parse_percent(c: str | Column) -> Column:
     """``"4.96%"`` -> 4.96; unparseable -> NULL."""
-    return nan_to_null(py_float(F.regexp_replace(_c(c), "%", "")))
+    return nan_to_null(py_float(F.replace(_c(c), F.lit("%"), F.lit(""))))
 
 
 def volume_parts(c: str | Column) -> tuple[Column, Column]:

@@ -37,9 +37,9 @@ def normalize_csv_bars(raw: DataFrame, sort: bool = True,
     cleaned = raw.select(
         *[F.col(f"`{c}`") for c in extra],
         text.strip("Date").alias("_date"),
-        *[text.strip(F.regexp_replace(F.col(c), ",", "")).alias(f"_{c}") for c in PRICE_CELLS],
+        *[text.strip(F.replace(F.col(c), F.lit(","), F.lit(""))).alias(f"_{c}") for c in PRICE_CELLS],
         vol_body.alias("_vol"), vol_factor.alias("_vol_f"),
-        text.strip(F.regexp_replace(F.col("`Change %`"), "%", "")).alias("_chg"),
+        text.strip(F.replace(F.col("`Change %`"), F.lit("%"), F.lit(""))).alias("_chg"),
     )
     typed = cleaned.select(
         *[F.col(f"`{c}`") for c in extra],
