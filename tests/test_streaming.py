@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ticksmith.functions import timefmt
@@ -179,3 +180,39 @@ def test_result_topic_options():
     assert o["startingOffsets"] == "earliest"
     with pytest.raises(ValueError):
         msg_sources.result_topic_options("k:9092", "volume")
+
+
+@pytest.mark.parametrize("block", [None, 50])
+def test_batch_ema_continues_across_micro_batches(spark, scratch, block):
+    from ticksmith.streaming import batch_ema
+    rng = np.random.default_rng(5)
+    n = 900
+    pdf = pd.DataFrame({"symbol": np.where(rng.uniform(size=n) < 0.8, "HOT", "cold"),
+                        "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="s"),
+                        "seq": np.arange(n), "price": rng.uniform(1, 100, n)})
+    src = f"{scratch}/ticks"
+    os.makedirs(src)
+    base = time.time() - 1000
+    for i, part in enumerate(np.array_split(pdf, 3)):
+        p = f"{src}/p{i}.parquet"
+        part.to_parquet(p, index=False, coerce_timestamps="us")
+        os.utime(p, (base + i, base + i))
+    late = pdf.iloc[[10]].copy()
+    late["seq"] = 10_000
+    late.to_parquet(f"{src}/p9.parquet", index=False, coerce_timestamps="us")
+    os.utime(f"{src}/p9.parquet", (base + 9, base + 9))
+    schema = spark.read.parquet(f"{src}/p0.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    root = f"{scratch}/ema"
+    q = (stream.writeStream.foreachBatch(batch_ema.writer(root, (12, 26), block_rows=block))
+         .option("checkpointLocation", f"{root}/_ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = batch_ema.read_output(spark, root).toPandas().sort_values(["symbol", "seq"])
+    assert len(got) == n  # late row dropped
+    for sym, g in pdf.groupby("symbol"):
+        g = g.sort_values("seq")
+        for span in (12, 26):
+            e = g["price"].ewm(span=span, adjust=False).mean().to_numpy()
+            assert np.allclose(got[got.symbol == sym][f"ema_{span}"].to_numpy(), e, rtol=1e-11)
+    state = spark.read.parquet(f"{root}/state/batch=3").toPandas()
+    assert sorted(state["symbol"]) == ["HOT", "cold"] and state["seq"].max() == n - 1

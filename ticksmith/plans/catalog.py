@@ -23,7 +23,7 @@ from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
 from ticksmith.sources import bars as bar_sources
 from ticksmith.sources import messages as msg_sources
-from ticksmith.streaming import pipeline, state_ema, tail
+from ticksmith.streaming import batch_ema, pipeline, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -317,20 +317,24 @@ def q_stream_passthrough(spark, sf_dir):
 
 
 def q_stream_ema(spark, sf_dir):
+    """Ticks as a stream; EMA 12/26 per symbol continued across micro-batches.
+
+    Each micro-batch runs the skew-safe blocked EMA and continues every symbol
+    from the previous batch's state table, so one batch may hold any amount of
+    history without putting a symbol in one task.
+    """
     _utc(spark)
     src_schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = (spark.readStream.schema(src_schema).parquet(f"{sf_dir}/events*.parquet")
-              .select(F.col("event_type").alias("symbol"),
-                      timefmt.to_event_time("ts").alias("ts"),
+              .select(F.col("event_type").alias("symbol"), "ts",
                       F.col("event_id").alias("seq"), F.col("value").alias("price")))
-    res = state_ema.streaming_ema(stream, spans=(12, 26))
     root = scratch_path(spark, "stream-ema")
-    q = (res.writeStream.outputMode("append").format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
+    q = (stream.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26)))
+         .option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     pipeline.run_available([q])
-    got = spark.read.parquet(f"{root}/out")
-    return got.select("symbol", timefmt.to_wall_clock("ts").alias("ts"), "seq", "price",
+    got = batch_ema.read_output(spark, root)
+    return got.select("symbol", "ts", "seq", "price",
                       r6("ema_12").alias("ema_12"), r6("ema_26").alias("ema_26"))
 
 
