@@ -216,3 +216,19 @@ def test_batch_ema_continues_across_micro_batches(spark, scratch, block):
             assert np.allclose(got[got.symbol == sym][f"ema_{span}"].to_numpy(), e, rtol=1e-11)
     state = spark.read.parquet(f"{root}/state/batch=3").toPandas()
     assert sorted(state["symbol"]) == ["HOT", "cold"] and state["seq"].max() == n - 1
+
+
+def test_quarantine_branch(spark, scratch):
+    src_dir = f"{scratch}/in"
+    os.makedirs(src_dir)
+    with open(f"{src_dir}/m.json", "w") as f:
+        f.write('{"timestamp":"2024-01-01T00:00:00","price":1.0}\nnot json\n{}\n')
+    streams = pipeline.indicator_streams(msg_sources.file_stream(spark, src_dir), quarantine=True)
+    out = pipeline.Outputs(root=f"{scratch}/out")
+    pipeline.run_available(pipeline.start(streams, out, trigger={"availableNow": True}, indicators=False))
+    from ticksmith.functions.codec import decode_frame
+    from ticksmith.schema import BAR_MESSAGE
+    processed = decode_frame(pipeline.read_result(spark, out, "processed"), BAR_MESSAGE)
+    assert [r.price for r in processed.collect()] == [1.0]
+    rejected = sorted(r.value for r in spark.read.parquet(out.path("rejected")).collect())
+    assert rejected == ["not json", "{}"]

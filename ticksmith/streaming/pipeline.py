@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ticksmith.functions import timefmt
-from ticksmith.functions.codec import decode_frame
+from ticksmith.functions.codec import decode_frame, with_quarantine
 from ticksmith.operators import timewin
 from ticksmith.schema import BAR_MESSAGE
 from ticksmith.sinks import writers
@@ -43,6 +43,7 @@ class IndicatorStreams:
     processed: DataFrame          # decoded rows, stateless
     stats: DataFrame              # fused windowed aggregate (watermarked)
     keys: tuple[str, ...] = ()
+    rejected: DataFrame | None = None   # undecodable messages, when quarantined
 
     @property
     def sma(self) -> DataFrame:
@@ -57,12 +58,20 @@ def indicator_streams(messages: DataFrame, schema: StructType = BAR_MESSAGE,
                       event_time: str = "timestamp", value: str = "price",
                       watermark: str = WATERMARK, duration: str = timewin.WINDOW,
                       slide: str = timewin.SLIDE, k: float = timewin.BAND_K,
-                      keys: tuple[str, ...] = ()) -> IndicatorStreams:
-    """Plans (not started) for a ``value`` message stream."""
+                      keys: tuple[str, ...] = (), quarantine: bool = False) -> IndicatorStreams:
+    """Plans (not started) for a ``value`` message stream.
+
+    ``quarantine=True`` keeps messages that decode to nothing out of the
+    pass-through (which would otherwise carry them as ``{}``) and routes their
+    original text to a ``rejected`` stream instead.
+    """
     parsed = decode_frame(messages, schema)
     timed = (parsed.select(*keys, timefmt.parse_event_time(event_time).alias(event_time), value)
              .withWatermark(event_time, watermark))
     stats = timewin.window_stats(timed, event_time, value, duration, slide, k, keys)
+    if quarantine:
+        good, bad = with_quarantine(messages, schema)
+        return IndicatorStreams(processed=good, stats=stats, keys=keys, rejected=bad)
     return IndicatorStreams(processed=parsed, stats=stats, keys=keys)
 
 
@@ -93,6 +102,10 @@ def start(streams: IndicatorStreams, out: Outputs, trigger: dict | None = None,
             w = writers.stream_sink(streams.processed, checkpoint=out.checkpoint("processed"),
                                     path=out.path("processed"))
         queries.append(w.trigger(**trigger).start())
+        if streams.rejected is not None:
+            queries.append(writers.stream_sink(streams.rejected, checkpoint=out.checkpoint("rejected"),
+                                               path=out.path("rejected"), encode=False)
+                           .trigger(**trigger).start())
 
     if not indicators:
         return queries
