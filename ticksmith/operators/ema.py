@@ -15,8 +15,10 @@ code-generated, no Python. Two facts make it scale:
   first (halo) row with ``y = x``; by the first real row that seed's weight
   is below the tolerance. A block that holds the series' first row seeds
   exactly like pandas.
-* ``q^(-i)`` must stay finite: group length times ``|ln q|`` is kept under
-  600, which fixes the block size per set of spans.
+* The powers must stay finite. The exponent is centred: rows use
+  ``q^-(i-c)`` and ``q^(j-c)`` with ``c = 600/|ln q|``, so every power lies in
+  ``e^±600`` for a group of up to ``2c`` rows; that fixes the block size per
+  set of spans.
 
 Rows with a NULL input are dropped before the recursion (pandas would decay
 across gaps instead; the normalised feeds never contain NULL prices).
@@ -52,13 +54,18 @@ def lookback(span: float, tol: float = TOLERANCE) -> int:
     return int(math.ceil(math.log(tol) / math.log(q)))
 
 
+def _centre(q: float) -> int:
+    """Exponent centre: powers ``q^(j-c)`` stay within ``e^±600`` for ``j <= 2c``."""
+    return int(_MAX_EXPONENT / -math.log(q))
+
+
 def block_rows_for(spans: Sequence[float], halo: int,
                    cap: int = series.DEFAULT_BLOCK_ROWS) -> int:
-    """Largest block keeping ``q^-(block + halo)`` finite for every span."""
+    """Largest block whose groups (block + halo rows) keep every power finite."""
     qs = [1.0 - alpha(s) for s in spans if 1.0 - alpha(s) > 0.0]
     if not qs:
         return cap
-    group = int(_MAX_EXPONENT / max(-math.log(q) for q in qs))
+    group = 2 * min(_centre(q) for q in qs)
     return max(16, min(cap, group - halo))
 
 
@@ -75,10 +82,11 @@ def add_ema(b: DataFrame, w: WindowSpec, src: str, span: float, out: str) -> Dat
     if q <= 0.0:
         return b.withColumn(out, x)
     j = F.col(J)
+    shifted = j - F.lit(_centre(q))
     weight = F.when(j == 0, x).otherwise(F.lit(a) * x)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    acc = F.sum(weight * F.pow(F.lit(q), -j)).over(running)
-    return b.withColumn(out, acc * F.pow(F.lit(q), j))
+    acc = F.sum(weight * F.pow(F.lit(q), -shifted)).over(running)
+    return b.withColumn(out, acc * F.pow(F.lit(q), shifted))
 
 
 def add_macd(b: DataFrame, w: WindowSpec, src: str, fast: float = 12, slow: float = 26,
