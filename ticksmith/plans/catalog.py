@@ -290,8 +290,9 @@ def _run_pipeline(spark, sf_dir, processed: bool = False, indicators: bool = Tru
     src = msg_sources.file_stream(spark, _message_files(spark, sf_dir))
     streams = pipeline.indicator_streams(src)
     out = pipeline.Outputs(root=scratch_path(spark, "stream"))
-    pipeline.run_available(pipeline.start(streams, out, trigger={"availableNow": True},
-                                          processed=processed, indicators=indicators))
+    pipeline.run_available(pipeline.start(
+        streams, out, trigger={"availableNow": True}, processed=processed, indicators=indicators,
+        state_partitions=pipeline.default_state_partitions(spark)))
     return out
 
 
@@ -329,9 +330,10 @@ def q_stream_ema(spark, sf_dir):
               .select(F.col("event_type").alias("symbol"), "ts",
                       F.col("event_id").alias("seq"), F.col("value").alias("price")))
     root = scratch_path(spark, "stream-ema")
-    q = (stream.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26)))
-         .option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(availableNow=True).start())
+    with pipeline.shuffle_partitions(spark, pipeline.default_state_partitions(spark)):
+        q = (stream.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26)))
+             .option("checkpointLocation", f"{root}/_checkpoint")
+             .trigger(availableNow=True).start())
     pipeline.run_available([q])
     got = batch_ema.read_output(spark, root)
     return got.select("symbol", "ts", "seq", "price",
@@ -344,8 +346,9 @@ def q_recent_rows_sma(spark, sf_dir):
     topic = scratch_path(spark, "topic-sma")
     writers.publish(pipeline.read_result(spark, out, "sma"), path=topic)
     root = scratch_path(spark, "tables")
-    qs = tail.start_tables({"sma": msg_sources.file_stream(spark, topic)}, root,
-                           trigger={"availableNow": True})
+    with pipeline.shuffle_partitions(spark, pipeline.default_state_partitions(spark)):
+        qs = tail.start_tables({"sma": msg_sources.file_stream(spark, topic)}, root,
+                               trigger={"availableNow": True})
     pipeline.run_available(qs)
     rows = tail.latest_rows(spark, root, "sma", 100, order=("window_start",))
     return rows.select(timefmt.to_wall_clock("window_start").alias("window_start"),

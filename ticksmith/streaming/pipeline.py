@@ -22,6 +22,7 @@ in). Shuffle partitions of a stateful query are fixed by its checkpoint.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,9 +90,43 @@ class Outputs:
         return f"{self.root}/_checkpoints/{name}"
 
 
+def default_state_partitions(spark: SparkSession) -> int:
+    """One state store per core of the cluster (the default parallelism)."""
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, n: int | None):
+    """Queries started inside use ``n`` shuffle (and state) partitions.
+
+    A streaming query snapshots the session's settings when it starts and a
+    stateful one keeps the partition count for the life of its checkpoint,
+    so the count is chosen here, once, instead of inherited by accident.
+    """
+    if n is None:
+        yield
+        return
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def start(streams: IndicatorStreams, out: Outputs, trigger: dict | None = None,
-          processed: bool = True, indicators: bool = True) -> list[StreamingQuery]:
+          processed: bool = True, indicators: bool = True,
+          state_partitions: int | None = None) -> list[StreamingQuery]:
     """Start the pass-through query and/or the fused indicator query."""
+    with shuffle_partitions(streams.stats.sparkSession, state_partitions):
+        return _start(streams, out, trigger, processed, indicators)
+
+
+def _start(streams: IndicatorStreams, out: Outputs, trigger: dict | None,
+           processed: bool, indicators: bool) -> list[StreamingQuery]:
     trigger = trigger or {"processingTime": "1 second"}
     queries = []
     if processed:
