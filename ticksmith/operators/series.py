@@ -60,17 +60,20 @@ def _names(cols: str | Sequence[str]) -> list[str]:
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Number of range partitions: the larger of the session's shuffle
-    partition count and the input's own partition count (scan splits of
-    ``spark.sql.files.maxPartitionBytes``), so partitions keep their size as
-    the input grows; capped at ``MAX_RANGE_PARTITIONS``. Planning only; no
-    job runs."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Number of range partitions, from the data rather than a fixed setting.
+
+    The input's own partition count (scan splits of
+    ``spark.sql.files.maxPartitionBytes``) grows with the data, so partitions
+    keep their size; the cluster's core count is the floor so every core has
+    work; ``MAX_RANGE_PARTITIONS`` is the cap. Adaptive execution cannot
+    coalesce a fixed-count repartition, so the count has to fit from the
+    start. Planning only; no job runs.
+    """
     try:
-        n = max(configured, df.rdd.getNumPartitions())
+        n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
     except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
-        n = configured
-    return min(n, MAX_RANGE_PARTITIONS)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(n, MAX_RANGE_PARTITIONS))
 
 
 def with_global_position(df: DataFrame, keys: str | Sequence[str],
