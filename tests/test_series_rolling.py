@@ -147,3 +147,15 @@ def test_input_partitioning_does_not_change_results(spark):
     a = rolling.sma(t.repartition(1), 20).toPandas().sort_values(["symbol", "ts", "seq"])
     b = rolling.sma(t.repartition(5, "price"), 20).toPandas().sort_values(["symbol", "ts", "seq"])
     _close(a["sma_20"], b["sma_20"], 1e-12)
+
+
+def test_null_price_blanks_frames_like_pandas(spark):
+    prices = [1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0]
+    rows = [("x", (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)).to_pydatetime(), i, p)
+            for i, p in enumerate(prices)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, price double")
+    got = rolling.sma(df, 3).orderBy("seq").toPandas()["sma_3"].to_numpy(dtype=float)
+    exp = pd.Series(prices, dtype=float).rolling(3).mean().to_numpy()
+    _close(got, exp)
+    d = rolling.diff(df).orderBy("seq").toPandas()["diff"].to_numpy(dtype=float)
+    _close(d, pd.Series(prices, dtype=float).diff().to_numpy())
