@@ -18,7 +18,7 @@ from ticksmith.functions import codec, text, timefmt
 from ticksmith.operators import ema, latest as L, rolling, timewin
 from ticksmith.plans import fixtures, normalize, views
 from ticksmith.plans.indicators import FRAME_COLUMNS, indicator_frame
-from ticksmith.schema import BAR_MESSAGE
+from ticksmith.schema import BAR_MESSAGE, KEYED_BAR_MESSAGE
 from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
 from ticksmith.sources import bars as bar_sources
@@ -311,6 +311,23 @@ def q_stream_sliding_bands(spark, sf_dir):
                       *[r6(c).alias(c) for c in ["bb_middle", "bb_std", "bb_upper", "bb_lower"]])
 
 
+def q_stream_sliding_bands_by_symbol(spark, sf_dir):
+    """Several instruments on one stream: one keyed, fused windowed aggregate."""
+    _utc(spark)
+    path = scratch_path(spark, "messages-keyed")
+    writers.publish(fixtures.messages(spark, sf_dir).drop("seq"), path=path)
+    streams = pipeline.indicator_streams(msg_sources.file_stream(spark, path),
+                                         schema=KEYED_BAR_MESSAGE, keys=("symbol",))
+    out = pipeline.Outputs(root=scratch_path(spark, "stream-keyed"))
+    pipeline.run_available(pipeline.start(
+        streams, out, trigger={"availableNow": True}, processed=False,
+        state_partitions=pipeline.default_state_partitions(spark)))
+    res = pipeline.read_result(spark, out, "bb")
+    return res.select("symbol", timefmt.to_wall_clock("window_start").alias("window_start"),
+                      timefmt.to_wall_clock("window_end").alias("window_end"),
+                      *[r6(c).alias(c) for c in ["bb_middle", "bb_std", "bb_upper", "bb_lower"]])
+
+
 def q_stream_passthrough(spark, sf_dir):
     out = _run_pipeline(spark, sf_dir, processed=True, indicators=False)
     res = pipeline.read_result(spark, out, "processed")
@@ -403,6 +420,7 @@ QUERIES: dict[str, Query] = {
     "double_encoded_json": q_double_encoded_json,
     "stream_sliding_sma": q_stream_sliding_sma,
     "stream_sliding_bands": q_stream_sliding_bands,
+    "stream_sliding_bands_by_symbol": q_stream_sliding_bands_by_symbol,
     "stream_passthrough": q_stream_passthrough,
     "stream_ema": q_stream_ema,
     "recent_rows_sma": q_recent_rows_sma,

@@ -248,6 +248,7 @@ ORACLE: dict[str, str] = {
     "double_encoded_json": _JSON_EVENTS,
     "stream_sliding_sma": _sliding("sma", where=_STREAM_DONE),
     "stream_sliding_bands": _sliding("bands", where=_STREAM_DONE),
+    "stream_sliding_bands_by_symbol": _sliding("bands", keys="symbol", where=_STREAM_DONE),
     "stream_passthrough": ("SELECT timestamp, date, price, open, high, low, volume, change_percent "
                            f"FROM ({MSGS}) m"),
     "stream_ema": _EMA2,

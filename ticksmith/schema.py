@@ -22,6 +22,9 @@ BAR_MESSAGE = StructType([
     StructField("change_percent", DoubleType(), True),
 ])
 
+# Bar messages that name their instrument (several instruments on one topic).
+KEYED_BAR_MESSAGE = StructType(BAR_MESSAGE.fields + [StructField("symbol", StringType(), True)])
+
 # CSV header of a price-history export, read all as text.
 CSV_COLUMNS = ["Date", "Price", "Open", "High", "Low", "Vol.", "Change %"]
 
