@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from ticksmith.plans import catalog  # noqa: E402
 from ticksmith.session import build_session  # noqa: E402
 
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 HEADLINE = [
     "indicator_frame",       # Q4: all row indicators, skew-safe blocks

@@ -50,6 +50,7 @@ _ROWS = "_rows"
 _ROW_MASK = (1 << 33) - 1
 
 DEFAULT_BLOCK_ROWS = 1 << 14
+_WINDOW_BUFFER = "spark.sql.windowExec.buffer.in.memory.threshold"
 # Upper bound on range partitions: bounds the start-offset broadcast (12 bytes
 # per partition) and the file count of the positions table.
 MAX_RANGE_PARTITIONS = 100_000
@@ -134,13 +135,39 @@ def frame(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), Window.currentRow)
 
 
+def window_group_rows(df: DataFrame) -> int:
+    """Rows a window partition group may hold in Spark's in-memory buffer.
+
+    Larger groups move to a slower spillable buffer (about a third slower
+    for the indicator frame), so block + halo is kept under this.
+    """
+    try:
+        return int(df.sparkSession.conf.get(_WINDOW_BUFFER))
+    except Exception:  # noqa: BLE001
+        return 4096
+
+
 def blocked(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
-            lookback: int, block_rows: int = DEFAULT_BLOCK_ROWS,
+            lookback: int, block_rows: int | None = None,
             num_partitions: int | None = None) -> tuple[DataFrame, WindowSpec]:
-    """``df`` cut into halo blocks, plus the window spec to compute over."""
+    """``df`` cut into halo blocks, plus the window spec to compute over.
+
+    Blocks hold ``block_rows`` rows (default and upper bound: what keeps a
+    block plus its halo inside the in-memory window buffer).
+
+    The blocks are hash-partitioned on (keys, block) into the same
+    data-sized partition count as the range step. Window work is CPU-bound:
+    a byte-sized adaptive coalesce would put a few megabytes of rows on a
+    couple of cores, and an explicit count is not coalesced. The window's
+    distribution is then already satisfied, so no further exchange is added.
+    """
     keys = _names(keys)
-    indexed = with_global_position(df, keys, order, num_partitions)
-    return with_halo_blocks(indexed, lookback, block_rows), block_window(keys)
+    fits = max(16, min(DEFAULT_BLOCK_ROWS, window_group_rows(df) - lookback))
+    rows = fits if block_rows is None else min(block_rows, fits)
+    n = num_partitions or range_partitions(df)
+    indexed = with_global_position(df, keys, order, n)
+    cut = with_halo_blocks(indexed, lookback, rows).repartition(n, *keys, BLOCK)
+    return cut, block_window(keys)
 
 
 def finish(df: DataFrame, keep_position: bool = False) -> DataFrame:
