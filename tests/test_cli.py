@@ -2,7 +2,7 @@
 
 from ticksmith.__main__ import parser
 from ticksmith.plans import fixtures
-from ticksmith.streaming import pipeline
+from ticksmith.streaming import stream
 
 from conftest import SF_SMALL
 
@@ -23,8 +23,8 @@ def test_publish_then_stream(spark, scratch):
     msgs = spark.read.text(f"{scratch}/topic").collect()
     assert len(msgs) == 2 and '"date":"2024-01-02T00:00:00"' in min(m.value for m in msgs)
     _run(spark, ["stream", "--input", f"{scratch}/topic", "--output", f"{scratch}/out", "--once"])
-    out = pipeline.Outputs(root=f"{scratch}/out")
-    assert pipeline.read_result(spark, out, "processed").count() == 2
+    out = stream.Outputs(root=f"{scratch}/out")
+    assert stream.read_result(spark, out, "processed").count() == 2
 
 
 def test_indicators_command(spark, scratch):

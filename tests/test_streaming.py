@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticksmith.functions import timefmt
 from ticksmith.operators import timewin
 from ticksmith.sources import messages as msg_sources
-from ticksmith.streaming import pipeline, state_ema
+from ticksmith.streaming import state_ema, stream
 
 
 def _write_batches(folder, batches):
@@ -42,16 +42,16 @@ def test_watermark_drops_and_emission(spark, scratch):
     src_dir = f"{scratch}/in"
     _write_batches(src_dir, ORDER)
     src = msg_sources.file_stream(spark, src_dir, max_files_per_trigger=1)
-    streams = pipeline.indicator_streams(src)
-    out = pipeline.Outputs(root=f"{scratch}/out")
-    qs = pipeline.start(streams, out, trigger={"availableNow": True})
-    pipeline.run_available(qs)
+    streams = stream.indicator_streams(src)
+    out = stream.Outputs(root=f"{scratch}/out")
+    qs = stream.start(streams, out, trigger={"availableNow": True})
+    stream.run_available(qs)
     agg_q = qs[1]
     drops = [sum(int(o.get("numRowsDroppedByWatermark", 0)) for o in (p.get("stateOperators") or []))
              for p in agg_q.recentProgress if p["numInputRows"] > 0]
     assert drops == [0, 0, 5, 0, 5]
 
-    sma = pipeline.read_result(spark, out, "sma")
+    sma = stream.read_result(spark, out, "sma")
     # streaming result == batch result restricted to windows closed by the final watermark
     rows = [r for b in ORDER for r in b]
     kept = [r for i, b in enumerate(ORDER) for r in b if i not in (2, 4)]
@@ -62,27 +62,27 @@ def test_watermark_drops_and_emission(spark, scratch):
     a = sorted((r.window_start, round(r.sma_20, 9)) for r in sma.collect())
     b = sorted((r.window_start, round(r.sma_20, 9)) for r in batch.collect())
     assert a == b and len(a) > 0
-    bb = pipeline.read_result(spark, out, "bb")
+    bb = stream.read_result(spark, out, "bb")
     assert bb.count() == len(a)
-    processed = pipeline.read_result(spark, out, "processed")
+    processed = stream.read_result(spark, out, "processed")
     assert processed.count() == len(rows)  # pass-through keeps late rows
 
 
 def test_restart_does_not_duplicate(spark, scratch):
     src_dir = f"{scratch}/in"
     _write_batches(src_dir, ORDER[:2])
-    out = pipeline.Outputs(root=f"{scratch}/out")
+    out = stream.Outputs(root=f"{scratch}/out")
     for _ in range(2):  # second run resumes from the checkpoint: no new input
         src = msg_sources.file_stream(spark, src_dir)
-        pipeline.run_available(pipeline.start(pipeline.indicator_streams(src), out,
+        stream.run_available(stream.start(stream.indicator_streams(src), out,
                                               trigger={"availableNow": True}))
     _write_batches(f"{scratch}/in", ORDER[:2] + [[(_iso(200), 1.0)]])
     src = msg_sources.file_stream(spark, src_dir)
-    pipeline.run_available(pipeline.start(pipeline.indicator_streams(src), out,
+    stream.run_available(stream.start(stream.indicator_streams(src), out,
                                           trigger={"availableNow": True}))
-    sma = pipeline.read_result(spark, out, "sma").toPandas()
+    sma = stream.read_result(spark, out, "sma").toPandas()
     assert not sma.duplicated(["window_start"]).any()
-    assert pipeline.read_result(spark, out, "processed").count() == 32
+    assert stream.read_result(spark, out, "processed").count() == 32
 
 
 def test_stateful_ema_matches_batch_across_batches(spark, scratch):
@@ -105,9 +105,9 @@ def test_stateful_ema_matches_batch_across_batches(spark, scratch):
     late.to_parquet(p, index=False, coerce_timestamps="us")
     os.utime(p, (base + 9, base + 9))
     schema = spark.read.parquet(f"{src}/p0.parquet").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ticks = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
               .select("symbol", timefmt.to_event_time("ts").alias("ts"), "seq", "price"))
-    q = (state_ema.streaming_ema(stream, (12, 26)).writeStream.format("memory")
+    q = (state_ema.streaming_ema(ticks, (12, 26)).writeStream.format("memory")
          .queryName("ema_out").outputMode("append")
          .option("checkpointLocation", f"{scratch}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -147,7 +147,7 @@ def test_await_all_raises_first_failure_and_stops_others(spark, scratch):
     bad = (msg_sources.file_stream(spark, src_dir).writeStream.foreachBatch(boom)
            .option("checkpointLocation", f"{scratch}/ck2").start())
     with pytest.raises(RuntimeError, match="failed"):
-        pipeline.await_all(spark, [ok, bad], timeout=120)
+        stream.await_all(spark, [ok, bad], timeout=120)
     assert not ok.isActive and not bad.isActive
 
 
@@ -164,7 +164,7 @@ def test_result_tables_from_topic_messages(spark, scratch):
         f.write(json.dumps(json.dumps(rows[0] | {"sma_20": 9.0})) + "\n")  # double-encoded
     qs = tail.start_tables({"sma": msg_sources.file_stream(spark, topic)}, f"{scratch}/tables",
                            trigger={"availableNow": True})
-    pipeline.run_available(qs)
+    stream.run_available(qs)
     last = tail.latest_rows(spark, f"{scratch}/tables", "sma", 2, order=("window_start", "sma_20"))
     assert [r.sma_20 for r in last.orderBy("window_start").collect()] == [2.0, 3.0]
     table = spark.read.parquet(f"{scratch}/tables/sma")
@@ -202,9 +202,9 @@ def test_batch_ema_continues_across_micro_batches(spark, scratch, block):
     late.to_parquet(f"{src}/p9.parquet", index=False, coerce_timestamps="us")
     os.utime(f"{src}/p9.parquet", (base + 9, base + 9))
     schema = spark.read.parquet(f"{src}/p0.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     root = f"{scratch}/ema"
-    q = (stream.writeStream.foreachBatch(batch_ema.writer(root, (12, 26), block_rows=block))
+    q = (ticks.writeStream.foreachBatch(batch_ema.writer(root, (12, 26), block_rows=block))
          .option("checkpointLocation", f"{root}/_ck").trigger(availableNow=True).start())
     q.awaitTermination()
     got = batch_ema.read_output(spark, root).toPandas().sort_values(["symbol", "seq"])
@@ -223,12 +223,12 @@ def test_quarantine_branch(spark, scratch):
     os.makedirs(src_dir)
     with open(f"{src_dir}/m.json", "w") as f:
         f.write('{"timestamp":"2024-01-01T00:00:00","price":1.0}\nnot json\n{}\n')
-    streams = pipeline.indicator_streams(msg_sources.file_stream(spark, src_dir), quarantine=True)
-    out = pipeline.Outputs(root=f"{scratch}/out")
-    pipeline.run_available(pipeline.start(streams, out, trigger={"availableNow": True}, indicators=False))
+    streams = stream.indicator_streams(msg_sources.file_stream(spark, src_dir), quarantine=True)
+    out = stream.Outputs(root=f"{scratch}/out")
+    stream.run_available(stream.start(streams, out, trigger={"availableNow": True}, indicators=False))
     from ticksmith.functions.codec import decode_frame
     from ticksmith.schema import BAR_MESSAGE
-    processed = decode_frame(pipeline.read_result(spark, out, "processed"), BAR_MESSAGE)
+    processed = decode_frame(stream.read_result(spark, out, "processed"), BAR_MESSAGE)
     assert [r.price for r in processed.collect()] == [1.0]
     rejected = sorted(r.value for r in spark.read.parquet(out.path("rejected")).collect())
     assert rejected == ["not json", "{}"]

@@ -53,16 +53,16 @@ def _message_source(spark, args):
 
 def cmd_stream(spark, args) -> None:
     from ticksmith.sources.messages import RESULT_TOPICS
-    from ticksmith.streaming import pipeline
-    streams = pipeline.indicator_streams(_message_source(spark, args), quarantine=args.quarantine)
-    out = pipeline.Outputs(root=args.output, kafka_servers=args.kafka_out, topics=RESULT_TOPICS)
-    queries = pipeline.start(streams, out, trigger=_trigger(args))
-    pipeline.await_all(spark, queries)
+    from ticksmith.streaming import stream
+    streams = stream.indicator_streams(_message_source(spark, args), quarantine=args.quarantine)
+    out = stream.Outputs(root=args.output, kafka_servers=args.kafka_out, topics=RESULT_TOPICS)
+    queries = stream.start(streams, out, trigger=_trigger(args))
+    stream.await_all(spark, queries)
 
 
 def cmd_tables(spark, args) -> None:
     from ticksmith.sources import messages
-    from ticksmith.streaming import pipeline, tail
+    from ticksmith.streaming import stream, tail
     if args.kafka:
         sources = {k: spark.readStream.format("kafka")
                    .options(**messages.result_topic_options(args.kafka, k)).load()
@@ -70,7 +70,7 @@ def cmd_tables(spark, args) -> None:
                    for k in messages.RESULT_TOPICS}
     else:
         sources = {k: messages.file_stream(spark, f"{args.input}/{k}") for k in messages.RESULT_TOPICS}
-    pipeline.await_all(spark, tail.start_tables(sources, args.output, _trigger(args)))
+    stream.await_all(spark, tail.start_tables(sources, args.output, _trigger(args)))
 
 
 def cmd_indicators(spark, args) -> None:

@@ -23,7 +23,7 @@ from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
 from ticksmith.sources import bars as bar_sources
 from ticksmith.sources import messages as msg_sources
-from ticksmith.streaming import batch_ema, pipeline, tail
+from ticksmith.streaming import batch_ema, stream, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -284,28 +284,28 @@ def _message_files(spark, sf_dir) -> str:
     return path
 
 
-def _run_pipeline(spark, sf_dir, processed: bool = False, indicators: bool = True) -> pipeline.Outputs:
-    """Publish the tick messages as files, then run the streaming pipeline over them."""
+def _run_stream(spark, sf_dir, processed: bool = False, indicators: bool = True) -> stream.Outputs:
+    """Publish the tick messages as files, then run the streaming indicators over them."""
     _utc(spark)
     src = msg_sources.file_stream(spark, _message_files(spark, sf_dir))
-    streams = pipeline.indicator_streams(src)
-    out = pipeline.Outputs(root=scratch_path(spark, "stream"))
-    pipeline.run_available(pipeline.start(
+    streams = stream.indicator_streams(src)
+    out = stream.Outputs(root=scratch_path(spark, "stream"))
+    stream.run_available(stream.start(
         streams, out, trigger={"availableNow": True}, processed=processed, indicators=indicators,
-        state_partitions=pipeline.default_state_partitions(spark)))
+        state_partitions=stream.default_state_partitions(spark)))
     return out
 
 
 def q_stream_sliding_sma(spark, sf_dir):
-    out = _run_pipeline(spark, sf_dir)
-    res = pipeline.read_result(spark, out, "sma")
+    out = _run_stream(spark, sf_dir)
+    res = stream.read_result(spark, out, "sma")
     return res.select(timefmt.to_wall_clock("window_start").alias("window_start"),
                       timefmt.to_wall_clock("window_end").alias("window_end"), r6("sma_20").alias("sma_20"))
 
 
 def q_stream_sliding_bands(spark, sf_dir):
-    out = _run_pipeline(spark, sf_dir)
-    res = pipeline.read_result(spark, out, "bb")
+    out = _run_stream(spark, sf_dir)
+    res = stream.read_result(spark, out, "bb")
     return res.select(timefmt.to_wall_clock("window_start").alias("window_start"),
                       timefmt.to_wall_clock("window_end").alias("window_end"),
                       *[r6(c).alias(c) for c in ["bb_middle", "bb_std", "bb_upper", "bb_lower"]])
@@ -316,21 +316,21 @@ def q_stream_sliding_bands_by_symbol(spark, sf_dir):
     _utc(spark)
     path = scratch_path(spark, "messages-keyed")
     writers.publish(fixtures.messages(spark, sf_dir).drop("seq"), path=path)
-    streams = pipeline.indicator_streams(msg_sources.file_stream(spark, path),
+    streams = stream.indicator_streams(msg_sources.file_stream(spark, path),
                                          schema=KEYED_BAR_MESSAGE, keys=("symbol",))
-    out = pipeline.Outputs(root=scratch_path(spark, "stream-keyed"))
-    pipeline.run_available(pipeline.start(
+    out = stream.Outputs(root=scratch_path(spark, "stream-keyed"))
+    stream.run_available(stream.start(
         streams, out, trigger={"availableNow": True}, processed=False,
-        state_partitions=pipeline.default_state_partitions(spark)))
-    res = pipeline.read_result(spark, out, "bb")
+        state_partitions=stream.default_state_partitions(spark)))
+    res = stream.read_result(spark, out, "bb")
     return res.select("symbol", timefmt.to_wall_clock("window_start").alias("window_start"),
                       timefmt.to_wall_clock("window_end").alias("window_end"),
                       *[r6(c).alias(c) for c in ["bb_middle", "bb_std", "bb_upper", "bb_lower"]])
 
 
 def q_stream_passthrough(spark, sf_dir):
-    out = _run_pipeline(spark, sf_dir, processed=True, indicators=False)
-    res = pipeline.read_result(spark, out, "processed")
+    out = _run_stream(spark, sf_dir, processed=True, indicators=False)
+    res = stream.read_result(spark, out, "processed")
     return codec.decode_frame(res, BAR_MESSAGE)
 
 
@@ -343,15 +343,15 @@ def q_stream_ema(spark, sf_dir):
     """
     _utc(spark)
     src_schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = (spark.readStream.schema(src_schema).parquet(f"{sf_dir}/events*.parquet")
+    ticks = (spark.readStream.schema(src_schema).parquet(f"{sf_dir}/events*.parquet")
               .select(F.col("event_type").alias("symbol"), "ts",
                       F.col("event_id").alias("seq"), F.col("value").alias("price")))
     root = scratch_path(spark, "stream-ema")
-    with pipeline.shuffle_partitions(spark, pipeline.default_state_partitions(spark)):
-        q = (stream.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26)))
+    with stream.shuffle_partitions(spark, stream.default_state_partitions(spark)):
+        q = (ticks.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26)))
              .option("checkpointLocation", f"{root}/_checkpoint")
              .trigger(availableNow=True).start())
-    pipeline.run_available([q])
+    stream.run_available([q])
     got = batch_ema.read_output(spark, root)
     return got.select("symbol", "ts", "seq", "price",
                       r6("ema_12").alias("ema_12"), r6("ema_26").alias("ema_26"))
@@ -359,14 +359,14 @@ def q_stream_ema(spark, sf_dir):
 
 def q_recent_rows_sma(spark, sf_dir):
     """SMA results published as messages, tailed into the recent-rows table, last 100."""
-    out = _run_pipeline(spark, sf_dir)
+    out = _run_stream(spark, sf_dir)
     topic = scratch_path(spark, "topic-sma")
-    writers.publish(pipeline.read_result(spark, out, "sma"), path=topic)
+    writers.publish(stream.read_result(spark, out, "sma"), path=topic)
     root = scratch_path(spark, "tables")
-    with pipeline.shuffle_partitions(spark, pipeline.default_state_partitions(spark)):
+    with stream.shuffle_partitions(spark, stream.default_state_partitions(spark)):
         qs = tail.start_tables({"sma": msg_sources.file_stream(spark, topic)}, root,
                                trigger={"availableNow": True})
-    pipeline.run_available(qs)
+    stream.run_available(qs)
     rows = tail.latest_rows(spark, root, "sma", 100, order=("window_start",))
     return rows.select(timefmt.to_wall_clock("window_start").alias("window_start"),
                        timefmt.to_wall_clock("window_end").alias("window_end"),
