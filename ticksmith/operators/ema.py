@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -74,27 +74,31 @@ def add_index(b: DataFrame, w: WindowSpec) -> DataFrame:
     return b.withColumn(J, series.row_index(w))
 
 
-def add_ema(b: DataFrame, w: WindowSpec, src: str, span: float, out: str) -> DataFrame:
-    """EMA of ``src`` over each block group; needs ``_j`` (see add_index)."""
+def ema_column(src: str, span: float, w: WindowSpec) -> Column:
+    """EMA of ``src`` as a window expression over a block group; needs ``_j``."""
     a = alpha(span)
     q = 1.0 - a
     x = F.col(src)
     if q <= 0.0:
-        return b.withColumn(out, x)
+        return x
     j = F.col(J)
     shifted = j - F.lit(_centre(q))
     weight = F.when(j == 0, x).otherwise(F.lit(a) * x)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    acc = F.sum(weight * F.pow(F.lit(q), -shifted)).over(running)
-    return b.withColumn(out, acc * F.pow(F.lit(q), shifted))
+    return F.sum(weight * F.pow(F.lit(q), -shifted)).over(running) * F.pow(F.lit(q), shifted)
+
+
+def add_ema(b: DataFrame, w: WindowSpec, src: str, span: float, out: str) -> DataFrame:
+    """EMA of ``src`` over each block group; needs ``_j`` (see add_index)."""
+    return b.withColumn(out, ema_column(src, span, w))
 
 
 def add_macd(b: DataFrame, w: WindowSpec, src: str, fast: float = 12, slow: float = 26,
              signal: float = 9, names: Sequence[str] = ("EMA_12", "EMA_26", "MACD",
                                                          "MACD_signal", "MACD_hist")) -> DataFrame:
     e_fast, e_slow, line, sig, hist = names
-    b = add_ema(b, w, src, fast, e_fast)
-    b = add_ema(b, w, src, slow, e_slow)
+    # Both EMAs in one projection: one window operator computes them together.
+    b = b.withColumns({e_fast: ema_column(src, fast, w), e_slow: ema_column(src, slow, w)})
     b = b.withColumn(line, F.col(e_fast) - F.col(e_slow))
     b = add_ema(b, w, line, signal, sig)
     return b.withColumn(hist, F.col(line) - F.col(sig))

@@ -37,14 +37,47 @@ def indicator_frame(df: DataFrame, price: str = "price",
     """``df`` plus the eleven indicator columns, per instrument in ``order``.
 
     Rows with a NULL price are left out (the recursion cannot span them).
+    The window functions are grouped by dependency into three projections,
+    so the plan has three window operators (each one pass over a block
+    group) instead of one per indicator step.
     """
     halo = frame_lookback()
     block = ema.block_rows_for([MACD_FAST, MACD_SLOW, MACD_SIGNAL], halo)
     b, w = series.blocked(df.filter(F.col(price).isNotNull()), keys, order, halo, block)
-    b = rolling.add_rsi(b, w, price, RSI_N, "RSI")
-    b = rolling.add_rolling_mean(b, w, price, SMA_SLOW, "SMA_50")
-    b = rolling.add_bollinger(b, w, price, BB_N, BB_K)
-    # SMA_20 is the band middle (same frame, same guard): computed once.
-    b = b.withColumn("SMA_20", F.col("BB_middle"))
-    b = ema.add_macd(ema.add_index(b, w), w, price, MACD_FAST, MACD_SLOW, MACD_SIGNAL)
-    return series.finish(b.drop(ema.J)).select(*df.columns, *FRAME_COLUMNS)
+    p = F.col(price)
+    f_rsi, f_bb, f_slow = (series.frame(w, n) for n in (RSI_N, BB_N, SMA_SLOW))
+
+    # 1: previous price, row index, band and slow-mean frames
+    b = b.withColumns({
+        "_delta": p - F.lag(p, 1).over(w),
+        ema.J: series.row_index(w),
+        "_bb_n": F.count(p).over(f_bb), "_bb_avg": F.avg(p).over(f_bb),
+        "_bb_std": F.stddev_samp(p).over(f_bb),
+        "_slow_n": F.count(p).over(f_slow), "_slow_avg": F.avg(p).over(f_slow),
+    })
+    # 2: RSI frames over the differences, fast and slow EMA
+    d = F.col("_delta")
+    gain = F.when(d > 0, d).otherwise(F.lit(0.0))
+    loss = F.when(d < 0, -d).otherwise(F.lit(0.0))
+    b = b.withColumns({
+        "_rsi_n": F.count(F.lit(1)).over(f_rsi),
+        "_rsi_gain": F.avg(gain).over(f_rsi), "_rsi_loss": F.avg(loss).over(f_rsi),
+        "EMA_12": ema.ema_column(price, MACD_FAST, w),
+        "EMA_26": ema.ema_column(price, MACD_SLOW, w),
+    }).withColumn("MACD", F.col("EMA_12") - F.col("EMA_26"))
+    # 3: signal line
+    b = b.withColumn("MACD_signal", ema.ema_column("MACD", MACD_SIGNAL, w))
+
+    full_bb = F.col("_bb_n") >= BB_N
+    middle = F.when(full_bb, F.col("_bb_avg"))
+    spread = F.lit(BB_K) * F.when(full_bb, F.col("_bb_std"))
+    out = b.select(
+        "*",
+        F.when(F.col("_rsi_n") >= RSI_N,
+               rolling.rsi_from_means(F.col("_rsi_gain"), F.col("_rsi_loss"))).alias("RSI"),
+        middle.alias("SMA_20"),
+        F.when(F.col("_slow_n") >= SMA_SLOW, F.col("_slow_avg")).alias("SMA_50"),
+        middle.alias("BB_middle"), (middle + spread).alias("BB_upper"), (middle - spread).alias("BB_lower"),
+        (F.col("MACD") - F.col("MACD_signal")).alias("MACD_hist"),
+    )
+    return series.finish(out).select(*df.columns, *FRAME_COLUMNS)
