@@ -99,3 +99,14 @@ def test_ohlc_axis_is_naive(spark):
                             .withColumn("high", F.col("price")).withColumn("low", F.col("price")))
     assert dict(got.dtypes)["x"] == "timestamp_ntz"
     assert got.first().x == pd.Timestamp("2024-01-01").to_pydatetime()
+
+
+def test_top_n_tree_with_small_fan_in(spark, monkeypatch):
+    monkeypatch.setattr(L, "FAN_IN", 2)
+    t = fixtures.ticks(spark, SF_SMALL).repartition(10)
+    got = sorted(r.seq for r in L.latest(t, 7, ("ts", "seq")).collect())
+    pdf = t.toPandas().sort_values(["ts", "seq"])
+    assert got == sorted(pdf["seq"].tail(7))
+    per = L.latest_per_key(t, 3, ["symbol"], ("ts", "seq"), rank="r").toPandas()
+    exp = pdf.groupby("symbol").tail(3)
+    assert sorted(per["seq"]) == sorted(exp["seq"]) and set(per["r"]) == {1, 2, 3}

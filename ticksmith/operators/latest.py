@@ -1,10 +1,13 @@
 """Latest rows, last row, date-range filters, empty guards.
 
-Top-n is a bounded-memory operator in Spark: ``orderBy(...).limit(n)``
-plans as ``TakeOrderedAndProject`` (each task keeps its own top n, the
-driver merges n per task), and per-key ``row_number() <= n`` plans as
-``WindowGroupLimit`` before the shuffle, so at most n rows per key and task
-cross the network whatever the key's size.
+Top-n is computed as a two-level tree. A plain ``orderBy(...).limit(n)``
+(``TakeOrderedAndProject``) or per-key ``row_number() <= n`` keeps n rows per
+task and merges them all in one place: n x (input partitions) rows, which
+grows with the input. Here the input partitions are first grouped by
+``FAN_IN`` and limited per group (Spark plans the ``row_number() <= n``
+filter as ``WindowGroupLimit`` on both sides of the shuffle), then the group
+winners are limited again: each merge sees at most ``FAN_IN * n`` rows, and
+the last one ``(partitions / FAN_IN) * n``.
 """
 
 from __future__ import annotations
@@ -15,23 +18,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ARRIVAL = ("ts", "seq")
+# Input partitions merged per first-level group of the top-n tree.
+FAN_IN = 1024
 
 
 def _desc(order: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in order]
 
 
+def _group_limit(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First tree level: top ``n`` per key within each group of input partitions."""
+    group = F.floor(F.spark_partition_id() / FAN_IN)
+    w = Window.partitionBy(*keys, "_grp").orderBy(*_desc(order))
+    return (df.withColumn("_grp", group)
+            .withColumn("_rank", F.row_number().over(w))
+            .filter(F.col("_rank") <= n)
+            .drop("_grp", "_rank"))
+
+
 def latest(df: DataFrame, n: int = 100, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """The last ``n`` rows in ``order`` (the newest arrivals)."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    return df.orderBy(*_desc(order)).limit(n)
+    return _group_limit(df, n, (), order).orderBy(*_desc(order)).limit(n)
 
 
 def latest_per_key(df: DataFrame, n: int, keys: Sequence[str],
                    order: Sequence[str] = ARRIVAL, rank: str | None = None) -> DataFrame:
+    """The last ``n`` rows of every key (``rank`` 1 = newest)."""
     w = Window.partitionBy(*keys).orderBy(*_desc(order))
-    out = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
+    out = (_group_limit(df, n, keys, order)
+           .withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n))
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")
 
 
