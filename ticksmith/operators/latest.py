@@ -1,13 +1,14 @@
 """Latest rows, last row, date-range filters, empty guards.
 
-Top-n is computed as a two-level tree. A plain ``orderBy(...).limit(n)``
-(``TakeOrderedAndProject``) or per-key ``row_number() <= n`` keeps n rows per
-task and merges them all in one place: n x (input partitions) rows, which
-grows with the input. Here the input partitions are first grouped by
-``FAN_IN`` and limited per group (Spark plans the ``row_number() <= n``
-filter as ``WindowGroupLimit`` on both sides of the shuffle), then the group
-winners are limited again: each merge sees at most ``FAN_IN * n`` rows, and
-the last one ``(partitions / FAN_IN) * n``.
+Top-n is computed as a two-level tree on wide inputs. A plain
+``orderBy(...).limit(n)`` (``TakeOrderedAndProject``) or per-key
+``row_number() <= n`` keeps n rows per task and merges them all in one place:
+n x (input partitions) rows, which grows with the input. With more than
+``FAN_IN`` input partitions, they are first grouped by ``FAN_IN`` and limited
+per group (Spark plans the ``row_number() <= n`` filter as
+``WindowGroupLimit`` on both sides of the shuffle), then the group winners
+are limited again: each merge sees at most ``FAN_IN * n`` rows, and the last
+one ``(partitions / FAN_IN) * n``.
 """
 
 from __future__ import annotations
@@ -26,8 +27,21 @@ def _desc(order: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in order]
 
 
+def _input_partitions(df: DataFrame) -> int:
+    try:
+        return df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): assume wide
+        return FAN_IN + 1
+
+
 def _group_limit(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First tree level: top ``n`` per key within each group of input partitions."""
+    """First tree level: top ``n`` per key within each group of input partitions.
+
+    Skipped when the input has at most ``FAN_IN`` partitions: the single
+    final merge is then already bounded by ``FAN_IN * n`` rows.
+    """
+    if _input_partitions(df) <= FAN_IN:
+        return df
     group = F.floor(F.spark_partition_id() / FAN_IN)
     w = Window.partitionBy(*keys, "_grp").orderBy(*_desc(order))
     return (df.withColumn("_grp", group)
