@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Display formats of the dashboard numbers.
+MONEY_PREFIX = "$"
+MONEY_DECIMALS = 2
+PERCENT_FORMAT = "%+.2f%%"
+STATUS_UP, STATUS_DOWN = "Bullish", "Bearish"
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -13,13 +19,13 @@ def _c(c: str | Column) -> Column:
 def money(c: str | Column) -> Column:
     """``$1,234.50``: thousands separators, two decimals."""
     x = _c(c)
-    return F.when(x.isNotNull(), F.concat(F.lit("$"), F.format_number(x, 2)))
+    return F.when(x.isNotNull(), F.concat(F.lit(MONEY_PREFIX), F.format_number(x, MONEY_DECIMALS)))
 
 
 def signed_percent(c: str | Column) -> Column:
     """``+1.23%`` / ``-0.50%``."""
     x = _c(c).cast("double")
-    return F.when(x.isNotNull(), F.format_string("%+.2f%%", x))
+    return F.when(x.isNotNull(), F.format_string(PERCENT_FORMAT, x))
 
 
 def band(middle: str | Column, spread: str | Column, k: float) -> tuple[Column, Column]:
@@ -39,4 +45,4 @@ def is_bullish(change: str | Column) -> Column:
 
 
 def market_status(change: str | Column) -> Column:
-    return F.when(is_bullish(change), F.lit("Bullish")).otherwise(F.lit("Bearish"))
+    return F.when(is_bullish(change), F.lit(STATUS_UP)).otherwise(F.lit(STATUS_DOWN))
