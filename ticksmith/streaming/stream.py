@@ -22,6 +22,7 @@ in). Shuffle partitions of a stateful query are fixed by its checkpoint.
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -164,18 +165,22 @@ def _start(streams: IndicatorStreams, out: Outputs, trigger: dict | None,
 
 
 def await_all(spark: SparkSession, queries: list[StreamingQuery],
-              timeout: float | None = None) -> None:
-    """Wait until any query ends; stop the others; raise the first error."""
+              timeout: float | None = None, poll: float = 1.0) -> None:
+    """Wait until any of ``queries`` ends; stop the others; raise the first error.
+
+    Waits on these queries only: the session-wide ``awaitAnyTermination``
+    also returns for other (earlier or unrelated) queries of the session.
+    """
+    started = time.monotonic()
     try:
-        if timeout is None:
-            spark.streams.awaitAnyTermination()
-        else:
-            spark.streams.awaitAnyTermination(timeout)
+        while all(q.isActive for q in queries):
+            if timeout is not None and time.monotonic() - started >= timeout:
+                break
+            queries[0].awaitTermination(poll)
     finally:
         for q in queries:
             if q.isActive:
                 q.stop()
-        spark.streams.resetTerminated()
     for q in queries:
         err = q.exception()
         if err is not None:
