@@ -27,18 +27,24 @@ def _desc(order: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in order]
 
 
+# Input splits assumed per file when sizing the tree (1 GB files, 128 MB splits).
+SPLITS_PER_FILE = 8
+
+
 def _input_partitions(df: DataFrame) -> int:
+    """Estimated input partitions, from the plan's file index (no job runs)."""
     try:
-        return df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): assume wide
+        return len(df.inputFiles()) * SPLITS_PER_FILE
+    except Exception:  # noqa: BLE001 - unknown: assume wide
         return FAN_IN + 1
 
 
 def _group_limit(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First tree level: top ``n`` per key within each group of input partitions.
 
-    Skipped when the input has at most ``FAN_IN`` partitions: the single
-    final merge is then already bounded by ``FAN_IN * n`` rows.
+    Skipped when the input has at most ``FAN_IN`` partitions (estimated from
+    its files): the single final merge is then already bounded by
+    ``FAN_IN * n`` rows.
     """
     if _input_partitions(df) <= FAN_IN:
         return df

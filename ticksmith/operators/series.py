@@ -60,21 +60,32 @@ def _names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+def input_files(df: DataFrame) -> int:
+    """Files under ``df`` (planning only: the file index is already listed)."""
+    try:
+        return len(df.inputFiles())
+    except Exception:  # noqa: BLE001
+        return 0
+
+
+def cores(df: DataFrame) -> int:
+    try:
+        return df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def range_partitions(df: DataFrame) -> int:
     """Number of range partitions, from the data rather than a fixed setting.
 
-    The input's own partition count (scan splits of
-    ``spark.sql.files.maxPartitionBytes``) grows with the data, so partitions
-    keep their size; the cluster's core count is the floor so every core has
-    work; ``MAX_RANGE_PARTITIONS`` is the cap. Adaptive execution cannot
-    coalesce a fixed-count repartition, so the count has to fit from the
-    start. Planning only; no job runs.
+    One per input file grows with the data, so partitions keep their size;
+    the cluster's core count is the floor so every core has work;
+    ``MAX_RANGE_PARTITIONS`` is the cap. Adaptive execution cannot coalesce
+    a fixed-count repartition, so the count has to fit from the start. The
+    file count comes from the plan's file index: no job runs (asking the
+    RDD for its partitions would run any shuffle below it).
     """
-    try:
-        n = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(n, MAX_RANGE_PARTITIONS))
+    return max(1, min(max(input_files(df), cores(df)), MAX_RANGE_PARTITIONS))
 
 
 def with_global_position(df: DataFrame, keys: str | Sequence[str],
