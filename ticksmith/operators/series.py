@@ -149,8 +149,8 @@ def frame(w: WindowSpec, n: int) -> WindowSpec:
 def window_group_rows(df: DataFrame) -> int:
     """Rows a window partition group may hold in Spark's in-memory buffer.
 
-    Larger groups move to a slower spillable buffer (about a third slower
-    for the indicator frame), so block + halo is kept under this.
+    Larger groups move to Spark's spillable buffer, which is slower to
+    iterate and holds memory differently, so block + halo is kept under this.
     """
     try:
         return int(df.sparkSession.conf.get(_WINDOW_BUFFER))
