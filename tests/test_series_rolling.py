@@ -159,3 +159,14 @@ def test_null_price_blanks_frames_like_pandas(spark):
     _close(got, exp)
     d = rolling.diff(df).orderBy("seq").toPandas()["diff"].to_numpy(dtype=float)
     _close(d, pd.Series(prices, dtype=float).diff().to_numpy())
+
+
+def test_single_unkeyed_series(spark):
+    """The reference's case: one instrument, no symbol column."""
+    t = _ticks(spark).filter(F.col("symbol") == "click").drop("symbol")
+    got = indicator_frame(t, keys=()).toPandas().sort_values(["ts", "seq"])
+    p = t.toPandas().sort_values(["ts", "seq"])["price"]
+    _close(got["SMA_50"], p.rolling(50).mean())
+    _close(got["EMA_26"], p.ewm(span=26, adjust=False).mean())
+    s = rolling.sma(t, 20, keys=()).toPandas().sort_values(["ts", "seq"])
+    _close(s["sma_20"], p.rolling(20).mean())

@@ -187,11 +187,6 @@ def finish(df: DataFrame, keep_position: bool = False) -> DataFrame:
     return out if keep_position else out.drop(POS)
 
 
-def constant_key(df: DataFrame, name: str = "_series") -> tuple[DataFrame, list[str]]:
-    """A single un-keyed series (the reference's case) as one constant key."""
-    return df.withColumn(name, F.lit(0)), [name]
-
-
 def row_index(w: WindowSpec) -> Column:
     """0-based index of the row inside its block group (halo rows included)."""
     return F.row_number().over(w) - 1
