@@ -65,7 +65,7 @@ def _bar_messages(spark, sf_dir) -> DataFrame:
     return normalize.to_messages(b, sent_at=F.col("date"), keep=["symbol"])
 
 
-BAR_EVENT_SCHEMA = StructType([
+EVENT_MESSAGE = StructType([
     StructField("event_id", LongType()), StructField("ts", StringType()),
     StructField("event_type", StringType()), StructField("value", DoubleType()),
     StructField("props", StructType([StructField("k", LongType())])),
@@ -253,8 +253,7 @@ def q_json_roundtrip(spark, sf_dir):
     msg = ev.select(codec.encode_row(
         "event_id", timefmt.iso_format("ts").alias("ts"), "event_type", "value",
         F.from_json("props", "k BIGINT").alias("props")).alias("value"))
-    schema = "event_id BIGINT, ts STRING, event_type STRING, value DOUBLE, props STRUCT<k: BIGINT>"
-    dec = msg.select(F.from_json("value", schema).alias("d")).select("d.*")
+    dec = msg.select(codec.decode("value", EVENT_MESSAGE).alias("d")).select("d.*")
     return dec.select("event_id", timefmt.to_wall_clock(timefmt.parse_event_time("ts")).alias("ts"),
                       "event_type", "value", F.col("props.k").alias("k"))
 
@@ -268,8 +267,7 @@ def q_double_encoded_json(spark, sf_dir):
     twice = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)  # a JSON string literal
     msg = ev.select(F.when(F.col("event_type").isin("click", "view"), twice)
                     .otherwise(plain).alias("value"))
-    schema = BAR_EVENT_SCHEMA
-    dec = msg.select(codec.decode_lenient("value", schema).alias("d")).select("d.*")
+    dec = msg.select(codec.decode_lenient("value", EVENT_MESSAGE).alias("d")).select("d.*")
     return dec.select("event_id", timefmt.to_wall_clock(timefmt.parse_event_time("ts")).alias("ts"),
                       "event_type", "value", F.col("props.k").alias("k"))
 
