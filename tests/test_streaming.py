@@ -232,3 +232,11 @@ def test_quarantine_branch(spark, scratch):
     assert [r.price for r in processed.collect()] == [1.0]
     rejected = sorted(r.value for r in spark.read.parquet(out.path("rejected")).collect())
     assert rejected == ["not json", "{}"]
+
+
+def test_missing_kafka_connector_is_explained(spark):
+    import pytest
+    with pytest.raises(msg_sources.KafkaConnectorMissing, match="spark-sql-kafka"):
+        msg_sources.kafka_stream(spark, "localhost:9092")
+    with pytest.raises(msg_sources.KafkaConnectorMissing):
+        msg_sources.result_stream(spark, "localhost:9092", "sma")

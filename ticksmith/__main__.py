@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import functions as F
-
 from ticksmith.session import build_session
 
 
@@ -64,10 +62,7 @@ def cmd_tables(spark, args) -> None:
     from ticksmith.sources import messages
     from ticksmith.streaming import stream, tail
     if args.kafka:
-        sources = {k: spark.readStream.format("kafka")
-                   .options(**messages.result_topic_options(args.kafka, k)).load()
-                   .select(F.col("value").cast("string").alias("value"))
-                   for k in messages.RESULT_TOPICS}
+        sources = {k: messages.result_messages(spark, args.kafka, k) for k in messages.RESULT_TOPICS}
     else:
         sources = {k: messages.file_stream(spark, f"{args.input}/{k}") for k in messages.RESULT_TOPICS}
     stream.await_all(spark, tail.start_tables(sources, args.output, _trigger(args)))

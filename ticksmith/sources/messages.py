@@ -8,6 +8,7 @@ at ``load`` when the connector jar is absent.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,16 +36,31 @@ def kafka_options(servers: str, topic: str, group_id: str | None = ENGINE_GROUP,
     return opts
 
 
+class KafkaConnectorMissing(RuntimeError):
+    """The Kafka data source is not on the session's classpath."""
+
+
+def _load_kafka(reader, spark: SparkSession) -> DataFrame:
+    try:
+        return reader.load()
+    except AnalysisException as e:
+        if "kafka" not in str(e).lower():
+            raise
+        raise KafkaConnectorMissing(
+            "the Kafka data source is not on the classpath; start the session with "
+            f"spark.jars.packages=org.apache.spark:spark-sql-kafka-0-10_2.13:{spark.version}") from e
+
+
 def kafka_stream(spark: SparkSession, servers: str, topic: str = INPUT_TOPIC, **kw) -> DataFrame:
     reader = spark.readStream.format("kafka").options(**kafka_options(servers, topic, **kw))
-    return reader.load().select(F.col("value").cast("string").alias("value"),
-                                F.col("timestamp").alias("arrival"), "partition", "offset")
+    return _load_kafka(reader, spark).select(F.col("value").cast("string").alias("value"),
+                                             F.col("timestamp").alias("arrival"), "partition", "offset")
 
 
 def kafka_batch(spark: SparkSession, servers: str, topic: str, **kw) -> DataFrame:
     opts = kafka_options(servers, topic, **kw)
     opts.pop("kafka.group.id", None)
-    return (spark.read.format("kafka").options(**opts).load()
+    return (_load_kafka(spark.read.format("kafka").options(**opts), spark)
             .select(F.col("value").cast("string").alias("value"), "partition", "offset"))
 
 
@@ -68,10 +84,15 @@ def result_topic_options(servers: str, kind: str) -> dict[str, str]:
     return kafka_options(servers, topic, group_id=f"{CONSUMER_GROUP_PREFIX}{topic}")
 
 
+def result_messages(spark: SparkSession, servers: str, kind: str) -> DataFrame:
+    """One result topic's messages (``value`` text), as a stream."""
+    raw = _load_kafka(spark.readStream.format("kafka").options(**result_topic_options(servers, kind)), spark)
+    return raw.select(F.col("value").cast("string").alias("value"))
+
+
 def result_stream(spark: SparkSession, servers: str, kind: str) -> DataFrame:
     """Typed rows of one result topic, as a stream (feeds a recent-rows table)."""
-    raw = spark.readStream.format("kafka").options(**result_topic_options(servers, kind)).load()
-    return decode_results(raw.select(F.col("value").cast("string").alias("value")), kind)
+    return decode_results(result_messages(spark, servers, kind), kind)
 
 
 def decode_results(messages: DataFrame, kind: str, schema: StructType | None = None) -> DataFrame:
