@@ -94,7 +94,7 @@ def test_stateful_ema_matches_batch_across_batches(spark, scratch):
     src = f"{scratch}/ticks"
     os.makedirs(src)
     base = time.time() - 1000
-    for i, part in enumerate(np.array_split(pdf, 4)):
+    for i, part in enumerate(pdf.iloc[k:k + 75] for k in range(0, n, 75)):
         p = f"{src}/p{i}.parquet"
         part.to_parquet(p, index=False, coerce_timestamps="us")
         os.utime(p, (base + i, base + i))
@@ -193,7 +193,7 @@ def test_batch_ema_continues_across_micro_batches(spark, scratch, block):
     src = f"{scratch}/ticks"
     os.makedirs(src)
     base = time.time() - 1000
-    for i, part in enumerate(np.array_split(pdf, 3)):
+    for i, part in enumerate(pdf.iloc[k:k + 300] for k in range(0, n, 300)):
         p = f"{src}/p{i}.parquet"
         part.to_parquet(p, index=False, coerce_timestamps="us")
         os.utime(p, (base + i, base + i))

@@ -74,7 +74,9 @@ def streaming_ema(ticks: DataFrame, spans: Sequence[float] = (12, 26), key: str
     names = [f"ema_{int(s)}" for s in spans]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True)
+        parts = [b for b in batches if len(b)]
+        pdf = (pd.concat(parts, ignore_index=True) if parts
+               else pd.DataFrame({"ts": [], "seq": [], "price": []}))
         pdf = pdf[pdf["price"].notna()].sort_values(["ts", "seq"], kind="stable")
         prev = None
         late = 0
