@@ -1,3 +1,29 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from ticksmith.llm import mixing
+
+_OP7 = f"""
+WITH RECURSIVE sizes AS (
+  SELECT coalesce('s' || source, 'n') AS k, sum(coalesce(length(text), 0)) AS chars
+  FROM documents GROUP BY 1 HAVING sum(coalesce(length(text), 0)) > 0),
+total AS (SELECT sum(chars)::DOUBLE AS total, sum(pow(chars, {mixing.TEMPERATURE})) AS weights FROM sizes),
+rates AS (SELECT k, pow(chars, {mixing.TEMPERATURE}) / weights * total / chars AS rate FROM sizes, total),
+means AS (SELECT k, greatest(1, ceil(rate / {mixing.PIECE}))::INT AS pieces,
+                 rate / greatest(1, ceil(rate / {mixing.PIECE})) AS mean FROM rates),
+steps(k, mean, i, p, c) AS (
+  SELECT k, mean, 0, exp(-mean), exp(-mean) FROM means
+  UNION ALL
+  SELECT k, mean, i + 1, p * mean / (i + 1), c + p * mean / (i + 1) FROM steps WHERE i + 1 < {mixing.PLACES}),
+cdfs AS (SELECT k, list(c ORDER BY i) AS cdf FROM steps GROUP BY k),
+drawn AS (
+  SELECT d.*, list_sum(list_transform(range(1, pieces + 1), lambda j: len(list_filter(cdf, lambda c: c <
+    (('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j)[1:13])::BIGINT::DOUBLE + 0.5)
+    / {2**52}.0::DOUBLE)))) AS n
+  FROM documents d JOIN means m ON m.k = coalesce('s' || source, 'n') JOIN cdfs USING (k)),
+copies AS (SELECT *, unnest(range(1, n::BIGINT + 1))::INT AS copy FROM drawn WHERE n > 0)
+SELECT doc_id, text, lang, source, n_chars, copy,
+       ('0x' || md5('{mixing.SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy)[1:13])::BIGINT AS shuffle_key
+FROM copies
+"""
+
+ORACLE: dict[str, str] = {"op7_poisson_mix": _OP7}

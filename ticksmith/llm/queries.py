@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticksmith.llm import quality_rules, simhash
+from ticksmith.llm import mixing, pii, quality_rules, simhash
 from ticksmith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,5 +23,23 @@ def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).drop("text")
 
 
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.annotate(docs, keep_text=False)
+    base = F.filter("pii_spans", lambda s: s["kind"] != pii.FOUND)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op5_simhash_trie, op6_suffix_repetition)}
+    op5_simhash_trie, op6_suffix_repetition, op7_poisson_mix, op10_contextual_pii)}
