@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticksmith.llm import mixing, pii, quality_rules, simhash
+from ticksmith.llm import mixing, packing, pii, quality_rules, simhash
 from ticksmith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_best_fit_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -42,4 +46,4 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op5_simhash_trie, op6_suffix_repetition, op7_poisson_mix, op10_contextual_pii)}
+    op3_best_fit_swaps, op5_simhash_trie, op6_suffix_repetition, op7_poisson_mix, op10_contextual_pii)}
