@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
-from ticksmith.llm import mixing
+from ticksmith.llm import mixing, topk, warc
 
 _OP7 = f"""
 WITH RECURSIVE sizes AS (
@@ -26,4 +26,28 @@ SELECT doc_id, text, lang, source, n_chars, copy,
 FROM copies
 """
 
-ORACLE: dict[str, str] = {"op7_poisson_mix": _OP7}
+_OP1 = f"""
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS code FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.code, c.code)::BIGINT AS score
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+_OP4 = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY html) END AS first FROM payloads)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+ORACLE: dict[str, str] = {"op1_segment_bounds": _OP1, "op4_warc_salvage": _OP4, "op7_poisson_mix": _OP7}

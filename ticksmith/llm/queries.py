@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticksmith.llm import mixing, packing, pii, quality_rules, simhash
+from ticksmith.llm import mixing, packing, pii, quality_rules, simhash, token_counts, topk, warc
 from ticksmith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_segment_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op2_offset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_by_section(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,4 +58,4 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_best_fit_swaps, op5_simhash_trie, op6_suffix_repetition, op7_poisson_mix, op10_contextual_pii)}
+    op1_segment_bounds, op2_offset_counts, op3_best_fit_swaps, op4_warc_salvage, op5_simhash_trie, op6_suffix_repetition, op7_poisson_mix, op10_contextual_pii)}
