@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticksmith.llm import mixing, packing, pii, pu_classifier, quality_rules, simhash, token_counts, topk, warc
+from ticksmith.llm import (mixing, packing, pii, pu_classifier, quality_rules, simhash, substring_dedup, token_counts,
+                           topk, warc)
 from ticksmith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,10 @@ def op8_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_interval_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.annotate(docs, keep_text=False)
@@ -63,4 +68,4 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_segment_bounds, op2_offset_counts, op3_best_fit_swaps, op4_warc_salvage, op5_simhash_trie, op6_suffix_repetition, op7_poisson_mix,
-    op8_positive_unlabelled, op10_contextual_pii)}
+    op8_positive_unlabelled, op9_interval_tree_dedup, op10_contextual_pii)}
