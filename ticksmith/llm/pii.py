@@ -50,6 +50,8 @@ CONTEXT_CHARS = 64
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.5
 ROUNDS = 3
+#: One in so many texts is counted first, to rule out common patterns.
+PART = 64
 
 _BLOCK = 1024
 
@@ -175,6 +177,13 @@ def learn(rows: DataFrame, texts: DataFrame, min_seeds: int = MIN_SEEDS,
                      .where(F.col("seeds") >= min_seeds), "seeded-patterns")
     if support.isEmpty():
         return support.select("pattern", F.lit(0.0).alias("confidence")).limit(0)
+    # Occurrences in a part of the texts are a lower bound of all of them, so a pattern
+    # that is too common there cannot reach the confidence and needs no full count.
+    part = texts.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0)
+    followed = edges.join(support.select("pattern"), "pattern").groupBy("pattern").agg(F.sum("n").alias("followed"))
+    common = _occurrences(part, support).join(followed, "pattern") \
+        .where(F.col("followed") < min_confidence * F.col("total")).select("pattern")
+    support = stored(support.join(common, "pattern", "left_anti"), "rare-patterns")
     total = stored(_occurrences(texts, support), "pattern-totals")
     graph = stored(edges.join(support.select("pattern"), "pattern"), "graph")
     score = graph.groupBy("value").agg(F.max("seed").alias("score"))
