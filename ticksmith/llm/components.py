@@ -32,10 +32,12 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not last[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored before the joins: between two plain tables Spark can split a large key
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large-star")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v") \
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = stored(small, "links")
