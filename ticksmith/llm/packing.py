@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ticksmith.llm.common import stored, text_chunks
-from ticksmith.llm.word_tokens import WordTokens, tokenizer_path
+from ticksmith.llm.word_tokens import for_worker, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = for_worker(path)
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in text_chunks(texts, 4_000_000):

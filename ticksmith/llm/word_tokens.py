@@ -4,12 +4,19 @@ The tokenizer drops white space and never joins characters across it, so a
 text's ids are those of its blank-separated words in a row. Each distinct
 word is encoded once per task; texts are then put together from the cached
 ids. Only a bounded number of words is kept.
+
+Words of letters are the bulk. They need none of the tokenizer's
+normalisation but lower case, and its pattern takes them whole, so they go
+to its merges directly, with their bytes spelt in its byte alphabet.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+import sys
+import types
+import unicodedata
 
 import numpy as np
 
@@ -17,7 +24,7 @@ import numpy as np
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r\x0b\x0c]+")
 
-#: Distinct words kept per task.
+#: Distinct words kept by a Python worker.
 CACHE_WORDS = 1_000_000
 _PUNCTUATION = ".,;:!?"
 
@@ -27,12 +34,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def for_worker(path: str) -> "WordTokens":
+    """The encoder of this Python worker: it serves many tasks, and keeps the words it has met."""
+    held = sys.modules.setdefault("_ticksmith_word_tokens", types.ModuleType("_ticksmith_word_tokens"))
+    if getattr(held, "path", None) != path:
+        held.words, held.path = WordTokens(path), path
+    return held.words
+
+
 class WordTokens:
     """``encode``: little-endian uint32 ids of a text, as bytes."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self._tok = Tokenizer.from_file(path)
+        self._bare = Tokenizer.from_file(path)
+        self._bare.normalizer = normalizers.Sequence([])
+        self._bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self._spelt = byte_alphabet()
         self._of: dict[str, bytes] = {"": b""}
         size = self._tok.get_vocab_size(with_added_tokens=True)
         self._last = np.zeros(size, bool)
@@ -42,55 +68,52 @@ class WordTokens:
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch(words, add_special_tokens=False)]
 
-    def _letters(self, cores: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters only: each ends at its one end-of-word token, so many are encoded at once."""
-        out: dict[str, bytes] = {}
-        for lo in range(0, len(cores), 4000):
-            part = cores[lo:lo + 4000]
-            ids = np.array(self._tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self._last[ids]) + 1).tolist()
-            if len(ends) != len(part):  # some letter is no letter to the tokenizer
-                out.update(zip(part, self._ids(part)))
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(part, ends):
-                out[w] = raw[4 * at:4 * e]
+    def _letters(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of letters: each ends at its one end-of-word token, so many are encoded at once."""
+        spelt = [s if s.isascii() else s.encode().decode("latin-1").translate(self._spelt) for s in stems]
+        raw: list[bytes] = []
+        for lo in range(0, len(spelt), 4000):
+            got = self._bare.encode_batch_fast([" ".join(spelt[lo:lo + 4000])], add_special_tokens=False)[0]
+            ids = np.array(got.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for e in (4 * np.flatnonzero(self._last[ids]) + 4).tolist():
+                raw.append(data[at:e])
                 at = e
-        return out
+        return dict(zip(stems, raw, strict=True))
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self._of]
+        new = list(words - self._of.keys())
         if len(self._of) + len(new) > CACHE_WORDS:
             self._of = {"": b""}
-            new = [w for w in words if w]
-        stems: dict[str, bytes] = {}
-        marks: dict[str, bytes] = {"": b""}
-        rest: list[str] = []
+            new = [w for w in words if w]  # those dropped before are needed again
         of = self._of
+        stem_of: dict[str, str] = {}
+        rest: list[str] = []
         for w in new:
             stem = w.rstrip(_PUNCTUATION)
-            low = stem.lower()
-            # 'Σ' is lowered by its place in the word; longer lower cases hold marks
-            if stem.isalpha() and len(low) == len(stem) and "Σ" not in stem:
-                stems[low] = b""
-                marks[w[len(stem):]] = b""
-            else:
-                rest.append(w)
-        stems = self._letters(list(stems))
-        signs = [m for m in marks if m]
-        marks.update(zip(signs, self._ids(signs)))
+            if stem.isalpha():
+                if stem.isascii():
+                    stem_of[w] = stem.lower()
+                    continue
+                low = stem.lower()
+                # 'Σ' is lowered by its place in the word; longer lower cases hold marks
+                if len(low) == len(stem) and "Σ" not in stem and low.isalpha() and unicodedata.is_normalized("NFC", stem):
+                    stem_of[w] = low
+                    continue
+            rest.append(w)
+        stems = self._letters(list(set(stem_of.values())))
+        marks = list({w[len(s):] for w, s in stem_of.items()} - {""})
+        ends = {"": b""} | dict(zip(marks, self._ids(marks)))
+        for w, s in stem_of.items():
+            of[w] = stems[s] + ends[w[len(s):]]
         of.update(zip(rest, self._ids(rest)))
-        for w in new:
-            if w not in of:
-                stem = w.rstrip(_PUNCTUATION)
-                of[w] = stems[stem.lower()] + marks[w[len(stem):]]
 
     def encode(self, texts: list) -> list[bytes]:
         tracing = gc.isenabled()
         gc.disable()  # only strings and bytes are made here, no cycles
         try:
             words = [_BLANKS.split(t) if t and _SEPARATORS.search(t) else (t or "").split() for t in texts]
-            self.learn({w for ws in words for w in ws})
+            self.learn(set().union(*words))
             get = self._of.__getitem__
             return [b"".join(map(get, ws)) for ws in words]
         finally:
