@@ -60,7 +60,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
     sizes = stored(sizes.withColumn("weight", weight), "source-sizes")
     total = sizes.agg(F.sum("chars").alias("total"), F.sum("weight").alias("weights"))
     return sizes.crossJoin(total).select(  # one row of totals
-        "source_key", F.try_divide(F.col("weight") / F.col("weights") * F.col("total"), F.col("chars")).alias("rate")) \
+        "source_key", F.try_divide(F.try_divide(F.col("weight"), F.col("weights")) * F.col("total"), F.col("chars")).alias("rate")) \
         .select("source_key", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 

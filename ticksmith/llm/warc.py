@@ -143,6 +143,8 @@ def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise ValueError("broken header line")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if "warc-type" not in headers or "warc-record-id" not in headers:
+        raise ValueError("mandatory header missing")
     size = headers.get("content-length", "")
     if not size.isdecimal():
         raise ValueError("no content length")
@@ -219,7 +221,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | None,
     """("record", offset, length, headers, payload) or ("gap", offset, length, {"reason": ...}, None), in order."""
     at, gap, reason = 0, -1, ""
     while at < len(data):
-        if gap < 0 and data[at] == 0 and data[at:at + 1] == b"\x00":
+        if gap < 0 and data[at] == 0:
             at += 1  # padding between members
             continue
         try:
