@@ -18,6 +18,7 @@ task holds one shard's lengths, not its tokens.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,49 +27,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from ticksmith.llm.common import stored, text_chunks
+from ticksmith.llm.common import stored
 from ticksmith.llm.word_tokens import for_worker, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
 SHARD_ROWS = 8192
+#: Text bytes encoded at once by a task.
+BATCH_BYTES = 16_000_000
 #: Sequences at least this full are final after any round.
 FULL = 0.98
 MAX_ROUNDS = 12
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-           end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
+           end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids``: each document's ids with ``end_id``, cut only beyond ``capacity``.
 
-    ``ids`` are little-endian unsigned 32-bit numbers in a row.
+    ``ids`` are little-endian unsigned 32-bit numbers in a row; without them
+    their checksum, ``ids_crc32``, is returned instead.
     """
     path = tokenizer or tokenizer_path()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = StructType([src.schema["doc_id"], StructField("piece", IntegerType()), StructField("start", LongType()),
-                         StructField("length", LongType()), StructField("ids", BinaryType())])
+                         StructField("length", LongType()),
+                         StructField("ids", BinaryType()) if with_ids else StructField("ids_crc32", LongType())])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = for_worker(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in text_chunks(texts, 4_000_000):
-                rows, piece, start, length, ids = [], [], [], [], []
-                for i, raw in enumerate(words.encode(texts[lo:hi])):
-                    raw += end
+            size = b.column(1).nbytes
+            step = max(1, int(b.num_rows * BATCH_BYTES / max(1, size)))
+            for lo in range(0, b.num_rows, step):
+                data, at = words.encode_array(b.column(1)[lo:lo + step])
+                cols: list[list] = [[] for _ in range(5)]
+                for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    raw = bytes(data[s:e]) + end
                     n = len(raw) // 4
-                    for k, s in enumerate(range(0, n, capacity)):
-                        part = raw[4 * s:4 * (s + capacity)]
-                        rows.append(lo + i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(len(part) // 4)
-                        ids.append(part)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"])
+                    for k, first in enumerate(range(0, n, capacity)):
+                        part = raw[4 * first:4 * (first + capacity)]
+                        for c, v in zip(cols, (lo + i, k, first, len(part) // 4, part if with_ids else zlib.crc32(part))):
+                            c.append(v)
+                rows = b.column(0).take(pa.array(cols[0], pa.int64()))
+                last = pa.array(cols[4], pa.binary() if with_ids else pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+                                                  pa.array(cols[3], pa.int64()), last], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -260,6 +264,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
                    tokenizer: str | None = None, shard_rows: int = SHARD_ROWS, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece, and ``ids`` if asked for."""
-    cut = pieces(docs, id_col, text_col, capacity, tokenizer=tokenizer).withColumn("ids_crc32", F.crc32("ids"))
-    cut = cut.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []))
+    cut = pieces(docs, id_col, text_col, capacity, tokenizer=tokenizer, with_ids=with_ids)
+    if with_ids:
+        cut = cut.withColumn("ids_crc32", F.crc32("ids"))
     return pack(stored(cut, "pieces"), capacity, shard_rows=shard_rows)

@@ -38,6 +38,8 @@ MAX_BITS = 4
 MAX_GROUP = 1 << 17
 #: Node pairs held at once by a task.
 FRONTIER = 1 << 19
+#: Shingle hashes spread into bits at once.
+BLOCK = 1 << 18
 
 
 # --- fingerprints ---------------------------------------------------------
@@ -65,10 +67,14 @@ def fingerprints(texts: list, words: int = SHINGLE) -> np.ndarray:
         some = np.flatnonzero(n)
         if not len(some):
             continue
-        flat = np.array([x for h in hashes for x in h], np.uint64)
-        bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        flat = np.array([x for h in hashes for x in h], ">u8")
+        text = np.repeat(np.arange(len(some)), n[some])
+        ones = np.zeros((len(some), 64), np.int64)
+        for a in range(0, len(flat), BLOCK):  # 64 bytes a hash: a block at a time, however long a text
+            bits = np.unpackbits(flat[a:a + BLOCK].view(np.uint8).reshape(-1, 8), axis=1)
+            here = text[a:a + BLOCK]
+            cut = np.concatenate([[0], np.flatnonzero(here[1:] != here[:-1]) + 1])
+            ones[here[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
         packed = np.packbits(2 * ones > n[some][:, None], axis=1)
         out[lo + some] = packed.view(">u8").ravel().astype(np.uint64)
     return out.view(np.int64)

@@ -48,11 +48,14 @@ MIN_BYTES = 100
 GRAM = 24
 #: Windows of one run at most.
 RUN = 4096
-HOT_CLASSES = 200_000
-LOCAL_HOT = 256
-#: Text bytes a map task works on at once, and run bytes of one suffix array.
-CHUNK = 2_000_000
-ARRAY_BYTES = 6_000_000
+HOT_CLASSES = 20_000
+LOCAL_HOT = 2048
+#: Runs that a map task gathers before it deals them, and that a reduce task holds of one bucket.
+DEAL_RUNS = 500_000
+HOLD_RUNS = 2_000_000
+#: Text bytes a map task works on at once (longer texts overlap by a window), and run bytes of one suffix array.
+CHUNK = 1_000_000
+ARRAY_BYTES = 1_000_000
 
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -106,8 +109,11 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def find_runs(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, least: int, gram: int) -> np.ndarray:
-    """All runs of the texts: anchor, hash of bytes, document, place in its text, number of bytes."""
+def find_runs(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, base: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """All runs of the pieces of text: anchor, hash of bytes, document, place in its text, number of bytes.
+
+    ``base``: where each piece begins in its document.
+    """
     n = len(data)
     size = np.diff(starts)
     if n < least or not (size >= least).any():
@@ -151,7 +157,7 @@ def find_runs(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, least: int
         to[live] += gram
     out = np.empty(len(begin), RUN_TYPE)
     out["m"], out["c"], out["doc"] = low[begin], c, docs[text[begin]]
-    out["at"], out["n"] = begin - starts[text[begin]], length | (own * SELF)
+    out["at"], out["n"] = begin - starts[text[begin]] + base[text[begin]], length | (own * SELF)
     return out
 
 
@@ -219,6 +225,10 @@ _ROW_SCHEMA = StructType([StructField("bucket", LongType()), StructField("kind",
                           StructField("doc", LongType()), StructField("data", BinaryType())])
 
 
+_ROW_SCHEMA = StructType([StructField("bucket", LongType()), StructField("kind", ByteType()),
+                          StructField("doc", LongType()), StructField("data", BinaryType())])
+
+
 def _settle(runs: np.ndarray, hot: int, ask_hot: int) -> Iterator[pa.RecordBatch]:
     """Covers and requests of whole anchors."""
     firsts, others = split_classes(runs)
@@ -232,37 +242,56 @@ def _settle(runs: np.ndarray, hot: int, ask_hot: int) -> Iterator[pa.RecordBatch
 def _map_runs(texts: DataFrame, least: int, gram: int, buckets: int, local_hot: int) -> DataFrame:
     """Rows of ``kind``: covers found locally, packed runs per bucket, requests of hot anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
         for b in batches:
             ids, col = b.column(0).to_numpy(), b.column(1).cast(pa.binary())
-            raw = [x.as_py() for x in col]
-            lo = 0
-            while lo < len(raw):
-                hi, size = lo, 0
-                while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= CHUNK):
-                    size += len(raw[hi])
-                    hi += 1
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in raw[lo:hi]])]).astype(np.int64)
-                data = np.frombuffer(b"".join(raw[lo:hi]), np.uint8)
-                firsts, others = split_classes(find_runs(data, starts, ids[lo:hi], least, gram))
-                rows = _cover_rows(others["doc"], others["at"], _ends(others))
-                if rows is not None:
-                    yield rows
-                n = _counts(firsts)
-                hot = firsts[n > local_hot]
-                if len(hot):
-                    yield _request_rows(HOT, hot)
-                    marks = np.unique(hot["m"])  # tell the bucket that these anchors are hot
-                    told = np.zeros(len(marks), RUN_TYPE)
-                    told["m"] = marks
-                    firsts = np.concatenate([firsts[n <= local_hot], told])
-                bucket = (firsts["m"] >> np.uint64(11)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                firsts, bucket = firsts[order], bucket[order]
-                cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-                if len(bucket):
-                    yield _rows(RUNS, bucket[cut[:-1]].astype(np.int64), np.zeros(len(cut) - 1),
-                                [_pack(firsts[a:e]) for a, e in zip(cut[:-1], cut[1:])])
-                lo = hi
+            pieces: list[tuple[int, int, bytes]] = []
+            size = 0
+            for doc, x in zip(ids.tolist(), col):
+                raw = x.as_py()
+                for at in range(0, max(1, len(raw)), CHUNK):
+                    part = raw[at:at + CHUNK + least - 1]
+                    if pieces and size + len(part) > CHUNK:
+                        held.append(found(pieces))
+                        n += len(held[-1])
+                        pieces, size = [], 0
+                        if n >= DEAL_RUNS:
+                            yield from deal(np.concatenate(held))
+                            held, n = [], 0
+                    pieces.append((doc, at, part))
+                    size += len(part)
+            if pieces:
+                held.append(found(pieces))
+                n += len(held[-1])
+        if n:
+            yield from deal(np.concatenate(held))
+
+    def found(pieces: list[tuple[int, int, bytes]]) -> np.ndarray:
+        docs, base = (np.array([x[k] for x in pieces], np.int64) for k in (0, 1))
+        starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in pieces])]).astype(np.int64)
+        return find_runs(np.frombuffer(b"".join([x[2] for x in pieces]), np.uint8), starts, docs, base, least, gram)
+
+    def deal(runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        firsts, others = split_classes(runs)
+        rows = _cover_rows(others["doc"], others["at"], _ends(others))
+        if rows is not None:
+            yield rows
+        n = _counts(firsts)
+        hot = firsts[n > local_hot]
+        if len(hot):
+            yield _request_rows(HOT, hot)
+            marks = np.unique(hot["m"])  # tell the bucket that these anchors are hot
+            told = np.zeros(len(marks), RUN_TYPE)
+            told["m"] = marks
+            firsts = np.concatenate([firsts[n <= local_hot], told])
+        bucket = (firsts["m"] >> np.uint64(11)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        firsts, bucket = firsts[order], bucket[order]
+        cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+        if len(bucket):
+            yield _rows(RUNS, bucket[cut[:-1]].astype(np.int64), np.zeros(len(cut) - 1),
+                        [_pack(firsts[a:e]) for a, e in zip(cut[:-1], cut[1:])])
 
     return texts.mapInArrow(run, _ROW_SCHEMA)
 
@@ -282,37 +311,56 @@ def _unpack(data: bytes) -> np.ndarray:
     return out
 
 
-def _reduce_runs(rows: DataFrame, hot: int) -> DataFrame:
-    """Covers and requests, from the runs of whole buckets."""
-    def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        runs = np.concatenate([_unpack(x) for x in blobs])
+class _Bucket:
+    """Runs of one bucket as they arrive; large anchors go the other way as soon as they are known."""
+
+    def __init__(self, hot: int) -> None:
+        self.limit, self.held, self.n, self.hot = hot, [], 0, np.zeros(0, np.uint64)
+
+    def add(self, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(runs)
+        self.n += len(runs)
+        if self.n >= HOLD_RUNS:
+            firsts = yield from self._settle()
+            self.held, self.n = [firsts], len(firsts)
+
+    def _settle(self) -> Iterator[pa.RecordBatch]:
+        """Covers and hot requests; the first runs of the other anchors remain."""
+        runs = np.concatenate(self.held)
         told = runs["n"] == 0
-        if told.any():
-            marked = np.isin(runs["m"], runs["m"][told])
-            runs, was = runs[~told], marked[~told]
-            firsts, others = split_classes(runs[was])
-            for part in (_cover_rows(others["doc"], others["at"], _ends(others)), _request_rows(HOT, firsts)):
-                if part is not None:
-                    yield part
-            runs = runs[~was]
-        yield from _settle(runs, hot, HOT)
+        self.hot = np.union1d(self.hot, runs["m"][told])
+        firsts, others = split_classes(runs[~told])
+        self.hot = np.union1d(self.hot, firsts["m"][_counts(firsts) > self.limit])
+        is_hot = np.isin(firsts["m"], self.hot)
+        for rows in (_cover_rows(others["doc"], others["at"], _ends(others)), _request_rows(HOT, firsts[is_hot])):
+            if rows is not None:
+                yield rows
+        return firsts[~is_hot]
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            firsts = yield from self._settle()
+            rows = _request_rows(RUNS, firsts[(_counts(firsts) > 1) | (firsts["n"] >= SELF)])
+            if rows is not None:
+                yield rows
+
 
+def _reduce_runs(rows: DataFrame, hot: int) -> DataFrame:
+    """Covers and requests, from the runs of whole buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
+        at, bucket = None, _Bucket(hot)
         for b in batches:
             kinds = b.column(1).to_numpy()
             passed = np.flatnonzero(kinds != RUNS)
             if len(passed):
                 yield b.take(pa.array(passed))
             for i in np.flatnonzero(kinds == RUNS).tolist():
-                at = b.column(0)[i].as_py()
-                if at != bucket and blobs:
-                    yield from solve(blobs)
-                    blobs = []
-                bucket = at
-                blobs.append(b.column(3)[i].as_py())
-        if blobs:
-            yield from solve(blobs)
+                here = b.column(0)[i].as_py()
+                if here != at:
+                    yield from bucket.close()
+                    at, bucket = here, _Bucket(hot)
+                yield from bucket.add(_unpack(b.column(3)[i].as_py()))
+        yield from bucket.close()
 
     return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, _ROW_SCHEMA)
 
@@ -444,7 +492,7 @@ def ordered_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeats(texts: DataFrame, least: int = MIN_BYTES, gram: int = GRAM, hot_classes: int = HOT_CLASSES,
             local_hot: int = LOCAL_HOT) -> tuple[DataFrame, DataFrame]:
     """(spans already covered as ``doc, data``, occurrences of maximal repeats) of ``doc, text``."""
-    buckets = 64 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled = stored(_reduce_runs(_map_runs(texts, least, gram, buckets, local_hot), hot_classes).drop("bucket"), "runs")
     runs = _fetch(texts, settled.where(F.col("kind") != COVER))
     arrays = _by_arrays(runs.where(F.col("kind") == RUNS), least)

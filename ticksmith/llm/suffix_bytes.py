@@ -23,15 +23,18 @@ class ByteSuffixes:
         self.string_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         self.end = starts[1:][self.string_of] if n else np.zeros(0, np.int64)
         self.data = data
-        symbol = np.zeros(n + FIRST, np.int64)
-        symbol[:n] = data.astype(np.int64) + 1
+        symbol = np.zeros(n + FIRST, np.int16)
+        symbol[:n] = data
+        symbol[:n] += 1
         left = self.end - np.arange(n)
         key = np.zeros(n, np.int64)
         for j in range(FIRST):
-            key = (key << 9) | np.where(left > j, symbol[j:j + n], 0)
+            key <<= 9
+            key |= np.where(left > j, symbol[j:j + n], 0)
         order, first = _groups(key)
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32 if n < 2**31 - 1 else np.int64)
         rank[order] = first
+        del key, left, symbol
         self.order, self.levels, self.lengths = order, [rank], [FIRST]
         tied, h = order[_tie(first)], FIRST
         # two whole strings may be equal: then their ends tie for ever
@@ -39,9 +42,9 @@ class ByteSuffixes:
             rank = self.levels[-1]
             after = tied + h
             nxt = np.where(after < self.end[tied], rank[np.minimum(after, n - 1)] + 1, 0)
-            o, first = _groups(rank[tied] * (n + 1) + nxt)
+            o, first = _groups(rank[tied].astype(np.int64) * (n + 1) + nxt)
             p = tied[o]
-            old = rank[p]
+            old = rank[p].astype(np.int64)
             within = np.arange(len(p)) - _first_of(old)
             new = rank.copy()
             new[p] = np.maximum.accumulate(np.where(first == np.arange(len(p)), old + within, 0))

@@ -1,32 +1,31 @@
 """Token ids of whole texts by a public word-level BPE file, encoded word by word.
 
 The tokenizer drops white space and never joins characters across it, so a
-text's ids are those of its blank-separated words in a row. Each distinct
-word is encoded once per task; texts are then put together from the cached
-ids. Only a bounded number of words is kept.
-
-Words of letters are the bulk. They need none of the tokenizer's
-normalisation but lower case, and its pattern takes them whole, so they go
-to its merges directly, with their bytes spelt in its byte alphabet.
+text's ids are those of its blank-separated words in a row. A batch's words
+are split, numbered and put together again by Arrow; only its distinct words
+reach Python, and only those not met before reach the tokenizer. A bounded
+number of words is kept.
+
+Words of Latin letters, with or without marks after them, are the bulk. They
+need none of the tokenizer's normalisation but lower case, and its pattern
+takes letters and marks as wholes, so the letters go to its merges directly,
+with their bytes spelt in its byte alphabet.
 """
 
 from __future__ import annotations
 
 import gc
-import re
 import sys
 import types
-import unicodedata
 
 import numpy as np
-
-# str.split() also parts at these four, which the tokenizer does not drop.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_BLANKS = re.compile("[ \t\n\r\x0b\x0c]+")
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct words kept by a Python worker.
 CACHE_WORDS = 1_000_000
-_PUNCTUATION = ".,;:!?"
+# Words of Latin letters with an upper bound of 255: composed, and lowered letter by letter.
+_PLAIN = "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<mark>[.,;:!?]*)$"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,7 +58,7 @@ class WordTokens:
         self._bare.normalizer = normalizers.Sequence([])
         self._bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self._spelt = byte_alphabet()
-        self._of: dict[str, bytes] = {"": b""}
+        self._of: dict[str, bytes] = {}
         size = self._tok.get_vocab_size(with_added_tokens=True)
         self._last = np.zeros(size, bool)
         for text, i in self._tok.get_vocab(with_added_tokens=True).items():
@@ -81,41 +80,52 @@ class WordTokens:
                 at = e
         return dict(zip(stems, raw, strict=True))
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self._of.keys())
-        if len(self._of) + len(new) > CACHE_WORDS:
-            self._of = {"": b""}
-            new = [w for w in words if w]  # those dropped before are needed again
-        of = self._of
-        stem_of: dict[str, str] = {}
-        rest: list[str] = []
-        for w in new:
-            stem = w.rstrip(_PUNCTUATION)
-            if stem.isalpha():
-                if stem.isascii():
-                    stem_of[w] = stem.lower()
-                    continue
-                low = stem.lower()
-                # 'Σ' is lowered by its place in the word; longer lower cases hold marks
-                if len(low) == len(stem) and "Σ" not in stem and low.isalpha() and unicodedata.is_normalized("NFC", stem):
-                    stem_of[w] = low
-                    continue
-            rest.append(w)
-        stems = self._letters(list(set(stem_of.values())))
-        marks = list({w[len(s):] for w, s in stem_of.items()} - {""})
-        ends = {"": b""} | dict(zip(marks, self._ids(marks)))
-        for w, s in stem_of.items():
-            of[w] = stems[s] + ends[w[len(s):]]
-        of.update(zip(rest, self._ids(rest)))
-
-    def encode(self, texts: list) -> list[bytes]:
+    def _known(self, words: list[str], encode) -> pa.Array:
+        """Ids of distinct ``words``; ``encode`` makes those not met before."""
         tracing = gc.isenabled()
         gc.disable()  # only strings and bytes are made here, no cycles
         try:
-            words = [_BLANKS.split(t) if t and _SEPARATORS.search(t) else (t or "").split() for t in texts]
-            self.learn(set().union(*words))
-            get = self._of.__getitem__
-            return [b"".join(map(get, ws)) for ws in words]
+            new = [w for w in words if w not in self._of]
+            if len(self._of) + len(new) > CACHE_WORDS:
+                self._of = {}
+                new = words
+            self._of.update(encode(new))
+            of = self._of
+            return pa.array([of[w] for w in words], pa.large_binary())
         finally:
             if tracing:
                 gc.enable()
+
+    def _whole(self, words: list[str]) -> dict[str, bytes]:
+        return dict(zip(words, self._ids(words)))
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        part = pc.extract_regex(words, _PLAIN)
+        plain = part.is_valid()
+        part = part.filter(plain)
+        stems = pc.utf8_lower(pc.struct_field(part, "stem")).dictionary_encode()
+        marks = pc.struct_field(part, "mark").dictionary_encode()
+        ids = pc.binary_join_element_wise(
+            self._known(stems.dictionary.to_pylist(), self._letters).take(stems.indices),
+            pa.array(self._ids(marks.dictionary.to_pylist()), pa.large_binary()).take(marks.indices),
+            pa.scalar(b"", pa.large_binary()))
+        odd = self._known(words.filter(pc.invert(plain)).to_pylist(), self._whole)
+        # back to the order of the words: the plain ones come first in the joint array
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place = np.where(is_plain, np.cumsum(is_plain) - 1, len(ids) + np.cumsum(~is_plain) - 1)
+        return pa.concat_arrays([ids, odd]).take(pa.array(place))
+
+    def encode_array(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """Ids of all texts in a row as bytes, and the byte at which each text begins (one more at the end)."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        ids = self._of_words(coded.dictionary).take(coded.indices)
+        data = ids.buffers()[2]
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        first = words.offsets.to_numpy()
+        return memoryview(data) if data is not None else memoryview(b""), ends[first - first[0]]
+
+    def encode(self, texts: list) -> list[bytes]:
+        data, at = self.encode_array(pa.array(texts, pa.string()))
+        return [bytes(data[a:e]) for a, e in zip(at[:-1].tolist(), at[1:].tolist())]
