@@ -64,7 +64,7 @@ def test_watermark_drops_and_emission(spark, scratch):
     assert a == b and len(a) > 0
     bb = stream.read_result(spark, out, "bb")
     assert bb.count() == len(a)
-    processed = stream.read_result(spark, out, "processed")
+    processed = stream.read_result(spark, out, "price")
     assert processed.count() == len(rows)  # pass-through keeps late rows
 
 
@@ -82,7 +82,7 @@ def test_restart_does_not_duplicate(spark, scratch):
                                           trigger={"availableNow": True}))
     sma = stream.read_result(spark, out, "sma").toPandas()
     assert not sma.duplicated(["window_start"]).any()
-    assert stream.read_result(spark, out, "processed").count() == 32
+    assert stream.read_result(spark, out, "price").count() == 32
 
 
 def test_stateful_ema_matches_batch_across_batches(spark, scratch):
@@ -168,7 +168,7 @@ def test_result_tables_from_topic_messages(spark, scratch):
     last = tail.latest_rows(spark, f"{scratch}/tables", "sma", 2, order=("window_start", "sma_20"))
     assert [r.sma_20 for r in last.orderBy("window_start").collect()] == [2.0, 3.0]
     table = spark.read.parquet(f"{scratch}/tables/sma")
-    assert table.count() == 5 and "processed_at" in table.columns
+    assert table.count() == 5 and {"processed_at", "batch", "arrival_part", "arrival_seq"} <= set(table.columns)
     with pytest.raises(ValueError):
         tail.latest_rows(spark, f"{scratch}/tables", "volume")
 
@@ -218,6 +218,32 @@ def test_batch_ema_continues_across_micro_batches(spark, scratch, block):
     assert sorted(state["symbol"]) == ["HOT", "cold"] and state["seq"].max() == n - 1
 
 
+def test_batch_ema_null_key_unkeyed_and_lost_state(spark):
+    import models
+    from ticksmith.streaming import batch_ema
+    schema = "symbol string, ts long, seq long, price double"
+    xs = [float(i * 7 % 13 + 1) for i in range(30)]
+    lots = [spark.createDataFrame([(None, i, i, x) for i, x in enumerate(xs)][a:b], schema) for a, b in ((0, 12), (12, 30))]
+    for keys in (("symbol",), ()):
+        state, got = None, []
+        for lot in lots:
+            out = batch_ema.continue_ema(lot, state, (12,), keys)
+            state = batch_ema.next_state(out, state, (12,), keys)
+            got += [r.ema_12 for r in out.orderBy("ts").collect()]
+        assert np.allclose(got, models.recursion(xs, 12), rtol=1e-12)
+        assert state.count() == 1
+
+
+def test_lost_state_is_an_error_and_old_state_goes(spark, scratch):
+    from ticksmith.streaming import batch_ema
+    step = batch_ema.writer(f"{scratch}/e", (12,))
+    for i in range(4):
+        step(spark.createDataFrame([("a", i, i, 1.0)], "symbol string, ts long, seq long, price double"), i)
+    assert sorted(p for p in os.listdir(f"{scratch}/e/state") if p.startswith("batch")) == ["batch=2", "batch=3"]
+    with pytest.raises(RuntimeError, match="state"):
+        step(spark.createDataFrame([("a", 9, 9, 1.0)], "symbol string, ts long, seq long, price double"), 9)
+
+
 def test_quarantine_branch(spark, scratch):
     src_dir = f"{scratch}/in"
     os.makedirs(src_dir)
@@ -226,9 +252,7 @@ def test_quarantine_branch(spark, scratch):
     streams = stream.indicator_streams(msg_sources.file_stream(spark, src_dir), quarantine=True)
     out = stream.Outputs(root=f"{scratch}/out")
     stream.run_available(stream.start(streams, out, trigger={"availableNow": True}, indicators=False))
-    from ticksmith.functions.codec import decode_frame
-    from ticksmith.schema import BAR_MESSAGE
-    processed = decode_frame(stream.read_result(spark, out, "processed"), BAR_MESSAGE)
+    processed = stream.read_result(spark, out, "price")
     assert [r.price for r in processed.collect()] == [1.0]
     rejected = sorted(r.value for r in spark.read.parquet(out.path("rejected")).collect())
     assert rejected == ["not json", "{}"]

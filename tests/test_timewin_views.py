@@ -77,20 +77,21 @@ def test_status_nan_and_null_are_bearish(spark):
 
 
 def test_money_and_percent_formats(spark):
-    df = spark.createDataFrame([(1234.5, 1.234), (-0.5, -0.5)], "m double, p double")
-    got = df.select(display.money("m"), display.signed_percent("p")).collect()
-    assert [tuple(r) for r in got] == [("$1,234.50", "+1.23%"), ("$-0.50", "-0.50%")]
-    assert f"${-0.5:,.2f}" == "$-0.50"
+    values = [1.234, -0.5, 1.125, 0.125, 0.375, -1.125, 1234.5, 0.005, 2.675, float("nan")]
+    df = spark.createDataFrame([(1234.5 * (1 if p > 0 else -1), p) for p in values], "m double, p double")
+    got = df.select("m", "p", display.money("m"), display.signed_percent("p")).collect()
+    assert [(r[2], r[3]) for r in got] == [(f"${r[0]:,.2f}", f"{r[1]:+.2f}%") for r in got]
 
 
 def test_recent_trades_and_export(spark, scratch):
     m = _msgs(spark)
-    rt = views.recent_trades(m, 5, order=("seq",)).orderBy("seq").collect()
-    assert [r.seq for r in rt] == [4, 5, 6, 7, 8]
+    rt = views.recent_trades(m, 5, order=("seq",)).collect()
+    assert [r.seq for r in rt] == [4, 5, 6, 7, 8]  # oldest first
+    assert [r.seq for r in L.latest(m, 3, ("seq",)).collect()] == [6, 7, 8]
     assert rt[0].day == "2024-01-02" and rt[0].price_text == "$104.00"
     path = views.export_csv(m, f"{scratch}/exp", 3, ("seq",))
     back = views.read_export(spark, path, m.schema).toPandas()
-    assert sorted(back["seq"]) == [6, 7, 8]
+    assert list(back["seq"]) == [6, 7, 8]
     assert list(back.columns) == m.columns  # no index column
 
 
@@ -110,3 +111,36 @@ def test_top_n_tree_with_small_fan_in(spark, monkeypatch):
     per = L.latest_per_key(t, 3, ["symbol"], ("ts", "seq"), rank="r").toPandas()
     exp = pdf.groupby("symbol").tail(3)
     assert sorted(per["seq"]) == sorted(exp["seq"]) and set(per["r"]) == {1, 2, 3}
+
+
+def test_time_columns_use_time_bounds(spark):
+    df = spark.sql("select explode(sequence(timestamp'2024-01-09 12:00:00', timestamp'2024-01-12', interval 6 hours)) as t") \
+        .select("t", F.col("t").cast("timestamp_ntz").alias("n"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("s"),
+                F.to_date("t").alias("d"))
+    for bounds in (("2024-01-10", "2024-01-11T06:00:00"), ("2024-01-10", "2024-01-11"), ("2024-01-09T18:00:00", "2024-01-12")):
+        want = L.date_range(df, *bounds, col="s").count()
+        assert L.date_range(df, *bounds, col="t").count() == L.date_range(df, *bounds, col="n").count() == want > 0
+        day = L.date_range(df, *bounds, col="s", inclusive_end=True).count()
+        assert L.date_range(df, *bounds, col="t", inclusive_end=True).count() == day
+    assert L.date_range(df, "2024-01-10", "2024-01-11", col="d", inclusive_end=True).count() == 8
+
+
+def test_snapshot_of_a_row_without_a_price(spark):
+    m = spark.createDataFrame([("2024-01-01T00:00:00", None, 4.0, 3.0, 1)],
+                              "date string, price double, change_percent double, volume double, seq long")
+    s = views.snapshot(m, 100, order=("seq",)).first()
+    assert (s.current_price, s.price_change, s.current_volume, s.market_status) == ("$nan", "+4.00%", "$3.00", "Bullish")
+
+
+def test_chart_macd_is_one_shuffle_per_limit(spark):
+    df = views.macd_series(fixtures.ticks(spark, SF_SMALL), ["symbol"], ["ts", "seq"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2  # the two levels of the limit; the windows reuse the last one
+
+
+def test_market_dates_without_padding(spark):
+    from ticksmith.functions import text
+    cells = ["01/05/2024", "1/5/2024", "2024/01/05", "2024-1-5", "5 Jan 2024", "Jan 5, 2024", "January 5, 2024", "2024-01-05T00:00:00", "x"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [r[0] for r in df.select(text.parse_market_date("c").cast("date").cast("string")).collect()]
+    assert got == ["2024-01-05"] * 8 + [None]

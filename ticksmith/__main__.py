@@ -16,11 +16,24 @@ from __future__ import annotations
 
 import argparse
 
-from ticksmith.session import build_session
+from ticksmith.session import build_session, scratch_scope
+from ticksmith.sources.messages import INPUT_TOPIC
+from ticksmith.streaming.tail import TABLE_ORDER
 
 
-def _publish(msgs, args) -> None:
+def _publish(bars, args) -> None:
+    """Send time of a message: now, the bar's date, or ``--start`` plus row number times ``--step`` seconds."""
+    from pyspark.sql import functions as F
+
+    from ticksmith.plans import normalize
     from ticksmith.sinks import writers
+    stamp = None
+    if args.start:
+        bars = normalize.stamped(bars, args.start, args.step)
+        stamp = F.col("sent_at")
+    elif args.stamp == "date":
+        stamp = F.col("date")
+    msgs = normalize.to_messages(bars, stamp)
     if args.kafka:
         writers.publish(msgs, kafka_servers=args.kafka, topic=args.topic)
     else:
@@ -30,15 +43,15 @@ def _publish(msgs, args) -> None:
 def cmd_publish_csv(spark, args) -> None:
     from ticksmith.plans import normalize
     from ticksmith.sources import bars
-    typed = normalize.normalize_csv_bars(bars.read_csv_text(spark, args.input))
-    _publish(normalize.to_messages(typed), args)
+    raw = bars.read_csv_text(spark, args.input, args.multiline)
+    _publish(normalize.normalize_csv_bars(raw, mode="failfast" if args.failfast else "drop"), args)
 
 
 def cmd_publish_history(spark, args) -> None:
     from ticksmith.plans import normalize
     from ticksmith.sources import bars
     entries = bars.read_history(spark, args.input, multiline=not args.json_lines)
-    _publish(normalize.to_messages(normalize.history_bars(entries).orderBy("date")), args)
+    _publish(normalize.history_bars(entries).orderBy("date"), args)
 
 
 def _message_source(spark, args):
@@ -52,7 +65,7 @@ def _message_source(spark, args):
 def cmd_stream(spark, args) -> None:
     from ticksmith.sources.messages import RESULT_TOPICS
     from ticksmith.streaming import stream
-    streams = stream.indicator_streams(_message_source(spark, args), quarantine=args.quarantine)
+    streams = stream.indicator_streams(_message_source(spark, args), event_time=args.event_time, quarantine=args.quarantine)
     out = stream.Outputs(root=args.output, kafka_servers=args.kafka_out, topics=RESULT_TOPICS)
     queries = stream.start(streams, out, trigger=_trigger(args))
     stream.await_all(spark, queries)
@@ -79,13 +92,13 @@ def cmd_snapshot(spark, args) -> None:
     from ticksmith.plans import views
     price = spark.read.parquet(f"{args.tables}/price")
     views.snapshot(price, args.rows, args.start, args.end,
-                   order=("processed_at", "timestamp")).show(truncate=False)
+                   order=TABLE_ORDER["price"]).show(truncate=False)
 
 
 def cmd_export(spark, args) -> None:
     from ticksmith.plans import views
     price = spark.read.parquet(f"{args.tables}/price")
-    views.export_csv(price, args.output, args.rows, order=("processed_at", "timestamp"))
+    views.export_csv(price, args.output, args.rows, order=TABLE_ORDER["price"])
 
 
 def _trigger(args) -> dict:
@@ -106,15 +119,21 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--input", required=True)
         s.add_argument("--output", help="folder for message files")
         s.add_argument("--kafka", help="bootstrap servers")
-        s.add_argument("--topic", default="bitcoin_data")
+        s.add_argument("--topic", default=INPUT_TOPIC)
+        s.add_argument("--stamp", choices=["now", "date"], default="now", help="send time of the messages")
+        s.add_argument("--start", help="send time of the first message; then --step seconds per row")
+        s.add_argument("--step", type=float, default=1.0)
         if name == "publish-history":
             s.add_argument("--json-lines", action="store_true")
+        else:
+            s.add_argument("--failfast", action="store_true", help="stop on a date that cannot be read")
+            s.add_argument("--multiline", action="store_true", help="cells may hold line breaks")
 
     for name, fn in [("stream", cmd_stream), ("tables", cmd_tables)]:
         s = add(name, fn)
         s.add_argument("--input", help="message folder (file source)")
         s.add_argument("--kafka", help="bootstrap servers of the source topics")
-        s.add_argument("--topic", default="bitcoin_data")
+        s.add_argument("--topic", default=INPUT_TOPIC)
         s.add_argument("--output", required=True, help="sink / table root folder")
         s.add_argument("--trigger", default="1 second")
         s.add_argument("--once", action="store_true", help="process what is available, then stop")
@@ -122,6 +141,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "stream":
             s.add_argument("--kafka-out", help="write result topics to these servers")
             s.add_argument("--quarantine", action="store_true")
+            s.add_argument("--event-time", choices=["timestamp", "date"], default="timestamp")
 
     s = add("indicators", cmd_indicators)
     s.add_argument("--input", required=True)
@@ -145,7 +165,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session(app=f"ticksmith-{args.cmd}")
-    args.fn(spark, args)
+    with scratch_scope(spark):
+        args.fn(spark, args)
 
 
 if __name__ == "__main__":

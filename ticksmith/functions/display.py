@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Display formats of the dashboard numbers.
 MONEY_PREFIX = "$"
 MONEY_DECIMALS = 2
-PERCENT_FORMAT = "%+.2f%%"
+PERCENT_DECIMALS = 2
+MISSING_MONEY = "$nan"
 STATUS_UP, STATUS_DOWN = "Bullish", "Bearish"
 
 
@@ -23,9 +24,11 @@ def money(c: str | Column) -> Column:
 
 
 def signed_percent(c: str | Column) -> Column:
-    """``+1.23%`` / ``-0.50%``."""
+    """``+1.23%`` / ``-0.50%``; a tie goes to the even digit (``format_number``; ``%.2f`` would round it up)."""
     x = _c(c).cast("double")
-    return F.when(x.isNotNull(), F.format_string(PERCENT_FORMAT, x))
+    digits = F.replace(F.format_number(F.abs(x), PERCENT_DECIMALS), F.lit(","), F.lit(""))
+    shown = F.when(F.isnan(x), F.lit("nan")).otherwise(digits)
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("+")), shown, F.lit("%")))
 
 
 def band(middle: str | Column, spread: str | Column, k: float) -> tuple[Column, Column]:

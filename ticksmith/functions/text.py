@@ -22,7 +22,8 @@ _WS = " \t\n\r\x0b\x0c"
 VOLUME_SUFFIXES = [("K", 1e3), ("M", 1e6), ("B", 1e9)]
 
 # Market date layouts accepted for the CSV ``Date`` column.
-DATE_FORMATS = ["MM/dd/yyyy", "MMM d, yyyy", "MMM dd, yyyy", "yyyy-MM-dd",
+# One letter takes padded and unpadded numbers alike.
+DATE_FORMATS = ["M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-M-d", "yyyy/M/d", "d MMM yyyy",
                 "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss"]
 
 
@@ -85,14 +86,7 @@ def parse_volume(c: str | Column) -> Column:
     is removed everywhere and sets the factor; commas are removed only when
     there is no suffix, so ``"1,234.5K"`` is unparseable (0.0).
     """
-    s = strip(c)
-    parsed = None
-    for letter, factor in VOLUME_SUFFIXES:
-        branch = py_float(F.replace(s, F.lit(letter), F.lit(""))) * F.lit(factor)
-        parsed = (F.when(s.contains(letter), branch) if parsed is None
-                  else parsed.when(s.contains(letter), branch))
-    parsed = parsed.otherwise(py_float(F.replace(s, F.lit(","), F.lit(""))))
-    return F.coalesce(parsed, F.lit(0.0))
+    return volume_from_parts(*volume_parts(c))
 
 
 def parse_market_date(c: str | Column, formats: list[str] | None = None,

@@ -1,27 +1,27 @@
 """Exponential moving average (pandas ``ewm(span, adjust=False)``) and MACD.
 
 The recursion ``y0 = x0, y_t = a*x_t + q*y_(t-1)`` (``a = 2/(span+1)``,
-``q = 1-a``) has no built-in window function. Unrolled it is a weighted sum,
-
-    y_j = q^j * sum_{i<=j} w_i * q^(-i),   w_0 = x_0,  w_i = a*x_i,
-
-so inside one group it is a running ``sum`` window times a power: native,
-code-generated, no Python. Two facts make it scale:
-
-* A row's dependence on rows ``K`` steps back has weight ``q^K``. With
-  ``K = lookback(span)`` that weight is below 1e-18, far under double
-  rounding, so each halo block (series.py) only needs ``K`` earlier rows and
-  blocks are computed independently. A block that starts mid-series seeds its
-  first (halo) row with ``y = x``; by the first real row that seed's weight
-  is below the tolerance. A block that holds the series' first row seeds
-  exactly like pandas.
-* The powers must stay finite. The exponent is centred: rows use
-  ``q^-(i-c)`` and ``q^(j-c)`` with ``c = 600/|ln q|``, so every power lies in
-  ``e^±600`` for a group of up to ``2c`` rows; that fixes the block size per
-  set of spans.
-
-Rows with a NULL input are dropped before the recursion (pandas would decay
-across gaps instead; the normalised feeds never contain NULL prices).
+``q = 1-a``) has no built-in window function. Within one block of rows it is
+
+    y_j = l_j + q^(j+1) * carry,    l_j = q^j * sum_{i<=j} w_i * q^(-i),
+
+with ``w_i = a*x_i`` (``w_0 = x_0`` where the series begins) and ``carry`` the
+value at the end of the block before: a running ``sum`` window times a power,
+native, no Python. It scales for any span:
+
+* Carries are exact, not cut off. Each block yields one summary, the affine
+  map from its carry-in to its last value. Summaries are folded in order,
+  ``FAN`` at a time (an array of at most ``FAN`` elements per group), level by
+  level until one group is left, and the results flow back down. Only the
+  last series of a block hands on a carry and only its first takes one, so
+  there is one summary per block however many series it holds.
+* The powers stay finite. They are re-based in every block and centred: rows
+  use ``q^-(i-c)`` and ``q^(j-c)`` with ``c = 600/|ln q|``, so every power
+  lies in ``e^+-600`` for blocks of up to ``2c`` rows.
+
+Blocks carry one halo row, which only tells whether their first series goes
+on from the block before. Rows with a NULL, NaN or infinite input are left
+out (pandas would decay across gaps instead).
 """
 
 from __future__ import annotations
@@ -35,9 +35,11 @@ from pyspark.sql.window import WindowSpec
 
 from ticksmith.operators import series
 
-TOLERANCE = 1e-18
 _MAX_EXPONENT = 600.0
 J = "_j"
+CONT = "_cont"
+# Block summaries folded in one array.
+FAN = 512
 
 
 def alpha(span: float) -> float:
@@ -46,84 +48,135 @@ def alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-def lookback(span: float, tol: float = TOLERANCE) -> int:
-    """Rows after which an older value's weight is below ``tol``."""
-    q = 1.0 - alpha(span)
-    if q <= 0.0:
-        return 0
-    return int(math.ceil(math.log(tol) / math.log(q)))
-
-
 def _centre(q: float) -> int:
-    """Exponent centre: powers ``q^(j-c)`` stay within ``e^±600`` for ``j <= 2c``."""
+    """Exponent centre: powers ``q^(j-c)`` stay within ``e^+-600`` for ``j <= 2c``."""
     return int(_MAX_EXPONENT / -math.log(q))
 
 
-def block_rows_for(spans: Sequence[float], halo: int,
-                   cap: int = series.DEFAULT_BLOCK_ROWS) -> int:
-    """Largest block whose groups (block + halo rows) keep every power finite."""
+def block_rows_for(spans: Sequence[float], cap: int = series.DEFAULT_BLOCK_ROWS) -> int:
+    """Largest block that keeps every power finite."""
     qs = [1.0 - alpha(s) for s in spans if 1.0 - alpha(s) > 0.0]
-    if not qs:
-        return cap
-    group = 2 * min(_centre(q) for q in qs)
-    return max(16, min(cap, group - halo))
+    return min([cap, *(2 * _centre(q) for q in qs)])
 
 
 def add_index(b: DataFrame, w: WindowSpec) -> DataFrame:
-    """``_j``: 0-based row index inside the block group."""
-    return b.withColumn(J, series.row_index(w))
+    """``_j``: 0-based index among the block's own rows of a series; ``_cont``: it goes on from the block before."""
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.when(F.col(series.HALO), 0).otherwise(1)
+    return b.withColumns({J: F.sum(own).over(running) - 1, CONT: F.first(series.HALO).over(running)})
 
 
-def ema_column(src: str, span: float, w: WindowSpec) -> Column:
-    """EMA of ``src`` as a window expression over a block group; needs ``_j``."""
+def _local(src: str, span: float, w: WindowSpec, seed: str | None) -> Column:
+    """EMA within the block, without the carry; ``seed``: column with the value before a series' first row."""
     a = alpha(span)
     q = 1.0 - a
     x = F.col(src)
     if q <= 0.0:
         return x
-    j = F.col(J)
-    shifted = j - F.lit(_centre(q))
-    weight = F.when(j == 0, x).otherwise(F.lit(a) * x)
+    first = x if seed is None else F.coalesce(F.lit(a) * x + F.lit(q) * F.col(seed), x)
+    weight = F.when(F.col(series.HALO), 0.0).when((F.col(J) == 0) & ~F.col(CONT), first).otherwise(F.lit(a) * x)
+    shifted = F.col(J) - F.lit(_centre(q))
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.sum(weight * F.pow(F.lit(q), -shifted)).over(running) * F.pow(F.lit(q), shifted)
-
-
-def add_ema(b: DataFrame, w: WindowSpec, src: str, span: float, out: str) -> DataFrame:
-    """EMA of ``src`` over each block group; needs ``_j`` (see add_index)."""
-    return b.withColumn(out, ema_column(src, span, w))
-
-
-def add_macd(b: DataFrame, w: WindowSpec, src: str, fast: float = 12, slow: float = 26,
+    return F.sum(F.when(F.col(J) < 0, 0.0).otherwise(weight * F.pow(F.lit(q), -shifted))).over(running) \
+        * F.pow(F.lit(q), shifted)
+
+
+def _carries(maps: DataFrame, n: int, blocks: int) -> DataFrame:
+    """``_blk, _c0..``: the value handed to each block, from ``_blk, s0, p0, ..`` (last = s + p * carry)."""
+    ids = range(n)
+    fields = [F.col(c) for i in ids for c in (f"s{i}", f"p{i}")]
+    groups = maps.groupBy((F.expr(f"{series.BLOCK} div {FAN}")).alias("_grp")) \
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(series.BLOCK).alias("b"), *fields))).alias("a"))
+    kind = "array<struct<b:bigint," + ",".join(f"s{i}:double,p{i}:double" for i in ids) + ">>"
+
+    def state(before: Column, at: list[tuple[Column, Column]]) -> Column:
+        return F.struct(before.alias("before"), *[c.alias(f"{k}{i}") for i, (s, p) in enumerate(at) for k, c in (("s", s), ("p", p))])
+
+    def step(acc: Column, e: Column) -> Column:
+        here = F.struct(e["b"].alias("b"), *[acc[f"{k}{i}"].alias(f"{k}{i}") for i in ids for k in "sp"])
+        return state(F.concat(acc["before"], F.array(here)),
+                     [(e[f"s{i}"] + e[f"p{i}"] * acc[f"s{i}"], e[f"p{i}"] * acc[f"p{i}"]) for i in ids])
+
+    start = state(F.array().cast(kind), [(F.lit(0.0), F.lit(1.0))] * n)
+    folded = groups.select("_grp", F.aggregate("a", start, step).alias("f"))
+    rows = folded.select("_grp", F.explode("f.before").alias("e"))
+    if blocks <= FAN:
+        return rows.select(F.col("e.b").alias(series.BLOCK), *[F.col(f"e.s{i}").alias(f"_c{i}") for i in ids])
+    up = folded.select(F.col("_grp").alias(series.BLOCK), *[F.col(f"f.{k}{i}").alias(f"{k}{i}") for i in ids for k in "sp"])
+    above = _carries(up, n, -(-blocks // FAN)).withColumnRenamed(series.BLOCK, "_grp")
+    return rows.join(above, "_grp").select(
+        F.col("e.b").alias(series.BLOCK), *[(F.col(f"e.s{i}") + F.col(f"e.p{i}") * F.col(f"_c{i}")).alias(f"_c{i}") for i in ids])
+
+
+def add_emas(b: DataFrame, w: WindowSpec, blocks: int, specs: Sequence[tuple[str, float, str]],
+             seeds: dict[str, str] | None = None) -> DataFrame:
+    """EMAs ``(src, span, out)`` of a blocked frame with ``add_index``: one window step, one small join.
+
+    ``blocks``: number of blocks (see ``series.counted_blocks``). ``seeds``: per output, a column with the value before the series' first
+    row (NULL: the series begins here).
+    """
+    seeds = seeds or {}
+    plain = [x for x in specs if alpha(x[1]) < 1.0]
+    b = b.withColumns({out: F.col(src) for src, span, out in specs if alpha(span) >= 1.0})
+    if not plain:
+        return b
+    local = b.withColumns({out: _local(src, span, w, seeds.get(out)) for src, span, out in plain})
+    last = F.max_by(F.struct(*[F.col(out) for *_, out in plain], J, CONT), series.POS)
+    qs = [1.0 - alpha(span) for _, span, _ in plain]
+    # A block's last series goes through from the block before only if it began there.
+    maps = local.where(~F.col(series.HALO)).groupBy(series.BLOCK).agg(last.alias("l")).select(series.BLOCK, *[
+        c for i, (q, (*_, out)) in enumerate(zip(qs, plain)) for c in (
+            F.col(f"l.{out}").alias(f"s{i}"),
+            F.when(F.col(f"l.{CONT}"), F.pow(F.lit(q), F.col(f"l.{J}") + 1)).otherwise(0.0).alias(f"p{i}"))])
+    both = local.join(_carries(maps, len(plain), blocks), series.BLOCK)
+    done = both.withColumns({
+        out: F.when(F.col(CONT), F.col(out) + F.pow(F.lit(q), F.col(J) + 1) * F.col(f"_c{i}")).otherwise(F.col(out))
+        for i, (q, (*_, out)) in enumerate(zip(qs, plain))})
+    return done.drop(*[f"_c{i}" for i in range(len(plain))])
+
+
+def add_macd(b: DataFrame, w: WindowSpec, blocks: int, src: str, fast: float = 12, slow: float = 26,
              signal: float = 9, names: Sequence[str] = ("EMA_12", "EMA_26", "MACD",
                                                          "MACD_signal", "MACD_hist")) -> DataFrame:
     e_fast, e_slow, line, sig, hist = names
-    # Both EMAs in one projection: one window operator computes them together.
-    b = b.withColumns({e_fast: ema_column(src, fast, w), e_slow: ema_column(src, slow, w)})
+    b = add_emas(b, w, blocks, [(src, fast, e_fast), (src, slow, e_slow)])
     b = b.withColumn(line, F.col(e_fast) - F.col(e_slow))
-    b = add_ema(b, w, line, signal, sig)
+    b = add_emas(b, w, blocks, [(line, signal, sig)])
     return b.withColumn(hist, F.col(line) - F.col(sig))
 
 
-def macd_lookback(fast: float = 12, slow: float = 26, signal: float = 9) -> int:
-    return max(lookback(fast), lookback(slow)) + lookback(signal)
+def macd_of_whole(df: DataFrame, w: WindowSpec, src: str, fast: float = 12, slow: float = 26, signal: float = 9,
+                  names: Sequence[str] = ("EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist")) -> DataFrame:
+    """MACD of series short enough to be one block each (``block_rows_for``); needs ``_j``, ``_cont``, ``_halo``."""
+    e_fast, e_slow, line, sig, hist = names
+    df = df.withColumns({e_fast: _local(src, fast, w, None), e_slow: _local(src, slow, w, None)})
+    df = df.withColumn(line, F.col(e_fast) - F.col(e_slow))
+    return df.withColumn(sig, _local(line, signal, w, None)).withColumn(hist, F.col(line) - F.col(sig))
 
 
 # ---------------------------------------------------------------- public API
 
+def _prepared(df: DataFrame, price: str) -> DataFrame:
+    return series.finite(df, price).where(F.col(price).isNotNull())
+
+
+def _run(df: DataFrame, spans: Sequence[float], price: str, keys, order, step, block_rows: int | None = None) -> DataFrame:
+    limit = min(block_rows_for(spans), block_rows or series.DEFAULT_BLOCK_ROWS)
+    b, w, blocks = series.counted_blocks(_prepared(df, price), keys, order, 1, limit)
+    return series.finish(step(add_index(b, w), w, blocks).drop(J, CONT))
+
+
 def ema(df: DataFrame, span: float, price: str = "price", out: str | None = None,
-        keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+        keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"),
+        block_rows: int | None = None) -> DataFrame:
     out = out or f"ema_{int(span) if float(span).is_integer() else span}"
-    halo = lookback(span)
-    b, w = series.blocked(df.filter(F.col(price).isNotNull()), keys, order, halo,
-                          block_rows_for([span], halo))
-    return series.finish(add_ema(add_index(b, w), w, price, span, out).drop(J))
+    return _run(df, [span], price, keys, order, lambda b, w, n: add_emas(b, w, n, [(price, span, out)]), block_rows)
 
 
 def macd(df: DataFrame, price: str = "price", fast: float = 12, slow: float = 26,
          signal: float = 9, keys: Sequence[str] = ("symbol",),
          order: Sequence[str] = ("ts", "seq"),
-         names: Sequence[str] = ("EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist")) -> DataFrame:
-    halo = macd_lookback(fast, slow, signal)
-    b, w = series.blocked(df.filter(F.col(price).isNotNull()), keys, order, halo,
-                          block_rows_for([fast, slow, signal], halo))
-    return series.finish(add_macd(add_index(b, w), w, price, fast, slow, signal, names).drop(J))
+         names: Sequence[str] = ("EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist"),
+         block_rows: int | None = None) -> DataFrame:
+    return _run(df, [fast, slow, signal], price, keys, order,
+                lambda b, w, n: add_macd(b, w, n, price, fast, slow, signal, names), block_rows)

@@ -1,18 +1,15 @@
-"""Latest rows, last row, date-range filters, empty guards.
-
-Top-n is computed as a two-level tree on wide inputs. A plain
-``orderBy(...).limit(n)`` (``TakeOrderedAndProject``) or per-key
-``row_number() <= n`` keeps n rows per task and merges them all in one place:
-n x (input partitions) rows, which grows with the input. With more than
-``FAN_IN`` input partitions, they are first grouped by ``FAN_IN`` and limited
-per group (Spark plans the ``row_number() <= n`` filter as
-``WindowGroupLimit`` on both sides of the shuffle), then the group winners
-are limited again: each merge sees at most ``FAN_IN * n`` rows, and the last
-one ``(partitions / FAN_IN) * n``.
+"""Latest rows, last row, range filters.
+
+Top-n is a two-level tree: n rows per key within each group of ``FAN_IN``
+input partitions, then n of those winners. Each first-level merge sees at
+most ``FAN_IN * n`` rows per key, the last one ``(partitions / FAN_IN) * n``;
+Spark plans the ``row_number() <= n`` filters as group limits on both sides
+of the shuffle. Results come back oldest first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,33 +18,19 @@ from pyspark.sql import functions as F
 ARRIVAL = ("ts", "seq")
 # Input partitions merged per first-level group of the top-n tree.
 FAN_IN = 1024
+ROWS = "_rows"
 
 
 def _desc(order: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in order]
 
 
-# Input splits assumed per file when sizing the tree (1 GB files, 128 MB splits).
-SPLITS_PER_FILE = 8
-
-
-def _input_partitions(df: DataFrame) -> int:
-    """Estimated input partitions, from the plan's file index (no job runs)."""
-    try:
-        return len(df.inputFiles()) * SPLITS_PER_FILE
-    except Exception:  # noqa: BLE001 - unknown: assume wide
-        return FAN_IN + 1
+def _asc(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in order]
 
 
 def _group_limit(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First tree level: top ``n`` per key within each group of input partitions.
-
-    Skipped when the input has at most ``FAN_IN`` partitions (estimated from
-    its files): the single final merge is then already bounded by
-    ``FAN_IN * n`` rows.
-    """
-    if _input_partitions(df) <= FAN_IN:
-        return df
+    """First tree level: top ``n`` per key within each group of input partitions."""
     group = F.floor(F.spark_partition_id() / FAN_IN)
     w = Window.partitionBy(*keys, "_grp").orderBy(*_desc(order))
     return (df.withColumn("_grp", group)
@@ -57,10 +40,10 @@ def _group_limit(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str
 
 
 def latest(df: DataFrame, n: int = 100, order: Sequence[str] = ARRIVAL) -> DataFrame:
-    """The last ``n`` rows in ``order`` (the newest arrivals)."""
+    """The last ``n`` rows in ``order`` (the newest arrivals), oldest first."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    return _group_limit(df, n, (), order).orderBy(*_desc(order)).limit(n)
+    return _group_limit(df, n, (), order).orderBy(*_desc(order)).limit(n).orderBy(*_asc(order))
 
 
 def latest_per_key(df: DataFrame, n: int, keys: Sequence[str],
@@ -72,31 +55,45 @@ def latest_per_key(df: DataFrame, n: int, keys: Sequence[str],
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")
 
 
-# The recent-rows tables by kind.
-KINDS = ("price", "sma", "bb")
-
-
 def latest_of_kind(tables: dict[str, DataFrame], kind: str, n: int = 100,
                    order: Sequence[str] | None = None) -> DataFrame:
     """``latest`` on one of the recent-rows tables; unknown kind raises."""
     if kind not in tables:
         raise ValueError(f"unknown data type: {kind!r} (expected one of {sorted(tables)})")
     df = tables[kind]
-    default = ("processed_at",) if "processed_at" in df.columns else ARRIVAL
+    received = [c for c in ("batch", "processed_at", "arrival_part", "arrival_seq") if c in df.columns]
+    default = received or ARRIVAL
     return latest(df, n, order or default)
 
 
-def in_range(c: str | Column, start: str | None, end: str | None,
-             inclusive_end: bool = False) -> Column:
-    """``start <= c <= end`` on ISO text, as plain string comparison.
+_DAY = re.compile(r"\d{4}-\d{2}-\d{2}$")
+
 
-    With a date-only ``end``, ``"2024-01-05T00:00:00" > "2024-01-05"``, so
-    the end day itself is excluded; ``inclusive_end=True`` compares only the
-    day part of ``c`` against ``end``.
+def in_range(c: str | Column, start: str | None, end: str | None,
+             inclusive_end: bool = False, kind: str = "string") -> Column:
+    """``start <= c <= end``; ``kind`` is the type of ``c``.
+
+    ISO text compares as text: with a date-only ``end``,
+    ``"2024-01-05T00:00:00" > "2024-01-05"``, so the end day itself is
+    excluded; ``inclusive_end=True`` compares only the day part of ``c``
+    against ``end``. Dates and timestamps compare as times with the same
+    meaning: a date-only ``end`` is midnight, excluded, or with
+    ``inclusive_end`` the whole day is in.
     """
     x = F.col(c) if isinstance(c, str) else c
-    x = x.cast("string")
     cond = F.lit(True)
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        def bound(text: str) -> Column:
+            return F.lit(text).cast("timestamp_ntz" if kind != "timestamp" else kind)
+        x = x.cast("timestamp_ntz") if kind == "date" else x
+        if start:
+            cond = cond & (x >= bound(start))
+        if end and _DAY.match(end):
+            cond = cond & ((x < bound(end) + F.expr("INTERVAL 1 DAY")) if inclusive_end else (x < bound(end)))
+        elif end:
+            cond = cond & (x <= bound(end))
+        return cond
+    x = x.cast("string")
     if start:
         cond = cond & (x >= F.lit(start))
     if end:
@@ -107,9 +104,10 @@ def in_range(c: str | Column, start: str | None, end: str | None,
 
 def date_range(df: DataFrame, start: str | None, end: str | None, col: str = "date",
                inclusive_end: bool = False) -> DataFrame:
+    """Rows of ``df`` in the range, by the type of ``col``; all rows unless both ends are given."""
     if not (start and end):
         return df
-    return df.filter(in_range(col, start, end, inclusive_end))
+    return df.filter(in_range(col, start, end, inclusive_end, dict(df.dtypes)[col]))
 
 
 def latest_then_range(df: DataFrame, n: int, start: str | None, end: str | None,
@@ -120,6 +118,6 @@ def latest_then_range(df: DataFrame, n: int, start: str | None, end: str | None,
 
 
 def last_row(df: DataFrame, cols: Sequence[str], order: Sequence[str] = ARRIVAL) -> DataFrame:
-    """One row holding ``cols`` of the newest row (NULLs when ``df`` is empty)."""
+    """One row holding ``cols`` of the newest row (NULLs when ``df`` is empty), and the number of rows."""
     newest = F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")
-    return df.agg(newest).select(*[F.col(f"_last.{c}").alias(c) for c in cols])
+    return df.agg(newest, F.count(F.lit(1)).alias(ROWS)).select(*[F.col(f"_last.{c}").alias(c) for c in cols], ROWS)

@@ -3,7 +3,8 @@
 Definitions follow pandas' ``diff`` / ``rolling(n)`` defaults: a rolling value
 exists only once the frame holds ``n`` non-null values, the sample standard
 deviation has ddof 1, and RSI's first difference counts as zero gain and zero
-loss (so the first RSI appears on the 14th row, not the 15th).
+loss (so the first RSI appears on the 14th row, not the 15th). NaN and
+infinite prices are missing values and come out as NULL.
 
 Every ``add_*`` step takes a frame already cut into halo blocks
 (:mod:`ticksmith.operators.series`) and the block window; the public
@@ -98,39 +99,39 @@ def add_price_level_rsi(b: DataFrame, w: WindowSpec, src: str, n: int, out: str)
 
 # ---------------------------------------------------------------- public API
 
-def _run(df: DataFrame, keys, order, lookback: int, step) -> DataFrame:
-    b, w = series.blocked(df, keys, order, lookback)
+def _run(df: DataFrame, price: str, keys, order, lookback: int, step) -> DataFrame:
+    b, w = series.blocked(series.finite(df, price), keys, order, lookback)
     return series.finish(step(b, w))
 
 
 def diff(df: DataFrame, price: str = "price", out: str = "diff",
          keys: Sequence[str] = DEFAULT_KEYS, order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    return _run(df, keys, order, 1, lambda b, w: add_diff(b, w, price, out))
+    return _run(df, price, keys, order, 1, lambda b, w: add_diff(b, w, price, out))
 
 
 def sma(df: DataFrame, n: int, price: str = "price", out: str | None = None,
         keys: Sequence[str] = DEFAULT_KEYS, order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     out = out or f"sma_{n}"
-    return _run(df, keys, order, n - 1, lambda b, w: add_rolling_mean(b, w, price, n, out))
+    return _run(df, price, keys, order, n - 1, lambda b, w: add_rolling_mean(b, w, price, n, out))
 
 
 def rolling_std(df: DataFrame, n: int, price: str = "price", out: str | None = None,
                 keys: Sequence[str] = DEFAULT_KEYS, order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     out = out or f"std_{n}"
-    return _run(df, keys, order, n - 1, lambda b, w: add_rolling_std(b, w, price, n, out))
+    return _run(df, price, keys, order, n - 1, lambda b, w: add_rolling_std(b, w, price, n, out))
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, price: str = "price",
               keys: Sequence[str] = DEFAULT_KEYS, order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    return _run(df, keys, order, n - 1, lambda b, w: add_bollinger(b, w, price, n, k))
+    return _run(df, price, keys, order, n - 1, lambda b, w: add_bollinger(b, w, price, n, k))
 
 
 def rsi(df: DataFrame, n: int = 14, price: str = "price", out: str = "rsi",
         keys: Sequence[str] = DEFAULT_KEYS, order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     # The oldest difference in the frame needs the price one row further back.
-    return _run(df, keys, order, n, lambda b, w: add_rsi(b, w, price, n, out))
+    return _run(df, price, keys, order, n, lambda b, w: add_rsi(b, w, price, n, out))
 
 
 def price_level_rsi(df: DataFrame, n: int = 14, price: str = "price", out: str = "rsi_price_level",
                     keys: Sequence[str] = DEFAULT_KEYS, order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    return _run(df, keys, order, n - 1, lambda b, w: add_price_level_rsi(b, w, price, n, out))
+    return _run(df, price, keys, order, n - 1, lambda b, w: add_price_level_rsi(b, w, price, n, out))

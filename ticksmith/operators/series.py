@@ -23,9 +23,10 @@ The plan used here instead:
    frame reaching back ``lookback`` rows sees exactly the rows the
    one-task-per-symbol plan would. Halo rows are dropped afterwards.
 
-Two shuffles of the narrow projection (range, then block), both balanced, one
-write of it, and one broadcast whose size is bounded by the partition count,
-not the data.
+Two shuffles of the frame as given (range, then block), both balanced, one
+write of it, and one broadcast with a row per partition, not per data row.
+A block is never smaller than its look-back, so rows are copied about once
+at most, whatever the look-back.
 """
 
 from __future__ import annotations
@@ -51,23 +52,16 @@ _ROW_MASK = (1 << 33) - 1
 
 DEFAULT_BLOCK_ROWS = 1 << 14
 _WINDOW_BUFFER = "spark.sql.windowExec.buffer.in.memory.threshold"
-# Upper bound on range partitions: bounds the start-offset broadcast (12 bytes
-# per partition) and the file count of the positions table.
-MAX_RANGE_PARTITIONS = 100_000
+# Estimated bytes of one range partition; a plan whose size Spark does not
+# know (a micro-batch, an RDD) reports an astronomic one.
+PARTITION_BYTES = 128 << 20
+_UNKNOWN_BYTES = 1 << 60
 
 
 def _names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def input_files(df: DataFrame) -> int:
-    """Files under ``df`` (planning only: the file index is already listed)."""
-    try:
-        return len(df.inputFiles())
-    except Exception:  # noqa: BLE001
-        return 0
-
-
 def cores(df: DataFrame) -> int:
     try:
         return df.sparkSession.sparkContext.defaultParallelism
@@ -75,17 +69,36 @@ def cores(df: DataFrame) -> int:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """Size of ``df`` as the optimizer estimates it; None if it cannot."""
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no classic session
+        return None
+    return size if size < _UNKNOWN_BYTES else None
+
+
 def range_partitions(df: DataFrame) -> int:
-    """Number of range partitions, from the data rather than a fixed setting.
-
-    One per input file grows with the data, so partitions keep their size;
-    the cluster's core count is the floor so every core has work;
-    ``MAX_RANGE_PARTITIONS`` is the cap. Adaptive execution cannot coalesce
-    a fixed-count repartition, so the count has to fit from the start. The
-    file count comes from the plan's file index: no job runs (asking the
-    RDD for its partitions would run any shuffle below it).
+    """Number of range partitions: the plan's estimated bytes over ``PARTITION_BYTES``.
+
+    At least one per core, so every core has work. Where Spark does not know
+    the size, the session's ``spark.sql.shuffle.partitions`` holds; callers
+    that know more pass ``num_partitions``. Adaptive execution cannot
+    coalesce a fixed-count repartition, so the count has to fit from the
+    start. No job runs and no file list is fetched.
     """
-    return max(1, min(max(input_files(df), cores(df)), MAX_RANGE_PARTITIONS))
+    size = plan_bytes(df)
+    if size is None:
+        return max(cores(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores(df), -(-size // PARTITION_BYTES))
+
+
+def finite(df: DataFrame, col: str) -> DataFrame:
+    """NaN and infinite values of ``col`` become NULL: a missing price, as in pandas."""
+    if dict(df.dtypes).get(col) not in ("double", "float"):
+        return df
+    x = F.col(col)
+    return df.withColumn(col, F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
 
 
 def with_global_position(df: DataFrame, keys: str | Sequence[str],
@@ -163,22 +176,42 @@ def blocked(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
             num_partitions: int | None = None) -> tuple[DataFrame, WindowSpec]:
     """``df`` cut into halo blocks, plus the window spec to compute over.
 
-    Blocks hold ``block_rows`` rows (default and upper bound: what keeps a
-    block plus its halo inside the in-memory window buffer).
+    All columns of ``df`` travel: select the needed ones first.
 
-    The blocks are hash-partitioned on (keys, block) into the same
+    The blocks are hash-partitioned by block into the same
     data-sized partition count as the range step. Window work is CPU-bound:
     a byte-sized adaptive coalesce would put a few megabytes of rows on a
     couple of cores, and an explicit count is not coalesced. The window's
     distribution is then already satisfied, so no further exchange is added.
     """
+    cut, w, _ = _cut(df, keys, order, lookback, block_rows, num_partitions)
+    return cut, w
+
+
+def counted_blocks(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], lookback: int,
+                   block_rows: int | None = None, num_partitions: int | None = None) -> tuple[DataFrame, WindowSpec, int]:
+    """``blocked``, and the number of blocks (one column of the written table is counted)."""
+    cut, w, indexed = _cut(df, keys, order, lookback, block_rows, num_partitions)
+    return cut, w, -(-indexed.count() // block_size(df, lookback, block_rows))
+
+
+def _cut(df: DataFrame, keys, order, lookback: int, block_rows: int | None,
+         num_partitions: int | None) -> tuple[DataFrame, WindowSpec, DataFrame]:
     keys = _names(keys)
-    fits = max(16, min(DEFAULT_BLOCK_ROWS, window_group_rows(df) - lookback))
-    rows = fits if block_rows is None else min(block_rows, fits)
     n = num_partitions or range_partitions(df)
     indexed = with_global_position(df, keys, order, n)
-    cut = with_halo_blocks(indexed, lookback, rows).repartition(n, *keys, BLOCK)
-    return cut, block_window(keys)
+    cut = with_halo_blocks(indexed, lookback, block_size(df, lookback, block_rows)).repartition(n, BLOCK)
+    return cut, block_window(keys), indexed
+
+
+def block_size(df: DataFrame, lookback: int, block_rows: int | None = None) -> int:
+    """Rows of a block: never fewer than its halo, so a row is copied about once at most.
+
+    Up to ``block_rows`` (default: what keeps a block plus its halo inside
+    the in-memory window buffer; a longer look-back takes the spillable one).
+    """
+    fits = min(DEFAULT_BLOCK_ROWS, window_group_rows(df) - lookback)
+    return max(lookback, 1, min(fits, block_rows) if block_rows else fits)
 
 
 def finish(df: DataFrame, keep_position: bool = False) -> DataFrame:

@@ -58,10 +58,7 @@ def bands_view(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def sliding_sma(df: DataFrame, ts: str = "timestamp", value: str = "price",
                 duration: str = WINDOW, slide: str = SLIDE,
                 keys: Sequence[str] = ()) -> DataFrame:
-    agg = df.groupBy(*keys, F.window(ts, duration, slide).alias("window")).agg(
-        F.avg(value).alias("sma_20"))
-    return agg.select(*keys, F.col("window.start").alias("window_start"),
-                      F.col("window.end").alias("window_end"), "sma_20")
+    return sma_view(window_stats(df, ts, value, duration, slide, keys=keys), keys)
 
 
 def sliding_bands(df: DataFrame, ts: str = "timestamp", value: str = "price",

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ticksmith.functions import codec, text, timefmt
+from ticksmith.functions import codec, display, text, timefmt
 from ticksmith.operators import ema, latest as L, rolling, timewin
 from ticksmith.plans import fixtures, normalize, views
 from ticksmith.plans.indicators import FRAME_COLUMNS, indicator_frame
-from ticksmith.schema import BAR_MESSAGE, KEYED_BAR_MESSAGE
+from ticksmith.schema import KEYED_BAR_MESSAGE
 from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
 from ticksmith.sources import bars as bar_sources
@@ -35,6 +35,7 @@ ARRIVAL = ("seq",)
 DATE_RANGE = ("2024-01-05", "2024-01-12")
 WINDOW_RANGE = ("2024-01-10", "2024-01-11T06:00:00")
 BAR_RANGE = ("2001-07-20", "2001-07-25")
+BAND_RANGE = ("2024-01-30T22:00:00", "2024-01-30T23:55:00")
 
 
 def r6(c: str | Column) -> Column:
@@ -141,8 +142,13 @@ def q_indicator_frame(spark, sf_dir):
 MSG_COLS = ["seq", "symbol", "timestamp", "date", "price", "volume", "change_percent"]
 
 
+def _numbered(df: DataFrame, cols) -> DataFrame:
+    """The rows' order as a column: one partition holds them all (a limit ran before)."""
+    return df.coalesce(1).withColumn("row", F.monotonically_increasing_id()).select(*cols, "row")
+
+
 def q_latest_n(spark, sf_dir):
-    return L.latest(_tick_messages(spark, sf_dir), 100, ARRIVAL).select(*MSG_COLS)
+    return _numbered(L.latest(_tick_messages(spark, sf_dir), 100, ARRIVAL), MSG_COLS)
 
 
 def q_latest_n_per_symbol(spark, sf_dir):
@@ -163,7 +169,7 @@ def q_date_range(spark, sf_dir):
 def q_window_range(spark, sf_dir):
     t = _ticks(spark, sf_dir)
     bands = timewin.sliding_bands(t, ts="ts", value="price")
-    out = bands.filter(L.in_range(timefmt.iso_format("window_start"), *WINDOW_RANGE))
+    out = L.date_range(bands, *WINDOW_RANGE, col="window_start")
     return _rounded(out, ["bb_middle", "bb_std", "bb_upper", "bb_lower"])
 
 
@@ -183,7 +189,8 @@ def q_market_status(spark, sf_dir):
 
 
 def q_recent_trades(spark, sf_dir):
-    return views.recent_trades(_tick_messages(spark, sf_dir), 5, order=ARRIVAL)
+    out = views.recent_trades(_tick_messages(spark, sf_dir), 5, order=ARRIVAL)
+    return _numbered(out, out.columns)
 
 
 def q_ohlc_series(spark, sf_dir):
@@ -197,8 +204,7 @@ def q_price_series(spark, sf_dir):
 def q_export_csv(spark, sf_dir):
     msgs = _tick_messages(spark, sf_dir).select(*MSG_COLS)
     path = views.export_csv(msgs, scratch_path(spark, "export"), 100, ARRIVAL)
-    schema = msgs.schema
-    return views.read_export(spark, path, schema)
+    return _numbered(views.read_export(spark, path, msgs.schema), MSG_COLS)
 
 
 # ---------------------------------------------------------------- parsing / normalising
@@ -320,7 +326,7 @@ def q_stream_sliding_bands_by_symbol(spark, sf_dir):
     stream.run_available(stream.start(
         streams, out, trigger={"availableNow": True}, processed=False,
         state_partitions=stream.default_state_partitions(spark)))
-    res = stream.read_result(spark, out, "bb")
+    res = stream.read_result(spark, out, "bb", keys=("symbol",))
     return res.select("symbol", timefmt.to_wall_clock("window_start").alias("window_start"),
                       timefmt.to_wall_clock("window_end").alias("window_end"),
                       *[r6(c).alias(c) for c in ["bb_middle", "bb_std", "bb_upper", "bb_lower"]])
@@ -328,47 +334,142 @@ def q_stream_sliding_bands_by_symbol(spark, sf_dir):
 
 def q_stream_passthrough(spark, sf_dir):
     out = _run_stream(spark, sf_dir, processed=True, indicators=False)
-    res = stream.read_result(spark, out, "processed")
-    return codec.decode_frame(res, BAR_MESSAGE)
+    return stream.read_result(spark, out, "price")
 
 
-def q_stream_ema(spark, sf_dir):
-    """Ticks as a stream; EMA 12/26 per symbol continued across micro-batches.
-
-    Each micro-batch runs the skew-safe blocked EMA and continues every symbol
-    from the previous batch's state table, so one batch may hold any amount of
-    history without putting a symbol in one task.
-    """
+def _stream_ema(spark, sf_dir, keys) -> DataFrame:
+    """EMA 12/26 over three arrivals of ticks, each run going on from the state of the one before."""
     _utc(spark)
-    src_schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    ticks = (spark.readStream.schema(src_schema).parquet(f"{sf_dir}/events*.parquet")
-              .select(F.col("event_type").alias("symbol"), "ts",
-                      F.col("event_id").alias("seq"), F.col("value").alias("price")))
-    root = scratch_path(spark, "stream-ema")
-    with stream.shuffle_partitions(spark, stream.default_state_partitions(spark)):
-        q = (ticks.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26)))
-             .option("checkpointLocation", f"{root}/_checkpoint")
-             .trigger(availableNow=True).start())
-    stream.run_available([q])
+    ticks = fixtures.ticks(spark, sf_dir)
+    root, src = scratch_path(spark, "stream-ema"), scratch_path(spark, "tick-files")
+    lo, hi = ticks.agg(F.min("ts"), F.max("ts")).first()
+    edges = [None, *( [lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3] if lo else []), None]
+    n = stream.default_state_partitions(spark)
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = ticks if a is None else ticks.where(F.col("ts") >= a)
+        (part if b is None else part.where(F.col("ts") < b)).write.parquet(f"{src}/arrival={i}")
+        rows = spark.readStream.schema(ticks.schema).option("recursiveFileLookup", True).parquet(src)
+        with stream.shuffle_partitions(spark, n):
+            q = (rows.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26), keys=keys, num_partitions=n))
+                 .option("checkpointLocation", f"{root}/_checkpoint")
+                 .trigger(availableNow=True).start())
+        stream.run_available([q])
     got = batch_ema.read_output(spark, root)
     return got.select("symbol", "ts", "seq", "price",
                       r6("ema_12").alias("ema_12"), r6("ema_26").alias("ema_26"))
 
 
-def q_recent_rows_sma(spark, sf_dir):
-    """SMA results published as messages, tailed into the recent-rows table, last 100."""
-    out = _run_stream(spark, sf_dir)
-    topic = scratch_path(spark, "topic-sma")
-    writers.publish(stream.read_result(spark, out, "sma"), path=topic)
+def q_stream_ema(spark, sf_dir):
+    """Ticks arriving in three lots; EMA 12/26 per symbol continued from the state table."""
+    return _stream_ema(spark, sf_dir, ("symbol",))
+
+
+def q_stream_ema_unkeyed(spark, sf_dir):
+    """The same with all ticks as one series."""
+    return _stream_ema(spark, sf_dir, ())
+
+
+def _recent(spark, sf_dir, kind: str, order: tuple[str, ...]) -> DataFrame:
+    """Messages in, result messages out, tailed into a recent-rows table; its last 100 rows."""
+    out = _run_stream(spark, sf_dir, processed=kind == "price", indicators=kind != "price")
     root = scratch_path(spark, "tables")
     with stream.shuffle_partitions(spark, stream.default_state_partitions(spark)):
-        qs = tail.start_tables({"sma": msg_sources.file_stream(spark, topic)}, root,
+        qs = tail.start_tables({kind: msg_sources.file_stream(spark, out.path(kind))}, root,
                                trigger={"availableNow": True})
-    stream.run_available(qs)
-    rows = tail.latest_rows(spark, root, "sma", 100, order=("window_start",))
-    return rows.select(timefmt.to_wall_clock("window_start").alias("window_start"),
-                       timefmt.to_wall_clock("window_end").alias("window_end"),
-                       r6("sma_20").alias("sma_20"))
+    stream.await_all(spark, qs)
+    return tail.latest_rows(spark, root, kind, 100, order=order)
+
+
+def _wall(cols, rounded) -> list[Column]:
+    return [*[timefmt.to_wall_clock(c).alias(c) for c in cols], *[r6(c).alias(c) for c in rounded]]
+
+
+def q_recent_rows_sma(spark, sf_dir):
+    rows = _recent(spark, sf_dir, "sma", ("window_start",))
+    return rows.select(*_wall(["window_start", "window_end"], ["sma_20"]))
+
+
+def q_recent_rows_bb(spark, sf_dir):
+    rows = _recent(spark, sf_dir, "bb", ("window_start",))
+    return rows.select(*_wall(["window_start", "window_end"], ["bb_middle", "bb_std", "bb_upper", "bb_lower"]))
+
+
+def q_recent_rows_price(spark, sf_dir):
+    rows = _recent(spark, sf_dir, "price", ("timestamp", "price", "volume", "change_percent"))
+    return rows.select("timestamp", "date", "price", "volume", "change_percent")
+
+
+def q_job_chain(spark, sf_dir):
+    """Bars to messages stamped with their date, through the stream, into the price table."""
+    _utc(spark)
+    topic, root = scratch_path(spark, "bar-topic"), scratch_path(spark, "chain")
+    writers.publish(normalize.to_messages(fixtures.bars(spark, sf_dir), sent_at=F.col("date")), path=topic)
+    streams = stream.indicator_streams(msg_sources.file_stream(spark, topic), duration="7 days", slide="7 days")
+    out = stream.Outputs(root=root)
+    n = stream.default_state_partitions(spark)
+    stream.await_all(spark, stream.start(streams, out, trigger={"availableNow": True}, state_partitions=n))
+    with stream.shuffle_partitions(spark, n):
+        qs = tail.start_tables({k: msg_sources.file_stream(spark, out.path(k)) for k in ("price", "sma")}, f"{root}/tables",
+                               trigger={"availableNow": True})
+    stream.await_all(spark, qs)
+    tables = tail.read_tables(spark, f"{root}/tables", ("price", "sma"))
+    price = tables["price"].agg(F.lit("price").alias("table"), F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    sma = tables["sma"].agg(F.lit("sma").alias("table"), F.count("*").alias("n"), F.round(F.sum("sma_20"), 2).alias("total"))
+    return price.unionByName(sma)
+
+
+# ---------------------------------------------------------------- dirty input, long spans
+
+def q_ema_200(spark, sf_dir):
+    return _rounded(ema.ema(_ticks(spark, sf_dir), 200), ["ema_200"])
+
+
+def q_macd_5_200_9(spark, sf_dir):
+    names = ("ema_fast", "ema_slow", "macd", "signal", "hist")
+    return _rounded(ema.macd(_ticks(spark, sf_dir), fast=5, slow=200, signal=9, names=names), list(names))
+
+
+def _gappy(spark, sf_dir) -> DataFrame:
+    """Ticks whose price is NaN at every 97th event."""
+    return _ticks(spark, sf_dir).withColumn(
+        "price", F.when(F.col("seq") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("price")))
+
+
+def q_bands_with_gaps(spark, sf_dir):
+    return _rounded(rolling.bollinger(_gappy(spark, sf_dir), 20, 2.0), ["BB_middle", "BB_upper", "BB_lower"])
+
+
+def q_rsi_with_gaps(spark, sf_dir):
+    return _rounded(rolling.rsi(_gappy(spark, sf_dir), 14), ["rsi"])
+
+
+def q_ema_with_gaps(spark, sf_dir):
+    return _rounded(ema.ema(_gappy(spark, sf_dir), 12), ["ema_12"])
+
+
+def q_percent_ties(spark, sf_dir):
+    """Signed percent of eighths: ties go to the even digit."""
+    _utc(spark)
+    ev = fixtures.table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 801 - 400) / 8).alias("change"))
+    return ev.select("event_id", "change", display.signed_percent("change").alias("shown"))
+
+
+def q_dirty_bars(spark, sf_dir):
+    """CSV bars of which about one in seven has a bad or unusual cell, by day of the year."""
+    _utc(spark)
+    text_bars = fixtures.dirty_csv_text(fixtures.bars_as_csv_text(fixtures.bars(spark, sf_dir)))
+    path = scratch_path(spark, "dirty-csv")
+    text_bars.write.option("header", True).option("escape", '"').csv(path)
+    out = normalize.normalize_csv_bars(bar_sources.read_csv_text(spark, path), sort=False)
+    return out.select("symbol", "note", timefmt.to_wall_clock("date").alias("date"), "price", r6("volume").alias("volume"),
+                      "change_percent")
+
+
+def q_chart_bands(spark, sf_dir):
+    """The chart's mean and band panel: the last 100 windows, then a range on their start."""
+    bands = timewin.sliding_bands(_ticks(spark, sf_dir), ts="ts", value="price")
+    out = views.band_series(bands, 100, *BAND_RANGE)
+    return _numbered(out.select("x", *[r6(c).alias(c) for c in ("sma", "upper", "lower")]), ["x", "sma", "upper", "lower"])
 
 
 def q_chart_macd(spark, sf_dir):
@@ -422,6 +523,18 @@ QUERIES: dict[str, Query] = {
     "stream_passthrough": q_stream_passthrough,
     "stream_ema": q_stream_ema,
     "recent_rows_sma": q_recent_rows_sma,
+    "recent_rows_price": q_recent_rows_price,
+    "recent_rows_bb": q_recent_rows_bb,
+    "job_chain": q_job_chain,
+    "stream_ema_unkeyed": q_stream_ema_unkeyed,
+    "ema_200": q_ema_200,
+    "macd_5_200_9": q_macd_5_200_9,
+    "bands_with_gaps": q_bands_with_gaps,
+    "rsi_with_gaps": q_rsi_with_gaps,
+    "ema_with_gaps": q_ema_with_gaps,
+    "percent_ties": q_percent_ties,
+    "dirty_bars": q_dirty_bars,
+    "chart_bands": q_chart_bands,
     "chart_macd": q_chart_macd,
     "chart_rsi": q_chart_rsi,
 }

@@ -118,3 +118,21 @@ def bars_as_history_payloads(b: DataFrame) -> DataFrame:
     return pages.select(F.to_json(F.struct(
         F.col("symbol").alias("Symbol"),
         F.struct(F.col("entries").alias("Data")).alias("Data"))).alias("value"))
+
+
+def dirty_csv_text(b: DataFrame) -> DataFrame:
+    """CSV bars with bad and unusual cells by day of the year, and a ``note`` with quotes and commas.
+
+    Every 20th day: 3 unreadable price (row dropped), 7 unpadded date, 9 date
+    with slashes year first, 11 no volume (0.0), 13 empty change (row
+    dropped), 17 a date that is none (row dropped).
+    """
+    day = F.to_date("Date", "MM/dd/yyyy")
+    k = F.dayofyear(day) % 20
+    date = (F.when(k == 7, F.date_format(day, "M/d/yyyy")).when(k == 9, F.date_format(day, "yyyy/MM/dd"))
+            .when(k == 17, F.lit("someday")).otherwise(F.col("Date")))
+    cells = {"Date": date, "Price": F.when(k == 3, F.lit("n/a")).otherwise(F.col("Price")),
+             "Vol.": F.when(k == 11, F.lit("-")).otherwise(F.col("`Vol.`")),
+             "Change %": F.when(k == 13, F.lit("")).otherwise(F.col("`Change %`"))}
+    note = F.concat(F.lit('say "'), F.col("symbol"), F.lit('", ok'))
+    return b.select("symbol", note.alias("note"), *[cells.get(c, F.col(f"`{c}`")).alias(c) for c in CSV_COLUMNS])

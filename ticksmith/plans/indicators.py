@@ -2,9 +2,10 @@
 
 ``RSI, SMA_20, SMA_50, BB_middle, BB_upper, BB_lower, EMA_12, EMA_26, MACD,
 MACD_signal, MACD_hist`` added to every row. All of them are window
-functions over the same halo blocks (series.py), so the plan has one range
-shuffle, one block shuffle and one sort, whatever the number of indicators
-or the size of the largest instrument.
+functions over the same halo blocks (series.py): one range shuffle and one
+block shuffle of the rows, whatever the number of indicators or the size of
+the largest instrument. The EMA carries add joins with one small row per
+block.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ FRAME_COLUMNS = ["RSI", "SMA_20", "SMA_50", "BB_middle", "BB_upper", "BB_lower",
 
 
 def frame_lookback() -> int:
-    return max(RSI_N, SMA_SLOW - 1, BB_N - 1,
-               ema.macd_lookback(MACD_FAST, MACD_SLOW, MACD_SIGNAL))
+    return max(RSI_N, SMA_SLOW - 1, BB_N - 1)
 
 
 def indicator_frame(df: DataFrame, price: str = "price",
@@ -36,37 +36,32 @@ def indicator_frame(df: DataFrame, price: str = "price",
                     order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """``df`` plus the eleven indicator columns, per instrument in ``order``.
 
-    Rows with a NULL price are left out (the recursion cannot span them).
-    The window functions are grouped by dependency into three projections,
-    so the plan has three window operators (each one pass over a block
-    group) instead of one per indicator step.
+    Rows with a NULL, NaN or infinite price are left out (the recursion
+    cannot span them). The window functions are grouped by dependency into
+    few projections, so each window operator is one pass over a block group.
     """
-    halo = frame_lookback()
-    block = ema.block_rows_for([MACD_FAST, MACD_SLOW, MACD_SIGNAL], halo)
-    b, w = series.blocked(df.filter(F.col(price).isNotNull()), keys, order, halo, block)
+    spans = [MACD_FAST, MACD_SLOW, MACD_SIGNAL]
+    b, w, blocks = series.counted_blocks(
+        series.finite(df, price).where(F.col(price).isNotNull()), keys, order, frame_lookback(), ema.block_rows_for(spans))
     p = F.col(price)
     f_rsi, f_bb, f_slow = (series.frame(w, n) for n in (RSI_N, BB_N, SMA_SLOW))
 
     # 1: previous price, row index, band and slow-mean frames
-    b = b.withColumns({
+    b = ema.add_index(b.withColumns({
         "_delta": p - F.lag(p, 1).over(w),
-        ema.J: series.row_index(w),
         "_bb_n": F.count(p).over(f_bb), "_bb_avg": F.avg(p).over(f_bb),
         "_bb_std": F.stddev_samp(p).over(f_bb),
         "_slow_n": F.count(p).over(f_slow), "_slow_avg": F.avg(p).over(f_slow),
-    })
-    # 2: RSI frames over the differences, fast and slow EMA
+    }), w)
+    # 2: RSI frames over the differences
     d = F.col("_delta")
     gain = F.when(d > 0, d).otherwise(F.lit(0.0))
     loss = F.when(d < 0, -d).otherwise(F.lit(0.0))
     b = b.withColumns({
         "_rsi_n": F.count(F.lit(1)).over(f_rsi),
-        "_rsi_gain": F.avg(gain).over(f_rsi), "_rsi_loss": F.avg(loss).over(f_rsi),
-        "EMA_12": ema.ema_column(price, MACD_FAST, w),
-        "EMA_26": ema.ema_column(price, MACD_SLOW, w),
-    }).withColumn("MACD", F.col("EMA_12") - F.col("EMA_26"))
-    # 3: signal line
-    b = b.withColumn("MACD_signal", ema.ema_column("MACD", MACD_SIGNAL, w))
+        "_rsi_gain": F.avg(gain).over(f_rsi), "_rsi_loss": F.avg(loss).over(f_rsi)})
+    # 3: fast and slow EMA with their carries, then the signal line
+    b = ema.add_macd(b, w, blocks, price, MACD_FAST, MACD_SLOW, MACD_SIGNAL)
 
     full_bb = F.col("_bb_n") >= BB_N
     middle = F.when(full_bb, F.col("_bb_avg"))
@@ -78,6 +73,5 @@ def indicator_frame(df: DataFrame, price: str = "price",
         middle.alias("SMA_20"),
         F.when(F.col("_slow_n") >= SMA_SLOW, F.col("_slow_avg")).alias("SMA_50"),
         middle.alias("BB_middle"), (middle + spread).alias("BB_upper"), (middle - spread).alias("BB_lower"),
-        (F.col("MACD") - F.col("MACD_signal")).alias("MACD_hist"),
     )
     return series.finish(out).select(*df.columns, *FRAME_COLUMNS)

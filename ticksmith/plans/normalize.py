@@ -14,19 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticksmith.functions import text, timefmt
+from ticksmith.operators import series
 from ticksmith.schema import BAR_FIELDS, CSV_COLUMNS
 
 # The CSV price cells (thousands separators, no suffix).
 PRICE_CELLS = ["Price", "Open", "High", "Low"]
 
 
-def normalize_csv_bars(raw: DataFrame, sort: bool = True,
-                       tiebreak: Sequence[str] = ()) -> DataFrame:
-    """CSV text bars -> ``date, price, open, high, low, volume, change_percent``.
-
-    Extra columns are kept as they are and, like the typed ones, a NULL or
-    NaN in any of them drops the row. Volume never drops a row: bad or
-    missing volume is 0.0.
+def _typed(raw: DataFrame) -> DataFrame:
+    """All rows: extra columns, typed columns, and the date cell as ``_date``.
 
     Two projections: the first cleans each cell once (strip, separators,
     suffix), the second parses the cleaned text. Kept apart, every regular
@@ -41,18 +37,49 @@ def normalize_csv_bars(raw: DataFrame, sort: bool = True,
         vol_body.alias("_vol"), vol_factor.alias("_vol_f"),
         text.strip(F.replace(F.col("`Change %`"), F.lit("%"), F.lit(""))).alias("_chg"),
     )
-    typed = cleaned.select(
-        *[F.col(f"`{c}`") for c in extra],
+    return cleaned.select(
+        *[F.col(f"`{c}`") for c in extra], "_date",
         text.parse_market_date("_date", stripped=True).alias("date"),
         *[text.nan_to_null(text.py_float(f"_{c}", stripped=True)).alias(c.lower()) for c in PRICE_CELLS],
         text.volume_from_parts("_vol", "_vol_f").alias("volume"),
         text.nan_to_null(text.py_float("_chg", stripped=True)).alias("change_percent"),
-    ).na.drop(how="any")
+    )
+
+
+def normalize_csv_bars(raw: DataFrame, sort: bool = True,
+                       tiebreak: Sequence[str] = (), mode: str = "drop") -> DataFrame:
+    """CSV text bars -> ``date, price, open, high, low, volume, change_percent``.
+
+    Extra columns are kept as they are and, like the typed ones, a NULL or
+    NaN in any of them drops the row (``rejected_csv_bars`` has those rows).
+    Volume never drops a row: bad or missing volume is 0.0.
+    ``mode="failfast"`` raises on a date that no layout fits, instead of
+    dropping its row. ``sort=False`` spares the range shuffle where the sink
+    needs no order.
+    """
+    if mode not in ("drop", "failfast"):
+        raise ValueError("mode is 'drop' or 'failfast'")
+    extra = [c for c in raw.columns if c not in CSV_COLUMNS]
+    typed = _typed(raw)
+    if mode == "failfast":
+        bad = F.raise_error(F.concat(F.lit("no date layout fits "), F.coalesce("_date", F.lit("an empty cell"))))
+        typed = typed.withColumn("date", F.coalesce("date", bad.cast("timestamp")))
+    typed = typed.drop("_date").na.drop(how="any")
     if sort:
         typed = typed.orderBy("date", *(tiebreak or extra))
     return typed
 
 
+def rejected_csv_bars(raw: DataFrame) -> DataFrame:
+    """The rows of ``raw``, as text, that ``normalize_csv_bars`` drops."""
+    marked = raw.withColumn("_raw", F.struct(*[F.col(f"`{c}`") for c in raw.columns]))
+    names = [f.lower() for f in PRICE_CELLS] + ["date", "change_percent", *[c for c in raw.columns if c not in CSV_COLUMNS]]
+    missing = F.lit(False)
+    for c in names:
+        missing = missing | F.col(f"`{c}`").isNull()
+    return _typed(marked).where(missing).select("_raw.*")
+
+
 def history_bars(entries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """REST entries -> bar fields; ``close`` is the price, ``volumeto`` the volume.
 
@@ -72,8 +99,9 @@ def to_messages(bars: DataFrame, sent_at: Column | None = None,
                 keep: Sequence[str] = ()) -> DataFrame:
     """Bars -> message fields: ISO ``timestamp`` (send time) and ``date``.
 
-    ``sent_at`` defaults to ``current_timestamp()``; pass a column for a
-    deterministic stamp.
+    ``sent_at`` defaults to ``current_timestamp()``, one value per job: no
+    event-time window closes over such messages. Pass a column (the bar's
+    date, or ``stamped``'s) for a stamp per row.
     """
     stamp = sent_at if sent_at is not None else F.current_timestamp()
     return bars.select(
@@ -81,3 +109,16 @@ def to_messages(bars: DataFrame, sent_at: Column | None = None,
         timefmt.iso_format(stamp).alias("timestamp"),
         timefmt.iso_format("date").alias("date"),
         *[F.col(c).cast("double").alias(c) for c in BAR_FIELDS[2:]])
+
+
+def stamped(bars: DataFrame, start: str, step_seconds: float = 1.0, order: Sequence[str] = ("date",),
+            name: str = "sent_at") -> DataFrame:
+    """``bars`` with a send time per row: ``start`` plus the row's place in ``order`` times ``step_seconds``.
+
+    The paced replay's stamps without its waiting; places are numbered by
+    range partitions, not in one task.
+    """
+    placed = series.with_global_position(bars, (), order)
+    micros = F.round(F.col(series.POS) * F.lit(step_seconds * 1e6)).cast("long")
+    at = F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + micros)
+    return placed.withColumn(name, at).drop(series.POS)

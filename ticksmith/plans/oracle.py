@@ -155,13 +155,13 @@ def _snapshot(where: str = "") -> str:
         f"WITH m AS ({MSGS}), l AS (SELECT * FROM m ORDER BY seq DESC LIMIT 100), "
         f"f AS (SELECT * FROM l{flt}), "
         "z AS (SELECT arg_max(price, seq) AS price, arg_max(change_percent, seq) AS change_percent, "
-        "arg_max(volume, seq) AS volume FROM f) "
+        "arg_max(volume, seq) AS volume, count(*) AS n FROM f) "
         "SELECT price, change_percent, volume, "
-        "CASE WHEN price IS NULL THEN '$0.00' ELSE '$' || format('{:,.2f}', price) END AS current_price, "
-        "CASE WHEN price IS NULL THEN '0.00%' ELSE coalesce(printf('%+.2f%%', change_percent), 'N/A') END "
+        "CASE WHEN n = 0 THEN '$0.00' ELSE coalesce('$' || format('{:,.2f}', price), '$nan') END AS current_price, "
+        "CASE WHEN n = 0 THEN '0.00%' ELSE coalesce(printf('%+.2f%%', change_percent), 'N/A') END "
         "AS price_change, "
-        "CASE WHEN price IS NULL THEN '$0.00' ELSE '$' || format('{:,.2f}', volume) END AS current_volume, "
-        "CASE WHEN price IS NULL THEN 'N/A' WHEN change_percent >= 0 THEN 'Bullish' ELSE 'Bearish' END "
+        "CASE WHEN n = 0 THEN '$0.00' ELSE coalesce('$' || format('{:,.2f}', volume), '$nan') END AS current_volume, "
+        "CASE WHEN n = 0 THEN 'N/A' WHEN change_percent >= 0 THEN 'Bullish' ELSE 'Bearish' END "
         "AS market_status FROM z")
 
 
@@ -187,7 +187,78 @@ _EMA2 = (f"WITH RECURSIVE {_SEQ}, r AS (SELECT symbol, ts, seq, price, rn, price
 _JSON_EVENTS = ("SELECT event_id, ts, event_type, value, "
                 "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 
+
+def _oldest_first(sql: str, order: str, n: int) -> str:
+    """The last ``n`` rows, with their place counted from the oldest of them."""
+    return (f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS row FROM "
+            f"(SELECT * FROM ({sql}) a ORDER BY {order} DESC LIMIT {n}) b")
+
+
+def _lots(rec: dict[str, str], keyed: bool) -> str:
+    """EMA recursion over all ticks, per symbol or as one series."""
+    part = "PARTITION BY event_type " if keyed else ""
+    return (f"WITH RECURSIVE s AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, "
+            f"row_number() OVER ({part}ORDER BY ts, event_id) AS rn FROM events), "
+            f"r AS (SELECT symbol, ts, seq, price, rn, " + ", ".join(f"price AS {k}" for k in rec) +
+            " FROM s WHERE rn = 1 UNION ALL SELECT s.symbol, s.ts, s.seq, s.price, s.rn, " + ", ".join(rec.values()) +
+            f" FROM r JOIN s ON {'s.symbol = r.symbol AND ' if keyed else ''}s.rn = r.rn + 1)")
+
+
+def _step(span: int, name: str) -> str:
+    return f"{_alpha(span)} * s.price + {_q(span)} * r.{name}"
+
+
+_MACD_LONG = (
+    "WITH RECURSIVE " + _SEQ + ", r AS (SELECT symbol, ts, seq, price, rn, price AS f, price AS w, CAST(0 AS DOUBLE) AS g "
+    "FROM s WHERE rn = 1 UNION ALL SELECT s.symbol, s.ts, s.seq, s.price, s.rn, " + _step(5, "f") + ", " + _step(200, "w") +
+    f", {_alpha(9)} * (({_step(5, 'f')}) - ({_step(200, 'w')})) + {_q(9)} * r.g "
+    "FROM r JOIN s ON s.symbol = r.symbol AND s.rn = r.rn + 1) "
+    "SELECT symbol, ts, seq, price, round(f, 6) AS ema_fast, round(w, 6) AS ema_slow, round(f - w, 6) AS macd, "
+    "round(g, 6) AS signal, round(f - w - g, 6) AS hist FROM r")
+
+# Ticks with a missing price at every 97th event.
+_GAPPY = "(SELECT * REPLACE (CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value) FROM events) events"
+
+
+def _gaps(sql: str) -> str:
+    return sql.replace("FROM events", f"FROM {_GAPPY}")
+
+
+_DIRTY = (f"WITH b AS ({BARS}), t AS (SELECT *, dayofyear(date) % 20 AS k, "
+          + _VOL_TEXT.format(sym="symbol", v="volume") + " AS vol_text FROM b) "
+          "SELECT symbol, 'say \"' || symbol || '\", ok' AS note, date, price, "
+          "CASE WHEN k = 11 THEN 0.0 ELSE round(" + _VOL_PARSE.format(t="vol_text") + ", 6) END AS volume, "
+          "change_percent FROM t WHERE k NOT IN (3, 13, 17)")
+
+_WEEKS = ("SELECT time_bucket(INTERVAL '7 days', date, TIMESTAMP '1970-01-01') AS w, avg(price) AS m FROM bars GROUP BY 1")
+
+_CHAIN = (f"WITH bars AS ({BARS}), weeks AS ({_WEEKS}), "
+          "done AS (SELECT * FROM weeks WHERE w + INTERVAL '7 days' <= (SELECT max(date) FROM bars) - INTERVAL '10 minutes') "
+          "SELECT 'price' AS table, count(*) AS n, round(sum(price), 2) AS total FROM bars "
+          "UNION ALL SELECT 'sma', count(*), round(sum(m), 2) FROM done")
+
 ORACLE: dict[str, str] = {
+    "ema_200": _ema_sql(200, "ema_200"),
+    "macd_5_200_9": _MACD_LONG,
+    "bands_with_gaps": _gaps(_rolling(
+        f"round({_full('avg', 20)}, 6) AS BB_middle, "
+        f"round({_full('avg', 20)} + 2 * {_full('stddev_samp', 20)}, 6) AS BB_upper, "
+        f"round({_full('avg', 20)} - 2 * {_full('stddev_samp', 20)}, 6) AS BB_lower")),
+    "rsi_with_gaps": _gaps(_RSI.replace("{out}", "rsi")),
+    "ema_with_gaps": _gaps(_ema_sql(12, "ema_12")),
+    "percent_ties": ("SELECT event_id, (event_id % 801 - 400) / 8.0 AS change, "
+                     "printf('%+.2f%%', CAST((event_id % 801 - 400) / 8.0 AS DOUBLE)) AS shown FROM events"),
+    "dirty_bars": _DIRTY,
+    "job_chain": _CHAIN,
+    "stream_ema_unkeyed": _lots({"e12": _step(12, "e12"), "e26": _step(26, "e26")}, keyed=False) +
+                          " SELECT symbol, ts, seq, price, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26 FROM r",
+    "recent_rows_bb": ("SELECT * FROM (" + _sliding("bands", where=_STREAM_DONE) + ") z ORDER BY window_start DESC LIMIT 100"),
+    "recent_rows_price": (f"SELECT timestamp, date, price, volume, change_percent FROM ({MSGS}) m ORDER BY timestamp DESC, "
+                          "price DESC, volume DESC, change_percent DESC LIMIT 100"),
+    "chart_bands": ("SELECT x, sma, upper, lower, row_number() OVER (ORDER BY x) - 1 AS row FROM ("
+                    "SELECT window_start AS x, bb_middle AS sma, bb_upper AS upper, bb_lower AS lower FROM ("
+                    + _sliding("bands") + ") z ORDER BY window_start DESC LIMIT 100) l "
+                    "WHERE x >= TIMESTAMP '2024-01-30 22:00:00' AND x <= TIMESTAMP '2024-01-30 23:55:00'"),
     "sliding_sma": _sliding("sma"),
     "sliding_bands": _sliding("bands"),
     "sliding_bands_by_symbol": _sliding("bands", keys="symbol"),
@@ -204,7 +275,7 @@ ORACLE: dict[str, str] = {
     "ema_26": _ema_sql(26, "ema_26"),
     "macd": _MACD,
     "indicator_frame": _FRAME,
-    "latest_n": f"SELECT {MSG_COLS} FROM ({MSGS}) m ORDER BY seq DESC LIMIT 100",
+    "latest_n": _oldest_first(f"SELECT {MSG_COLS} FROM ({MSGS}) m", "seq", 100),
     "latest_n_per_symbol": (f"SELECT {MSG_COLS}, rank FROM (SELECT *, row_number() OVER "
                             f"(PARTITION BY symbol ORDER BY seq DESC) AS rank FROM ({MSGS}) m) x "
                             "WHERE rank <= 100"),
@@ -223,13 +294,13 @@ ORACLE: dict[str, str] = {
     "market_status": ("SELECT seq, change_percent, CASE WHEN change_percent >= 0 THEN 'Bullish' "
                       "ELSE 'Bearish' END AS market_status, coalesce(change_percent >= 0, false) "
                       f"AS positive FROM ({MSGS}) m"),
-    "recent_trades": ("SELECT event_id AS seq, strftime(ts, '%Y-%m-%d') AS day, "
+    "recent_trades": _oldest_first("SELECT event_id AS seq, strftime(ts, '%Y-%m-%d') AS day, "
                       "'$' || format('{:,.2f}', value) AS price_text, "
                       "'$' || format('{:,.2f}', CAST(user_id AS DOUBLE)) AS volume_text "
-                      "FROM events ORDER BY event_id DESC LIMIT 5"),
+                      "FROM events", "seq", 5),
     "ohlc_series": f"SELECT symbol, date AS x, open, high, low, price AS close FROM ({BARS}) b",
     "price_series": "SELECT event_id AS seq, ts AS x, value AS price FROM events",
-    "export_csv": f"SELECT {MSG_COLS} FROM ({MSGS}) m ORDER BY seq DESC LIMIT 100",
+    "export_csv": _oldest_first(f"SELECT {MSG_COLS} FROM ({MSGS}) m", "seq", 100),
     "normalize_prices": ("SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS price_text, "
                          "o_totalprice AS price FROM orders"),
     "parse_volume": ("WITH t AS (SELECT o_orderkey, "

@@ -28,8 +28,6 @@ KEYED_BAR_MESSAGE = StructType(BAR_MESSAGE.fields + [StructField("symbol", Strin
 # CSV header of a price-history export, read all as text.
 CSV_COLUMNS = ["Date", "Price", "Open", "High", "Low", "Vol.", "Change %"]
 
-CSV_TEXT = StructType([StructField(c, StringType(), True) for c in CSV_COLUMNS])
-
 # REST daily-history payload, Data.Data[] of OHLC objects.
 HISTORY_ENTRY = StructType([
     StructField("time", LongType(), True),
@@ -46,7 +44,7 @@ HISTORY_PAYLOAD = StructType([
     ]), True),
 ])
 
-# Windowed results (time windows, not row windows).
+# Windowed results (time windows, not row windows).
 SMA_RESULT = StructType([
     StructField("window_start", TimestampType(), True),
     StructField("window_end", TimestampType(), True),

@@ -47,7 +47,7 @@ def stream_sink(df: DataFrame, *, checkpoint: str, kafka_servers: str | None = N
     if memory_name:
         return w.format("memory").queryName(memory_name)
     if path:
-        return w.format("parquet").option("path", path)
+        return w.format("text" if encode else "parquet").option("path", path)
     raise ValueError("give kafka_servers+topic, path or memory_name")
 
 
@@ -58,7 +58,7 @@ def with_receive_time(df: DataFrame) -> DataFrame:
 
 def idempotent_batch_writer(paths: dict[str, str],
                             split: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function writing several outputs of one micro-batch.
+    """``foreachBatch`` function writing several outputs of one micro-batch as JSON messages.
 
     Each output goes to ``<path>/batch=<id>`` with overwrite, so a replayed
     batch after a failure rewrites the same files instead of duplicating
@@ -68,12 +68,7 @@ def idempotent_batch_writer(paths: dict[str, str],
         batch.persist()
         try:
             for name, part in split(batch).items():
-                part.write.mode("overwrite").parquet(f"{paths[name]}/batch={batch_id}")
+                as_messages(part).write.mode("overwrite").text(f"{paths[name]}/batch={batch_id}")
         finally:
             batch.unpersist()
     return write
-
-
-def export_csv(df: DataFrame, path: str) -> str:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    return path

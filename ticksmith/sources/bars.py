@@ -13,17 +13,19 @@ def check_columns(columns: list[str], required: list[str] = CSV_COLUMNS) -> None
     """Raise before any job runs when a required column is missing."""
     missing = [c for c in required if c not in columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the CSV header lacks {missing}; it needs {required}")
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV with a header row, every cell as text (typing is done by expressions).
 
-    Only the header is read to learn the column names; no schema inference
-    pass over the data.
+    A quote inside a quoted cell is doubled. ``multiline=True`` allows line
+    breaks inside quoted cells; a file is then read by one task. Only the
+    header is read to learn the column names; no schema inference pass over
+    the data.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
+    df = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+          .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path))
     check_columns(df.columns)
     return df
 

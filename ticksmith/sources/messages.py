@@ -36,6 +36,12 @@ def kafka_options(servers: str, topic: str, group_id: str | None = ENGINE_GROUP,
     return opts
 
 
+# Where a message came from (topic partition or file) and its place there
+# (offset, or row number given by the table writer): the order of arrival
+# within one micro-batch.
+ARRIVAL_PART, ARRIVAL_SEQ = "arrival_part", "arrival_seq"
+
+
 class KafkaConnectorMissing(RuntimeError):
     """The Kafka data source is not on the session's classpath."""
 
@@ -57,23 +63,12 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str = INPUT_TOPIC, **
                                              F.col("timestamp").alias("arrival"), "partition", "offset")
 
 
-def kafka_batch(spark: SparkSession, servers: str, topic: str, **kw) -> DataFrame:
-    opts = kafka_options(servers, topic, **kw)
-    opts.pop("kafka.group.id", None)
-    return (_load_kafka(spark.read.format("kafka").options(**opts), spark)
-            .select(F.col("value").cast("string").alias("value"), "partition", "offset"))
-
-
 def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Message text files (one message per line) as a stream of ``value``."""
-    reader = spark.readStream.format("text")
+    """Message text files (one message per line) as a stream of ``value``, with the file each came from."""
+    reader = spark.readStream.format("text").option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
-
-
-def file_batch(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("text").load(path)
+    return reader.load(path).select("value", F.col("_metadata.file_path").alias(ARRIVAL_PART))
 
 
 def result_topic_options(servers: str, kind: str) -> dict[str, str]:
@@ -87,7 +82,8 @@ def result_topic_options(servers: str, kind: str) -> dict[str, str]:
 def result_messages(spark: SparkSession, servers: str, kind: str) -> DataFrame:
     """One result topic's messages (``value`` text), as a stream."""
     raw = _load_kafka(spark.readStream.format("kafka").options(**result_topic_options(servers, kind)), spark)
-    return raw.select(F.col("value").cast("string").alias("value"))
+    return raw.select(F.col("value").cast("string").alias("value"),
+                      F.col("partition").cast("string").alias(ARRIVAL_PART), F.col("offset").alias(ARRIVAL_SEQ))
 
 
 def result_stream(spark: SparkSession, servers: str, kind: str) -> DataFrame:

@@ -10,8 +10,10 @@ one topic:
   so a replayed batch overwrites instead of duplicating;
 * the pass-through branch is stateless and not watermarked (its
   ``timestamp`` stays text), exactly as the processed topic carries it;
-* the queries are awaited together: the first to fail stops the others and
-  its error is raised.
+* file mode writes the result topics as folders of JSON messages (``price``,
+  ``sma``, ``bb``), which the recent-rows tables read like topics;
+* the queries are awaited together: all are waited for, and the first to fail
+  stops the others and its error is raised.
 
 Append mode emits a window once, when the watermark (max event time seen
 minus the delay, as of the previous batch) passes the window end; rows for
@@ -28,13 +30,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ticksmith.functions import timefmt
 from ticksmith.functions.codec import decode_frame, with_quarantine
 from ticksmith.operators import timewin
-from ticksmith.schema import BAR_MESSAGE
+from ticksmith.schema import BAR_MESSAGE, RESULT_SCHEMAS
 from ticksmith.sinks import writers
+from ticksmith.sources.messages import decode_results
 
 # Event-time delay tolerated before a window is final.
 WATERMARK = "10 minutes"
@@ -136,7 +139,7 @@ def _start(streams: IndicatorStreams, out: Outputs, trigger: dict | None,
                                     kafka_servers=out.kafka_servers, topic=out.topics["price"])
         else:
             w = writers.stream_sink(streams.processed, checkpoint=out.checkpoint("processed"),
-                                    path=out.path("processed"))
+                                    path=out.path("price"))
         queries.append(w.trigger(**trigger).start())
         if streams.rejected is not None:
             queries.append(writers.stream_sink(streams.rejected, checkpoint=out.checkpoint("rejected"),
@@ -152,10 +155,14 @@ def _start(streams: IndicatorStreams, out: Outputs, trigger: dict | None,
 
     if out.kafka_servers:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            for name, part in split(batch).items():
-                (writers.as_messages(part).write.format("kafka")
-                 .option("kafka.bootstrap.servers", out.kafka_servers)
-                 .option("topic", out.topics[name]).save())
+            batch.persist()  # one run of the stateful plan for both topics
+            try:
+                for name, part in split(batch).items():
+                    (writers.as_messages(part).write.format("kafka")
+                     .option("kafka.bootstrap.servers", out.kafka_servers)
+                     .option("topic", out.topics[name]).save())
+            finally:
+                batch.unpersist()
     else:
         sink = writers.idempotent_batch_writer({"sma": out.path("sma"), "bb": out.path("bb")}, split)
     queries.append(streams.stats.writeStream.outputMode("append")
@@ -166,17 +173,19 @@ def _start(streams: IndicatorStreams, out: Outputs, trigger: dict | None,
 
 def await_all(spark: SparkSession, queries: list[StreamingQuery],
               timeout: float | None = None, poll: float = 1.0) -> None:
-    """Wait until any of ``queries`` ends; stop the others; raise the first error.
+    """Wait until all of ``queries`` have ended; on the first error stop the others and raise it.
 
-    Waits on these queries only: the session-wide ``awaitAnyTermination``
-    also returns for other (earlier or unrelated) queries of the session.
+    With ``availableNow`` each query drains its own input, so one that ends
+    early must not cut off the others. Waits on these queries only: the
+    session-wide ``awaitAnyTermination`` also returns for other (earlier or
+    unrelated) queries of the session. ``timeout`` stops what still runs.
     """
     started = time.monotonic()
     try:
-        while all(q.isActive for q in queries):
+        while any(q.isActive for q in queries) and not any(q.exception() for q in queries):
             if timeout is not None and time.monotonic() - started >= timeout:
                 break
-            queries[0].awaitTermination(poll)
+            next((q for q in queries if q.isActive), queries[0]).awaitTermination(poll)
     finally:
         for q in queries:
             if q.isActive:
@@ -196,17 +205,14 @@ def run_available(queries: list[StreamingQuery]) -> None:
             raise RuntimeError(f"streaming query {q.name or q.id} failed: {err}")
 
 
-def read_result(spark: SparkSession, out: Outputs, name: str) -> DataFrame:
-    """Read back a file sink (the per-batch folders of one output)."""
-    if name == "processed":
-        return spark.read.parquet(out.path("processed"))
-    return spark.read.option("basePath", out.path(name)).parquet(f"{out.path(name)}/batch=*").drop("batch")
+def read_messages(spark: SparkSession, out: Outputs, name: str) -> DataFrame:
+    """The messages of one result folder (``price``, ``sma``, ``bb``) as ``value`` text."""
+    if name == "price":
+        return spark.read.text(out.path(name))
+    return spark.read.option("basePath", out.path(name)).text(f"{out.path(name)}/batch=*").select("value")
 
 
-def dropped_by_watermark(query: StreamingQuery) -> list[int]:
-    """Rows x windows dropped as late, per recorded micro-batch."""
-    out = []
-    for p in query.recentProgress:
-        ops = p.get("stateOperators") or []
-        out.append(sum(int(o.get("numRowsDroppedByWatermark", 0)) for o in ops))
-    return out
+def read_result(spark: SparkSession, out: Outputs, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Typed rows of one result folder; ``keys`` are text fields beside the topic's own."""
+    schema = StructType([StructField(k, StringType()) for k in keys] + RESULT_SCHEMAS[name].fields)
+    return decode_results(read_messages(spark, out, name), name, schema)

@@ -2,36 +2,50 @@
 
 One streaming query per table (price / sma / bb), each decoding its topic's
 messages, stamping the receive time and appending to a file table with its
-own checkpoint. Readers query the tables in batch (``latest_rows``); nothing
+own checkpoint: one folder per micro-batch, overwritten if the batch is
+replayed. Rows keep the order of their arrival (batch, file or partition,
+place). Readers query the tables in batch (``latest_rows``); nothing
 is shared in memory between the writer and the readers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ticksmith.operators import latest as L
 from ticksmith.sinks.writers import with_receive_time
-from ticksmith.sources.messages import decode_results
+from ticksmith.sources.messages import ARRIVAL_PART, ARRIVAL_SEQ, decode_results
 
-# Arrival order of each table: receive time, then the row's own time.
+# Order of each table: micro-batch, the row's own time, then the place the message came from.
+BATCH = "batch"
 TABLE_ORDER = {
-    "price": ("processed_at", "timestamp"),
-    "sma": ("processed_at", "window_start"),
-    "bb": ("processed_at", "window_start"),
+    "price": (BATCH, "timestamp", ARRIVAL_PART, ARRIVAL_SEQ),
+    "sma": (BATCH, "window_start", ARRIVAL_PART, ARRIVAL_SEQ),
+    "bb": (BATCH, "window_start", ARRIVAL_PART, ARRIVAL_SEQ),
 }
 
 
+def _table_writer(path: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if ARRIVAL_SEQ not in batch.columns:
+            batch = batch.withColumn(ARRIVAL_SEQ, F.monotonically_increasing_id())
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    return write
+
+
 def start_tables(sources: dict[str, DataFrame], root: str,
                  trigger: dict | None = None) -> list[StreamingQuery]:
-    """``sources``: kind -> streaming frame with a ``value`` message column."""
+    """``sources``: kind -> streaming frame with a ``value`` message column.
+
+    Other columns (where the message came from) are kept in the table.
+    """
     trigger = trigger or {"processingTime": "1 second"}
     queries = []
     for kind, messages in sources.items():
         rows = with_receive_time(decode_results(messages, kind))
-        queries.append(rows.writeStream.format("parquet").outputMode("append")
-                       .option("path", f"{root}/{kind}")
+        queries.append(rows.writeStream.foreachBatch(_table_writer(f"{root}/{kind}")).outputMode("append")
                        .option("checkpointLocation", f"{root}/_checkpoints/{kind}")
                        .trigger(**trigger).start())
     return queries
@@ -43,7 +57,7 @@ def read_tables(spark: SparkSession, root: str, kinds=tuple(TABLE_ORDER)) -> dic
 
 def latest_rows(spark: SparkSession, root: str, kind: str, n: int = 100,
                 order: tuple[str, ...] | None = None) -> DataFrame:
-    """The last ``n`` rows of one table; an unknown kind raises ``ValueError``."""
+    """The last ``n`` rows of one table, oldest first; an unknown kind raises ``ValueError``."""
     if kind not in TABLE_ORDER:
         raise ValueError(f"unknown data type: {kind!r}")
     tables = read_tables(spark, root, (kind,))
