@@ -6,7 +6,7 @@ import pytest
 from fixtures_llm import docs, empty
 
 from ticksmith.llm import substring_dedup as S
-from ticksmith.llm.suffix_bytes import ByteSuffixes
+from ticksmith.llm.suffix_bytes import RepeatedSuffixes
 
 
 def brute(rows, least):
@@ -37,13 +37,18 @@ def test_maximal_repeats_cover_all_repeated_windows():
         data = np.frombuffer(b"".join(strings), np.uint8)
         if not len(data):
             continue
-        sa = ByteSuffixes(data, starts)
-        order = [data[p:sa.end[p]].tobytes() for p in sa.order]
-        assert order == sorted(order)
+        sa = RepeatedSuffixes(data, starts, least)
+        ends = starts[1:]
+        suffix = [data[p:ends[k]].tobytes() for p, k in zip(sa.order, sa.string)]
+        for x, y, n in zip(suffix, suffix[1:], sa.lcp[1:]):
+            same = next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+            assert n == same or (n < least and same < least) or x[:least] != y[:least]
+            assert n < least or x <= y
         got = [set() for _ in strings]
-        for p, n, f in sa.maximal_repeats(least, np.arange(len(data))):
-            assert f < p and data[p:p + n].tobytes() == data[f:f + n].tobytes()
-            k = sa.string_of[p]
+        for e, n, f in sa.maximal_repeats(sa.order):
+            p, q = sa.order[e], sa.order[f]
+            assert q < p and data[p:p + n].tobytes() == data[q:q + n].tobytes()
+            k = sa.string[e]
             got[k] |= set(range(p - starts[k], p - starts[k] + n))
         seen, want = set(), [set() for _ in strings]
         for k, s in enumerate(strings):
@@ -87,7 +92,7 @@ def test_repeat_groups_list_every_occurrence(spark):
     shared = noise(150)
     rows = [(i, noise(180) + shared + noise(180)) for i in range(6)]
     df = spark.createDataFrame(rows, "doc long, text string")
-    _, found = S.repeats(df)
+    found = S.repeats(df)
     groups = {}
     for r in found.collect():
         groups.setdefault((r["repeat"], r.length), []).append((r.doc, r.first))

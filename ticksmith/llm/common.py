@@ -12,6 +12,32 @@ from pyspark.sql.types import StructField, StructType
 from ticksmith.session import scratch_path, table_path
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of texts, unless the session says otherwise.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: thousands of them in one Arrow batch would not be a bounded piece of memory."""
+    if int(spark.conf.get(_BATCH_ROWS)) == 10_000:  # Spark's default
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the Python worker hands its free memory back: it stays and serves other stages."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
@@ -54,7 +80,8 @@ def map_columns(df: DataFrame, fields: list[StructField],
                 names = b.schema.names + [f.name for f in fields]
                 yield pa.RecordBatch.from_arrays(list(b.columns) + fn(b), names=names)
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lean(run), schema)
 
 
 def text_chunks(texts: list, budget: int = 2_000_000, most: int = 4096) -> Iterator[tuple[int, int]]:

@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
-from ticksmith.llm import mixing, topk, warc
+from ticksmith.llm import mixing, substring_dedup, topk, warc
 
 _OP7 = f"""
 WITH RECURSIVE sizes AS (
@@ -50,4 +50,25 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
 FROM firsts
 """
 
-ORACLE: dict[str, str] = {"op1_segment_bounds": _OP1, "op4_warc_salvage": _OP4, "op7_poisson_mix": _OP7}
+_OP9 = f"""
+WITH texts AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, b, unnest(range(0, n - {substring_dedup.MIN_BYTES - 1})) AS pos FROM texts WHERE n >= {substring_dedup.MIN_BYTES}),
+windows AS (SELECT doc_id, pos, md5(array_slice(b, pos + 1, pos + {substring_dedup.MIN_BYTES})) AS s FROM places),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS nth FROM windows) x WHERE nth > 1),
+marked AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {substring_dedup.MIN_BYTES} THEN 0 ELSE 1 END AS new FROM later),
+numbered AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked),
+spans AS (SELECT doc_id, min(pos) AS lo, max(pos) + {substring_dedup.MIN_BYTES} AS hi FROM numbered GROUP BY doc_id, span),
+edges AS (SELECT doc_id, lo, hi FROM spans UNION ALL SELECT doc_id, n, n FROM texts),
+pieces AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo, hi) AS kept_from FROM edges),
+kept AS (
+  SELECT p.doc_id, sum(hi - lo)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+         string_agg(hex(array_slice(b, kept_from + 1, lo)), '' ORDER BY lo, hi) AS hexed
+  FROM pieces p JOIN texts t USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(hexed)) AS kept_sha256 FROM kept JOIN texts USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_segment_bounds": _OP1, "op4_warc_salvage": _OP4, "op7_poisson_mix": _OP7,
+                          "op9_interval_tree_dedup": _OP9}

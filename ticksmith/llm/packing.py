@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from ticksmith.llm.common import stored
+from ticksmith.llm.common import lean, small_batches, stored
 from ticksmith.llm.word_tokens import for_worker, tokenizer_path
 
 CAPACITY = 4096
@@ -74,7 +74,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 yield pa.RecordBatch.from_arrays([rows, pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
                                                   pa.array(cols[3], pa.int64()), last], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return src.mapInArrow(lean(run), schema)
 
 
 # --- one shard ------------------------------------------------------------

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ticksmith.llm.common import free_name, map_columns, stored, text_chunks
+from ticksmith.llm.common import free_name, lean, map_columns, stored, text_chunks
 from ticksmith.llm.components import components
 
 SEED = 42
@@ -245,7 +245,7 @@ def _forests(rows: DataFrame, prefix: int, max_bits: int) -> DataFrame:
             path, code, fp, _ = (np.concatenate(x) for x in zip(*held))
             yield solve(path, code, fp)
 
-    return dealt.select("path", "code", "fp", "top").mapInArrow(run, schema)
+    return dealt.select("path", "code", "fp", "top").mapInArrow(lean(run), schema)
 
 
 def trie_links(classes: DataFrame, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP) -> DataFrame:

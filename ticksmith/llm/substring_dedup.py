@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BinaryType, BooleanType, ByteType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
-from ticksmith.llm.common import stored
-from ticksmith.llm.suffix_bytes import ByteSuffixes
+from ticksmith.llm.byte_hashes import MIX, gram_hashes, stir
+from ticksmith.llm.common import lean, small_batches, stored
+from ticksmith.llm.suffix_bytes import RepeatedSuffixes
 
 MIN_BYTES = 100
 GRAM = 24
@@ -57,9 +58,6 @@ HOLD_RUNS = 2_000_000
 CHUNK = 1_000_000
 ARRAY_BYTES = 1_000_000
 
-_RNG = np.random.default_rng(20240501)
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
-_MIX = [int(x) | 1 for x in _RNG.integers(0, 2**64, 16, dtype=np.uint64)]
 RUN_TYPE = np.dtype([("m", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 COVER, RUNS, HOT = 0, 1, 2
 #: Flag in ``n``: the run may hold a window twice.
@@ -68,36 +66,6 @@ SELF = 1 << 31
 
 # --- runs of windows ------------------------------------------------------
 
-def _stir(x: np.ndarray, k: int) -> np.ndarray:
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(_MIX[k])
-    x ^= x >> np.uint64(32)
-    return x
-
-
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the ``gram`` bytes from each place, by doubling (garbage in the last places)."""
-    powers = [_BYTE[data]]
-    size = 1
-    while size * 2 <= gram:
-        h = powers[-1]
-        g = h * np.uint64(_MIX[len(powers)])
-        g[:-size] += h[size:]
-        powers.append(_stir(g, len(powers) + 5))
-        size *= 2
-    total, at = None, 0
-    for level in range(len(powers) - 1, -1, -1):
-        if gram - at >= 1 << level:
-            part = powers[level]
-            if total is None:
-                total = part.copy()
-            else:
-                total *= np.uint64(_MIX[12])
-                total[:len(total) - at] += part[at:]
-            at += 1 << level
-    return _stir(total, 13)
-
-
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     out, size = h.copy(), 1
     while size * 2 <= width:
@@ -151,8 +119,8 @@ def find_runs(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, base: np.n
     last = begin + length - gram
     while len(live):
         here = np.minimum(to[live], last[live])
-        x = (c[live] ^ h[here]) * np.uint64(_MIX[14])
-        c[live] = _stir(x, 15)
+        x = (c[live] ^ h[here]) * np.uint64(MIX[14])
+        c[live] = stir(x, 15)
         live = live[to[live] < last[live]]
         to[live] += gram
     out = np.empty(len(begin), RUN_TYPE)
@@ -293,7 +261,7 @@ def _map_runs(texts: DataFrame, least: int, gram: int, buckets: int, local_hot:
             yield _rows(RUNS, bucket[cut[:-1]].astype(np.int64), np.zeros(len(cut) - 1),
                         [_pack(firsts[a:e]) for a, e in zip(cut[:-1], cut[1:])])
 
-    return texts.mapInArrow(run, _ROW_SCHEMA)
+    return texts.mapInArrow(lean(run), _ROW_SCHEMA)
 
 
 def _pack(runs: np.ndarray) -> bytes:
@@ -362,7 +330,7 @@ def _reduce_runs(rows: DataFrame, hot: int) -> DataFrame:
                 yield from bucket.add(_unpack(b.column(3)[i].as_py()))
         yield from bucket.close()
 
-    return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, _ROW_SCHEMA)
+    return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(lean(run), _ROW_SCHEMA)
 
 
 # --- bytes of the undecided runs ------------------------------------------
@@ -395,7 +363,7 @@ def _fetch(texts: DataFrame, asked: DataFrame) -> DataFrame:
                 yield _run_batch(cols)
 
     joined = wanted.join(texts, "doc").select("doc", "kind", "data", "text")
-    return joined.mapInArrow(run, _RUN_BYTES)
+    return joined.mapInArrow(lean(run), _RUN_BYTES)
 
 
 def _run_batch(cols: list[list]) -> pa.RecordBatch:
@@ -407,39 +375,45 @@ REPEATS = StructType([StructField("repeat", LongType()), StructField("length", L
                       StructField("start", LongType()), StructField("first", BooleanType())])
 
 
-def array_repeats(doc: np.ndarray, at: np.ndarray, strings: list[bytes], least: int) -> pa.RecordBatch | None:
-    """The maximal repeats among the runs of some whole anchors, one row per occurrence."""
+def array_repeats(doc: np.ndarray, at: np.ndarray, strings: list[bytes], least: int,
+                  as_covers: bool = False) -> pa.RecordBatch | None:
+    """The maximal repeats among the runs of some whole anchors.
+
+    One row per occurrence; or, ``as_covers``, one per document with the
+    united spans of all but first occurrences.
+    """
     starts = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    sa = ByteSuffixes(data, starts)
+    sa = RepeatedSuffixes(np.frombuffer(b"".join(strings), np.uint8), starts, least)
     # places in corpus order: by document, then place in the text
-    place = at[sa.string_of] + np.arange(len(data)) - starts[sa.string_of]
-    order = np.lexsort((place, doc[sa.string_of]))
-    rank = np.empty(len(data), np.int64)
-    rank[order] = np.arange(len(data))
-    found = sa.maximal_repeats(least, rank)
+    where, place = doc[sa.string], at[sa.string] + sa.order - starts[sa.string]
+    rank = np.empty(len(place), np.int64)
+    rank[np.lexsort((place, where))] = np.arange(len(place))
+    found = sa.maximal_repeats(rank)
     if not found:
         return None
-    raw = data.tobytes()
-    heads = list({(f, n) for _, n, f in found})
-    name = {h: xxhash.xxh64_intdigest(raw[h[0]:h[0] + h[1]]) for h in heads}
-    p = np.array([x[0] for x in found] + [h[0] for h in heads])
-    n = np.array([x[1] for x in found] + [h[1] for h in heads])
-    g = np.array([name[x[2], x[1]] for x in found] + [name[h] for h in heads], np.uint64).view(np.int64)
-    first = np.concatenate([np.zeros(len(found), bool), np.ones(len(heads), bool)])
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), pa.array(doc[sa.string_of[p]]), pa.array(place[p]), pa.array(first)],
+    e, n, f = (np.array(x, np.int64) for x in zip(*found))
+    if as_covers:
+        return _cover_rows(where[e], place[e], place[e] + n)
+    heads = list(set(zip(f.tolist(), n.tolist())))
+    raw = b"".join(strings)
+    name = {h: xxhash.xxh64_intdigest(raw[sa.order[h[0]]:sa.order[h[0]] + h[1]]) for h in heads}
+    p = np.append(e, [h[0] for h in heads])
+    size = np.append(n, [h[1] for h in heads])
+    g = np.array([name[x] for x in zip(f.tolist(), n.tolist())] + [name[h] for h in heads], np.uint64).view(np.int64)
+    first = np.arange(len(p)) >= len(e)
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(size), pa.array(where[p]), pa.array(place[p]), pa.array(first)],
                                       names=REPEATS.names)
 
 
-def _by_arrays(runs: DataFrame, least: int) -> DataFrame:
-    """Maximal repeats of the runs, dealt by anchor; one array holds whole anchors of about ``ARRAY_BYTES``."""
+def _by_arrays(runs: DataFrame, least: int, as_covers: bool) -> DataFrame:
+    """``array_repeats`` of the runs, dealt by anchor; one array holds whole anchors of about ``ARRAY_BYTES``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def solve() -> pa.RecordBatch | None:
             return array_repeats(np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64),
-                                 [x[3] for x in held], least)
+                                 [x[3] for x in held], least, as_covers)
 
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
@@ -453,7 +427,7 @@ def _by_arrays(runs: DataFrame, least: int) -> DataFrame:
             yield rows
 
     return runs.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc", "at", "bytes") \
-        .mapInArrow(run, REPEATS)
+        .mapInArrow(lean(run), _ROW_SCHEMA if as_covers else REPEATS)
 
 
 def _by_windows(runs: DataFrame, least: int) -> DataFrame:
@@ -489,33 +463,47 @@ def ordered_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                   "ordered-texts")
 
 
-def repeats(texts: DataFrame, least: int = MIN_BYTES, gram: int = GRAM, hot_classes: int = HOT_CLASSES,
-            local_hot: int = LOCAL_HOT) -> tuple[DataFrame, DataFrame]:
-    """(spans already covered as ``doc, data``, occurrences of maximal repeats) of ``doc, text``."""
+def _runs(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot: int) -> DataFrame:
+    """``kind, doc, data``: covers of whole runs, and the runs whose bytes are needed."""
     buckets = 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    settled = stored(_reduce_runs(_map_runs(texts, least, gram, buckets, local_hot), hot_classes).drop("bucket"), "runs")
-    runs = _fetch(texts, settled.where(F.col("kind") != COVER))
-    arrays = _by_arrays(runs.where(F.col("kind") == RUNS), least)
-    asked_hot = settled.where(F.col("kind") == HOT)
-    found = arrays
-    if not asked_hot.isEmpty():
-        found = arrays.unionByName(_by_windows(_fetch(texts, asked_hot), least))
-    return settled.where(F.col("kind") == COVER).select("doc", "data"), stored(found, "repeats")
-
-
-def _covers(covered: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """``doc, spans`` (packed begins and ends) of all that goes."""
-    again = occurrences.where(~F.col("first")).groupBy("doc").agg(
+    return stored(_reduce_runs(_map_runs(texts, least, gram, buckets, local_hot), hot_classes).drop("bucket"), "runs")
+
+
+def repeats(texts: DataFrame, least: int = MIN_BYTES, gram: int = GRAM, hot_classes: int = HOT_CLASSES,
+            local_hot: int = LOCAL_HOT) -> DataFrame:
+    """``repeat, length, doc, start, first``: the maximal repeats of ``doc, text`` with all their occurrences.
+
+    Runs with equal bytes are listed as one repeat too; a repeat longer than
+    a run appears as the overlapping parts that its runs hold. Occurrences
+    inside a longer listed repeat are left to that one.
+    """
+    settled = _runs(texts, least, gram, hot_classes, local_hot)
+    found = _by_arrays(_fetch(texts, settled.where(F.col("kind") == RUNS)), least, False)
+    hot = settled.where(F.col("kind") == HOT)
+    return found if hot.isEmpty() else found.unionByName(_by_windows(_fetch(texts, hot), least))
+
+
+def _covers(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot: int) -> DataFrame:
+    """``doc, data, s, e``: packed spans, and begins and ends, of all that goes."""
+    settled = _runs(texts, least, gram, hot_classes, local_hot)
+    whole = settled.where(F.col("kind") == COVER).select("doc", "data")
+    edges = stored(_by_arrays(_fetch(texts, settled.where(F.col("kind") == RUNS)), least, True).select("doc", "data"), "edges")
+    packed = whole.unionByName(edges).groupBy("doc").agg(F.collect_list("data").alias("data"))
+    hot = settled.where(F.col("kind") == HOT)
+    if hot.isEmpty():
+        none = F.lit(None).cast("array<bigint>")
+        return packed.select("doc", "data", none.alias("s"), none.alias("e"))
+    again = _by_windows(_fetch(texts, hot), least).where(~F.col("first")).groupBy("doc").agg(
         F.collect_list("start").alias("s"), F.collect_list(F.col("start") + F.col("length")).alias("e"))
-    packed = covered.groupBy("doc").agg(F.collect_list("data").alias("data"))
-    return packed.join(again, "doc", "full")
+    return packed.join(stored(again, "hot-spans"), "doc", "full")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES, gram: int = GRAM,
           hot_classes: int = HOT_CLASSES, local_hot: int = LOCAL_HOT, with_bytes: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row, and the ``kept`` bytes if asked for."""
+    small_batches(docs.sparkSession)
     texts = ordered_texts(docs, id_col, text_col)
-    cover = _covers(*repeats(texts.select("doc", "text"), least, gram, hot_classes, local_hot))
+    cover = _covers(texts.select("doc", "text"), least, gram, hot_classes, local_hot)
     schema = StructType([texts.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
                          StructField("n_spans", LongType()), StructField("kept_sha256", StringType()),
                          *([StructField("kept", BinaryType())] if with_bytes else [])])
@@ -544,4 +532,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept_bytes, pa.binary())] if with_bytes else []),
                                              names=schema.names)
 
-    return texts.join(cover, "doc", "left").select("doc_id", "text", "data", "s", "e").mapInArrow(run, schema)
+    return texts.join(cover, "doc", "left").select("doc_id", "text", "data", "s", "e").mapInArrow(lean(run), schema)

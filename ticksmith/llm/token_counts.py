@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ticksmith.llm.common import lean, small_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -118,4 +120,5 @@ def count_by_section(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if rows:
                 yield flush()
 
-    return src.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return src.mapInArrow(lean(run), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from ticksmith.llm.common import stored
+from ticksmith.llm.common import lean, small_batches, stored
 from ticksmith.session import scratch_path
 
 MIN_REVISIT = 100
@@ -94,6 +94,7 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, archive_b
     length field. That last byte is left to the separator; a larger member
     is followed by one zero byte of padding, which gzip readers skip.
     """
+    small_batches(pages.sparkSession)
     total = pages.agg(F.sum(F.octet_length(cols.get("html_col", "html")))).first()[0] or 0
     planned = plan_records(pages, **cols)
     dealt = planned.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("page_id", "url", "payload_digest"))
@@ -122,7 +123,7 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, archive_b
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    members = dealt.mapInArrow(run, StructType([StructField("value", BinaryType())]))
+    members = dealt.mapInArrow(lean(run), StructType([StructField("value", BinaryType())]))
     # the cast keeps the bytes as they are
     members.select(F.col("value").cast("string").alias("value")).write \
         .option("lineSep", "\x00" if compress else "\n").text(path)
@@ -294,7 +295,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                  "payload_bytes": pa.int64(), "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
-    return files.mapInArrow(run, READ_SCHEMA)
+    return files.mapInArrow(lean(run), READ_SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, compress: bool = True, **cols) -> DataFrame:

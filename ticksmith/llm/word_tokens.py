@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words kept by a Python worker.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 # Words of Latin letters with an upper bound of 255: composed, and lowered letter by letter.
 _PLAIN = "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<mark>[.,;:!?]*)$"
 
