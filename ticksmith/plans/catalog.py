@@ -337,17 +337,39 @@ def q_stream_passthrough(spark, sf_dir):
     return stream.read_result(spark, out, "price")
 
 
+def _thirds(df: DataFrame, ts: str) -> list[DataFrame]:
+    """``df`` in three lots by time, one after the other."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    if lo is None:
+        return [df]
+    a, b = lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3
+    t = F.col(ts)
+    return [df.where(t < a), df.where((t >= a) & (t < b)), df.where(t >= b)]
+
+
+def q_stream_late_file(spark, sf_dir):
+    """Three arrivals in time order, then one of old rows again: all its windows are closed, so nothing changes."""
+    _utc(spark)
+    msgs = fixtures.messages(spark, sf_dir).withColumn("at", timefmt.to_wall_clock(timefmt.parse_event_time("timestamp")))
+    lots = _thirds(msgs, "at")
+    src, out = scratch_path(spark, "late"), stream.Outputs(root=scratch_path(spark, "stream-late"))
+    for i, lot in enumerate([*lots, lots[0]]):
+        writers.publish(lot.drop("seq", "symbol", "at"), path=f"{src}/arrival={i}")
+        streams = stream.indicator_streams(msg_sources.file_stream(spark, src))
+        stream.await_all(spark, stream.start(streams, out, trigger={"availableNow": True}, processed=False,
+                                             state_partitions=stream.default_state_partitions(spark)))
+    res = stream.read_result(spark, out, "sma")
+    return res.select(*_wall(["window_start", "window_end"], ["sma_20"]))
+
+
 def _stream_ema(spark, sf_dir, keys) -> DataFrame:
     """EMA 12/26 over three arrivals of ticks, each run going on from the state of the one before."""
     _utc(spark)
     ticks = fixtures.ticks(spark, sf_dir)
     root, src = scratch_path(spark, "stream-ema"), scratch_path(spark, "tick-files")
-    lo, hi = ticks.agg(F.min("ts"), F.max("ts")).first()
-    edges = [None, *( [lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3] if lo else []), None]
     n = stream.default_state_partitions(spark)
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        part = ticks if a is None else ticks.where(F.col("ts") >= a)
-        (part if b is None else part.where(F.col("ts") < b)).write.parquet(f"{src}/arrival={i}")
+    for i, lot in enumerate(_thirds(ticks, "ts")):
+        lot.write.parquet(f"{src}/arrival={i}")
         rows = spark.readStream.schema(ticks.schema).option("recursiveFileLookup", True).parquet(src)
         with stream.shuffle_partitions(spark, n):
             q = (rows.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26), keys=keys, num_partitions=n))
@@ -527,6 +549,7 @@ QUERIES: dict[str, Query] = {
     "recent_rows_bb": q_recent_rows_bb,
     "job_chain": q_job_chain,
     "stream_ema_unkeyed": q_stream_ema_unkeyed,
+    "stream_late_file": q_stream_late_file,
     "ema_200": q_ema_200,
     "macd_5_200_9": q_macd_5_200_9,
     "bands_with_gaps": q_bands_with_gaps,

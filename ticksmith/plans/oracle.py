@@ -249,6 +249,7 @@ ORACLE: dict[str, str] = {
     "percent_ties": ("SELECT event_id, (event_id % 801 - 400) / 8.0 AS change, "
                      "printf('%+.2f%%', CAST((event_id % 801 - 400) / 8.0 AS DOUBLE)) AS shown FROM events"),
     "dirty_bars": _DIRTY,
+    "stream_late_file": _sliding("sma", where=_STREAM_DONE),
     "job_chain": _CHAIN,
     "stream_ema_unkeyed": _lots({"e12": _step(12, "e12"), "e26": _step(26, "e26")}, keyed=False) +
                           " SELECT symbol, ts, seq, price, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26 FROM r",
