@@ -15,8 +15,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from ticksmith.plans import catalog  # noqa: E402
 from ticksmith.session import build_session  # noqa: E402
 
-SHOWN = ["indicator_frame", "sliding_bands", "latest_n_per_symbol", "snapshot",
-         "normalize_bars", "flatten_history"]
+SHOWN = ["indicator_frame", "ema_200", "sma_20", "chart_macd", "chart_bands", "sliding_bands",
+         "latest_n_per_symbol", "snapshot", "normalize_bars", "flatten_history"]
 
 
 def main() -> None:
