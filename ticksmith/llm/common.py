@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ticksmith.session import scratch_path, table_path
@@ -62,10 +61,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def null_safe_text(col: str):
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def map_columns(df: DataFrame, fields: list[StructField],
                 fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """All columns of ``df`` plus ``fields``, filled by ``fn`` per Arrow batch.

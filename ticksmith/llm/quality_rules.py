@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
+from pyspark.sql.types import LongType, StructField
 
 from ticksmith.llm.common import free_name, map_columns, text_chunks
 from ticksmith.llm.suffix_words import WordSuffixes, word_ids

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ticksmith.llm.common import free_name, lean, map_columns, stored, text_chunks
 from ticksmith.llm.components import components
@@ -303,4 +303,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     first = F.min(F.struct(F.col("id").isNull(), "id", "uid"))
     best = slim.groupBy("fp").agg(first.alias("best")).join(comp, "fp") \
         .groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
-    return rows.join(stored(best, "kept-rows"), uid, "left_semi").select(*docs.columns)
+    # The kept ids grow with the documents, so they are not for broadcasting, at any size.
+    return rows.join(stored(best, "kept-rows").hint("shuffle_merge"), uid, "left_semi").select(*docs.columns)
