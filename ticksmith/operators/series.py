@@ -72,7 +72,7 @@ def cores(df: DataFrame) -> int:
 def plan_bytes(df: DataFrame) -> int | None:
     """Size of ``df`` as the optimizer estimates it; None if it cannot."""
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - no classic session
         return None
     return size if size < _UNKNOWN_BYTES else None
@@ -115,6 +115,11 @@ def with_global_position(df: DataFrame, keys: str | Sequence[str],
     recomputed partition. The written table fixes the numbering, and the
     size pass reads one column of it.
     """
+    return _positions(_numbered(df, keys, order, num_partitions))
+
+
+def _numbered(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], num_partitions: int | None) -> DataFrame:
+    """``df`` range-sorted, with the partition and the place in it as ``_rid``, as a written table."""
     spark = df.sparkSession
     sort_cols = [*_names(keys), *_names(order)]
     n = num_partitions or range_partitions(df)
@@ -123,8 +128,10 @@ def with_global_position(df: DataFrame, keys: str | Sequence[str],
        .sortWithinPartitions(*sort_cols)
        .withColumn(_RID, F.monotonically_increasing_id())
        .write.mode("overwrite").parquet(path))
-    numbered = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
 
+def _positions(numbered: DataFrame) -> DataFrame:
     part = F.shiftright(F.col(_RID), 33).cast("int")
     # One row per non-empty partition: bounded by n, not by the data.
     sizes = numbered.groupBy(part.alias(_PART)).agg(F.count(F.lit(1)).alias(_ROWS))
@@ -191,17 +198,17 @@ def blocked(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
 def counted_blocks(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], lookback: int,
                    block_rows: int | None = None, num_partitions: int | None = None) -> tuple[DataFrame, WindowSpec, int]:
     """``blocked``, and the number of blocks (one column of the written table is counted)."""
-    cut, w, indexed = _cut(df, keys, order, lookback, block_rows, num_partitions)
-    return cut, w, -(-indexed.count() // block_size(df, lookback, block_rows))
+    cut, w, numbered = _cut(df, keys, order, lookback, block_rows, num_partitions)
+    return cut, w, -(-numbered.count() // block_size(df, lookback, block_rows))
 
 
 def _cut(df: DataFrame, keys, order, lookback: int, block_rows: int | None,
          num_partitions: int | None) -> tuple[DataFrame, WindowSpec, DataFrame]:
     keys = _names(keys)
     n = num_partitions or range_partitions(df)
-    indexed = with_global_position(df, keys, order, n)
-    cut = with_halo_blocks(indexed, lookback, block_size(df, lookback, block_rows)).repartition(n, BLOCK)
-    return cut, block_window(keys), indexed
+    numbered = _numbered(df, keys, order, n)
+    cut = with_halo_blocks(_positions(numbered), lookback, block_size(df, lookback, block_rows)).repartition(n, BLOCK)
+    return cut, block_window(keys), numbered
 
 
 def block_size(df: DataFrame, lookback: int, block_rows: int | None = None) -> int:
