@@ -58,10 +58,10 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
         pairs = [x for k, v in targets.items() for x in (F.lit(f"s{k}"), F.lit(float(v)))]
         weight = F.coalesce(F.create_map(*pairs)[F.col("source_key")], F.lit(0.0)) if pairs else F.lit(0.0)
     sizes = stored(sizes.withColumn("weight", weight), "source-sizes")
-    total = sizes.agg(F.sum("chars").alias("total"), F.sum("weight").alias("weights"))
-    return sizes.crossJoin(total).select(  # one row of totals
-        "source_key", F.try_divide(F.try_divide(F.col("weight"), F.col("weights")) * F.col("total"), F.col("chars")).alias("rate")) \
-        .select("source_key", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    total, weights = sizes.agg(F.sum("chars"), F.sum("weight")).first()  # two numbers
+    share = F.try_divide(F.col("weight"), F.lit(float(weights or 0)))
+    rate = F.try_divide(share * F.lit(float(total or 0)), F.col("chars"))
+    return sizes.select("source_key", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def _with_table(rate: DataFrame) -> DataFrame:
