@@ -138,6 +138,17 @@ def test_chart_macd_is_one_shuffle_per_limit(spark):
     assert plan.count("Exchange") <= 2  # the two levels of the limit; the windows reuse the last one
 
 
+def test_chart_macd_of_a_long_slice(spark):
+    import models
+    df = spark.range(7000).select(F.lit("x").alias("symbol"), F.col("id").alias("ts"), F.col("id").alias("seq"),
+                                  (F.col("id") % 41 + 3).cast("double").alias("price"))
+    got = views.macd_series(df, ["symbol"], ["ts", "seq"], lookback=6000).orderBy("ts").collect()
+    xs = [r.price for r in got]
+    line = [a - b for a, b in zip(models.recursion(xs, 12), models.recursion(xs, 26))]
+    assert len(xs) == 6000
+    assert all(abs(r.MACD_signal - v) < 1e-9 for r, v in zip(got, models.recursion(line, 9)))
+
+
 def test_market_dates_without_padding(spark):
     from ticksmith.functions import text
     cells = ["01/05/2024", "1/5/2024", "2024/01/05", "2024-1-5", "5 Jan 2024", "Jan 5, 2024", "January 5, 2024", "2024-01-05T00:00:00", "x"]

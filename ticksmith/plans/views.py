@@ -105,6 +105,8 @@ def macd_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if not lookback:
         return ema.macd(df, keys=keys, order=order)
     src, w = _slice(df, lookback, keys, order)
+    if lookback > ema.block_rows_for([12, 26, 9]):  # more than one block
+        return ema.macd(src, keys=keys, order=order)
     rows = src.withColumns({series.HALO: F.lit(False), ema.J: F.row_number().over(w) - 1, ema.CONT: F.lit(False)})
     return ema.macd_of_whole(rows, w, "price").drop(series.HALO, ema.J, ema.CONT)
 
