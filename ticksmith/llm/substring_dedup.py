@@ -193,20 +193,6 @@ _ROW_SCHEMA = StructType([StructField("bucket", LongType()), StructField("kind",
                           StructField("doc", LongType()), StructField("data", BinaryType())])
 
 
-_ROW_SCHEMA = StructType([StructField("bucket", LongType()), StructField("kind", ByteType()),
-                          StructField("doc", LongType()), StructField("data", BinaryType())])
-
-
-def _settle(runs: np.ndarray, hot: int, ask_hot: int) -> Iterator[pa.RecordBatch]:
-    """Covers and requests of whole anchors."""
-    firsts, others = split_classes(runs)
-    n = _counts(firsts)
-    for rows in (_cover_rows(others["doc"], others["at"], _ends(others)),
-                 _request_rows(RUNS, firsts[((n > 1) | (firsts["n"] >= SELF)) & (n <= hot)]), _request_rows(ask_hot, firsts[n > hot])):
-        if rows is not None:
-            yield rows
-
-
 def _map_runs(texts: DataFrame, least: int, gram: int, buckets: int, local_hot: int) -> DataFrame:
     """Rows of ``kind``: covers found locally, packed runs per bucket, requests of hot anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,44 +265,74 @@ def _unpack(data: bytes) -> np.ndarray:
     return out
 
 
+class _Out:
+    """Covers and requests gathered over many runs, so that a document gets few rows from a task."""
+
+    def __init__(self) -> None:
+        self.covers: list[np.ndarray] = []
+        self.asked: dict[int, list[np.ndarray]] = {RUNS: [], HOT: []}
+        self.n = 0
+
+    def cover(self, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        if len(doc):
+            self.covers.append(np.stack([doc.astype(np.int64), begin.astype(np.int64), end.astype(np.int64)]))
+            self.n += len(doc)
+
+    def ask(self, kind: int, runs: np.ndarray) -> None:
+        if len(runs):
+            self.asked[kind].append(runs)
+            self.n += len(runs)
+
+    def rows(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """All that was gathered, if it is ``least`` entries or more."""
+        if self.n < least:
+            return
+        if self.covers:
+            yield _cover_rows(*np.concatenate(self.covers, axis=1))
+        for kind, runs in self.asked.items():
+            if runs:
+                yield _request_rows(kind, np.concatenate(runs))
+        self.__init__()
+
+
 class _Bucket:
     """Runs of one bucket as they arrive; large anchors go the other way as soon as they are known."""
 
-    def __init__(self, hot: int) -> None:
-        self.limit, self.held, self.n, self.hot = hot, [], 0, np.zeros(0, np.uint64)
+    def __init__(self, limit: int, out: _Out) -> None:
+        self.limit, self.out = limit, out
+        self.held: list[np.ndarray] = []
+        self.n, self.hot = 0, np.zeros(0, np.uint64)
 
-    def add(self, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, runs: np.ndarray) -> None:
         self.held.append(runs)
         self.n += len(runs)
         if self.n >= HOLD_RUNS:
-            firsts = yield from self._settle()
+            firsts = self._settle()
             self.held, self.n = [firsts], len(firsts)
 
-    def _settle(self) -> Iterator[pa.RecordBatch]:
-        """Covers and hot requests; the first runs of the other anchors remain."""
+    def _settle(self) -> np.ndarray:
+        """Covers and hot requests go out; the first runs of the other anchors remain."""
         runs = np.concatenate(self.held)
         told = runs["n"] == 0
         self.hot = np.union1d(self.hot, runs["m"][told])
         firsts, others = split_classes(runs[~told])
         self.hot = np.union1d(self.hot, firsts["m"][_counts(firsts) > self.limit])
         is_hot = np.isin(firsts["m"], self.hot)
-        for rows in (_cover_rows(others["doc"], others["at"], _ends(others)), _request_rows(HOT, firsts[is_hot])):
-            if rows is not None:
-                yield rows
+        self.out.cover(others["doc"], others["at"], _ends(others))
+        self.out.ask(HOT, firsts[is_hot])
         return firsts[~is_hot]
 
-    def close(self) -> Iterator[pa.RecordBatch]:
+    def close(self) -> None:
         if self.n:
-            firsts = yield from self._settle()
-            rows = _request_rows(RUNS, firsts[(_counts(firsts) > 1) | (firsts["n"] >= SELF)])
-            if rows is not None:
-                yield rows
+            firsts = self._settle()
+            self.out.ask(RUNS, firsts[(_counts(firsts) > 1) | (firsts["n"] >= SELF)])
 
 
 def _reduce_runs(rows: DataFrame, hot: int) -> DataFrame:
     """Covers and requests, from the runs of whole buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bucket = None, _Bucket(hot)
+        out = _Out()
+        at, bucket = None, _Bucket(hot, out)
         for b in batches:
             kinds = b.column(1).to_numpy()
             passed = np.flatnonzero(kinds != RUNS)
@@ -325,10 +341,12 @@ def _reduce_runs(rows: DataFrame, hot: int) -> DataFrame:
             for i in np.flatnonzero(kinds == RUNS).tolist():
                 here = b.column(0)[i].as_py()
                 if here != at:
-                    yield from bucket.close()
-                    at, bucket = here, _Bucket(hot)
-                yield from bucket.add(_unpack(b.column(3)[i].as_py()))
-        yield from bucket.close()
+                    bucket.close()
+                    at, bucket = here, _Bucket(hot, out)
+                bucket.add(_unpack(b.column(3)[i].as_py()))
+                yield from out.rows(DEAL_RUNS)
+        bucket.close()
+        yield from out.rows()
 
     return rows.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(lean(run), _ROW_SCHEMA)
 
@@ -376,11 +394,11 @@ REPEATS = StructType([StructField("repeat", LongType()), StructField("length", L
 
 
 def array_repeats(doc: np.ndarray, at: np.ndarray, strings: list[bytes], least: int,
-                  as_covers: bool = False) -> pa.RecordBatch | None:
+                  out: _Out | None = None) -> pa.RecordBatch | None:
     """The maximal repeats among the runs of some whole anchors.
 
-    One row per occurrence; or, ``as_covers``, one per document with the
-    united spans of all but first occurrences.
+    One row per occurrence; with ``out``, the spans of all but first
+    occurrences go there instead.
     """
     starts = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
     sa = RepeatedSuffixes(np.frombuffer(b"".join(strings), np.uint8), starts, least)
@@ -392,8 +410,9 @@ def array_repeats(doc: np.ndarray, at: np.ndarray, strings: list[bytes], least:
     if not found:
         return None
     e, n, f = (np.array(x, np.int64) for x in zip(*found))
-    if as_covers:
-        return _cover_rows(where[e], place[e], place[e] + n)
+    if out is not None:
+        out.cover(where[e], place[e], place[e] + n)
+        return None
     heads = list(set(zip(f.tolist(), n.tolist())))
     raw = b"".join(strings)
     name = {h: xxhash.xxh64_intdigest(raw[sa.order[h[0]]:sa.order[h[0]] + h[1]]) for h in heads}
@@ -410,21 +429,27 @@ def _by_arrays(runs: DataFrame, least: int, as_covers: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        out = _Out() if as_covers else None
 
-        def solve() -> pa.RecordBatch | None:
-            return array_repeats(np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64),
-                                 [x[3] for x in held], least, as_covers)
+        def solve() -> Iterator[pa.RecordBatch]:
+            rows = array_repeats(np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64),
+                                 [x[3] for x in held], least, out)
+            if rows is not None:
+                yield rows
+            elif out is not None:
+                yield from out.rows(DEAL_RUNS)
 
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if size >= ARRAY_BYTES and row[0] != held[-1][0]:
-                    if (rows := solve()) is not None:
-                        yield rows
+                    yield from solve()
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3])
-        if held and (rows := solve()) is not None:
-            yield rows
+        if held:
+            yield from solve()
+        if out is not None:
+            yield from out.rows()
 
     return runs.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc", "at", "bytes") \
         .mapInArrow(lean(run), _ROW_SCHEMA if as_covers else REPEATS)
@@ -487,13 +512,15 @@ def _covers(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot
     """``doc, data, s, e``: packed spans, and begins and ends, of all that goes."""
     settled = _runs(texts, least, gram, hot_classes, local_hot)
     whole = settled.where(F.col("kind") == COVER).select("doc", "data")
-    edges = stored(_by_arrays(_fetch(texts, settled.where(F.col("kind") == RUNS)), least, True).select("doc", "data"), "edges")
+    # one fetch for both ways, whether or not some anchor is hot
+    runs = stored(_fetch(texts, settled.where(F.col("kind") != COVER)), "run-bytes")
+    edges = stored(_by_arrays(runs.where(F.col("kind") == RUNS), least, True).select("doc", "data"), "edges")
     packed = whole.unionByName(edges).groupBy("doc").agg(F.collect_list("data").alias("data"))
     hot = settled.where(F.col("kind") == HOT)
     if hot.isEmpty():
         none = F.lit(None).cast("array<bigint>")
         return packed.select("doc", "data", none.alias("s"), none.alias("e"))
-    again = _by_windows(_fetch(texts, hot), least).where(~F.col("first")).groupBy("doc").agg(
+    again = _by_windows(runs.where(F.col("kind") == HOT), least).where(~F.col("first")).groupBy("doc").agg(
         F.collect_list("start").alias("s"), F.collect_list(F.col("start") + F.col("length")).alias("e"))
     return packed.join(stored(again, "hot-spans"), "doc", "full")
 
