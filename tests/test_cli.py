@@ -8,7 +8,7 @@ from ticksmith.sinks import writers
 from ticksmith.sources import bars
 from ticksmith.streaming import stream
 
-from conftest import SF_MID, SF_SMALL
+from sf_paths import SF_MID, SF_SMALL
 
 CSV = '''Date,Price,Open,High,Low,Vol.,Change %
 "01/03/2024","42,836.1","44,183.1","45,503.2","40,813.0","121.53K","-3.05%"

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from ticksmith.plans.catalog import QUERIES
 from ticksmith.plans.oracle import ORACLE
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 TABLES = ["orders", "events", "lineitem", "customer"]
 

@@ -8,7 +8,7 @@ from ticksmith.operators import ema, rolling, series
 from ticksmith.plans import fixtures
 from ticksmith.plans.indicators import indicator_frame
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def _ticks(spark):

@@ -8,7 +8,7 @@ from ticksmith import session
 from ticksmith.operators import rolling
 from ticksmith.plans import fixtures
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 class _Cluster:

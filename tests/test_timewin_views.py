@@ -6,7 +6,7 @@ from ticksmith.operators import latest as L
 from ticksmith.operators import timewin
 from ticksmith.plans import fixtures, views
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_sma_equals_band_middle_and_band_order(spark):
