@@ -103,10 +103,12 @@ def finite(df: DataFrame, col: str) -> DataFrame:
 
 def with_global_position(df: DataFrame, keys: str | Sequence[str],
                          order: str | Sequence[str],
-                         num_partitions: int | None = None) -> DataFrame:
+                         num_partitions: int | None = None,
+                         keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``_pos``: 0-based position of each row in the order (keys, order).
 
-    ``order`` must make rows unique within a key (e.g. ``ts, seq``).
+    ``order`` must make rows unique within a key (e.g. ``ts, seq``). Only the
+    columns in ``keep`` (default: all) go into the written table.
 
     The range-sorted, numbered rows are written once under the shared
     checkpoint folder. Partition sizes must describe exactly the partitions
@@ -115,10 +117,11 @@ def with_global_position(df: DataFrame, keys: str | Sequence[str],
     recomputed partition. The written table fixes the numbering, and the
     size pass reads one column of it.
     """
-    return _positions(_numbered(df, keys, order, num_partitions))
+    return _positions(_numbered(df, keys, order, num_partitions, keep))
 
 
-def _numbered(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], num_partitions: int | None) -> DataFrame:
+def _numbered(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], num_partitions: int | None,
+              keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` range-sorted, with the partition and the place in it as ``_rid``, as a written table."""
     spark = df.sparkSession
     sort_cols = [*_names(keys), *_names(order)]
@@ -126,7 +129,7 @@ def _numbered(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[st
     path = scratch_path(spark, "series-positions")
     (df.repartitionByRange(n, *sort_cols)
        .sortWithinPartitions(*sort_cols)
-       .withColumn(_RID, F.monotonically_increasing_id())
+       .select(*(keep or df.columns), F.monotonically_increasing_id().alias(_RID))
        .write.mode("overwrite").parquet(path))
     return spark.read.parquet(path)
 
