@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticksmith.llm import (mixing, packing, pii, pu_classifier, quality_rules, simhash, substring_dedup, token_counts,
-                           topk, warc)
+from ticksmith.llm import (conversation_trie, decontaminate, mixing, packing, pii, pu_classifier, quality_rules, simhash, spelling,
+                           substring_dedup, token_counts, topk, warc)
 from ticksmith.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,20 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs, turns = conversation_trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(convs, turns)
+
+
+def op12_spelling_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_segment_bounds, op2_offset_counts, op3_best_fit_swaps, op4_warc_salvage, op5_simhash_trie, op6_suffix_repetition, op7_poisson_mix,
-    op8_positive_unlabelled, op9_interval_tree_dedup, op10_contextual_pii)}
+    op8_positive_unlabelled, op9_interval_tree_dedup, op10_contextual_pii, op11_prefix_trie, op12_spelling_chunks, op13_prefix_decontamination)}
