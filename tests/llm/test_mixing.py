@@ -46,3 +46,13 @@ def test_edges(spark):
     assert not twice or twice[0] % 3 == 0  # three equal rows draw alike
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.mix(df, {}).count() == 0
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    import random
+    rng = random.Random(8)
+    df = spark.createDataFrame([(None, prose(rng, 20), "a") for _ in range(500)] + [(1, prose(rng, 20), "b")], "doc_id long, text string, source string")
+    out = mixing.mix(df, {"a": 0.5, "b": 0.5}).where("source = 'a'").collect()
+    per = Counter(r.text for r in out)
+    assert len(set(per.values())) > 1 and 0 < len(per) < 500
+    assert len({r.shuffle_key for r in out}) == len(out)

@@ -78,9 +78,13 @@ def _with_table(rate: DataFrame) -> DataFrame:
         .withColumn("cdf", step).select("source_key", "pieces", "cdf")
 
 
-def copies(id_col: str, seed: int) -> Column:
-    """Poisson count of a row joined with its source's ``pieces`` and ``cdf``."""
-    doc = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+def _name(id_col: str, text_col: str) -> Column:
+    """What a row draws by: its id, or its text if it has none."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def copies(doc: Column, seed: int) -> Column:
+    """Poisson count of the row named ``doc``, joined with its source's ``pieces`` and ``cdf``."""
 
     def one(j: Column) -> Column:
         u = (_hashed(seed, doc, j.cast("string")).cast("double") + 0.5) / F.lit(float(2**52))
@@ -97,10 +101,9 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, temperature: f
     key = "source_key"
     plain = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*plain, _source_key(source_col).alias(key)).join(spread, key)
-    doc = f"in_{docs.columns.index(id_col)}"
+    doc = _name(f"in_{docs.columns.index(id_col)}", f"in_{docs.columns.index(text_col)}")
     back = [F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)]
     out = rows.withColumn("n", copies(doc, seed)).where("n > 0") \
         .select(*back, F.explode(F.sequence(F.lit(1), F.col("n"))).alias(copy))
-    shuffled = out.withColumn(order, _hashed(seed, "order", F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
-                                             F.col(copy).cast("string")))
+    shuffled = out.withColumn(order, _hashed(seed, "order", _name(id_col, text_col), F.col(copy).cast("string")))
     return shuffled.repartition(F.col(order)).sortWithinPartitions(order)

@@ -17,12 +17,12 @@ steps(k, mean, i, p, c) AS (
 cdfs AS (SELECT k, list(c ORDER BY i) AS cdf FROM steps GROUP BY k),
 drawn AS (
   SELECT d.*, list_sum(list_transform(range(1, pieces + 1), lambda j: len(list_filter(cdf, lambda c: c <
-    (('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j)[1:13])::BIGINT::DOUBLE + 0.5)
+    (('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) || ':' || j)[1:13])::BIGINT::DOUBLE + 0.5)
     / {2**52}.0::DOUBLE)))) AS n
   FROM documents d JOIN means m ON m.k = coalesce('s' || source, 'n') JOIN cdfs USING (k)),
 copies AS (SELECT *, unnest(range(1, n::BIGINT + 1))::INT AS copy FROM drawn WHERE n > 0)
 SELECT doc_id, text, lang, source, n_chars, copy,
-       ('0x' || md5('{mixing.SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy)[1:13])::BIGINT AS shuffle_key
+       ('0x' || md5('{mixing.SEED}:order:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) || ':' || copy)[1:13])::BIGINT AS shuffle_key
 FROM copies
 """
 

@@ -30,8 +30,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_WORDS_PCT = 50
 MIN_REPEAT = 10
-MAX_COVERED = 0.50
-MAX_LONGEST = 0.35
+#: Just above every labelled good document that passes the base rules (0.182 and 0.091 of its words).
+MAX_COVERED = 0.20
+MAX_LONGEST = 0.10
 
 LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
          "n_covered_words", "longest_repeat"]

@@ -287,7 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(rows, "fingerprints")
     comp = stored(classes_with_component(rows, max_bits, max_group), "components")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(comp, "fp")
-    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored before the join: between two plain tables Spark can split a large component
+    named = stored(least.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     by_fp = stored(comp.join(named, "root").select("fp", "component_id"), "component-ids")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
