@@ -167,7 +167,7 @@ def test_result_tables_from_topic_messages(spark, scratch):
     stream.run_available(qs)
     last = tail.latest_rows(spark, f"{scratch}/tables", "sma", 2, order=("window_start", "sma_20"))
     assert [r.sma_20 for r in last.orderBy("window_start").collect()] == [2.0, 3.0]
-    table = spark.read.parquet(f"{scratch}/tables/sma")
+    table = tail.read_tables(spark, f"{scratch}/tables", ("sma",))["sma"]
     assert table.count() == 5 and {"processed_at", "batch", "arrival_part", "arrival_seq"} <= set(table.columns)
     with pytest.raises(ValueError):
         tail.latest_rows(spark, f"{scratch}/tables", "volume")

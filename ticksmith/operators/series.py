@@ -32,6 +32,7 @@ at most, whatever the look-back.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,24 +195,31 @@ def blocked(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
     couple of cores, and an explicit count is not coalesced. The window's
     distribution is then already satisfied, so no further exchange is added.
     """
-    cut, w, _ = _cut(df, keys, order, lookback, block_rows, num_partitions)
-    return cut, w
+    n = num_partitions or range_partitions(df)
+    placed = with_global_position(df, keys, order, n)
+    cut = with_halo_blocks(placed, lookback, block_size(df, lookback, block_rows)).repartition(n, BLOCK)
+    return cut, block_window(keys)
 
 
-def counted_blocks(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], lookback: int,
-                   block_rows: int | None = None, num_partitions: int | None = None) -> tuple[DataFrame, WindowSpec, int]:
-    """``blocked``, and the number of blocks (one column of the written table is counted)."""
-    cut, w, numbered = _cut(df, keys, order, lookback, block_rows, num_partitions)
-    return cut, w, -(-numbered.count() // block_size(df, lookback, block_rows))
+@dataclass
+class Blocks:
+    """A frame cut into halo blocks, and what a scan over the blocks needs."""
+    frame: DataFrame        # rows with halo copies, dealt by block
+    window: WindowSpec      # one block of one series
+    placed: DataFrame       # the rows with their global position, before cutting
+    keys: list[str]
+    rows: int               # rows of a block
+    count: int              # number of blocks
 
 
-def _cut(df: DataFrame, keys, order, lookback: int, block_rows: int | None,
-         num_partitions: int | None) -> tuple[DataFrame, WindowSpec, DataFrame]:
-    keys = _names(keys)
+def blocks(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], lookback: int,
+           block_rows: int | None = None, num_partitions: int | None = None) -> Blocks:
+    """``blocked`` with the number of blocks (the written table's rows are counted) and the uncut frame."""
     n = num_partitions or range_partitions(df)
     numbered = _numbered(df, keys, order, n)
-    cut = with_halo_blocks(_positions(numbered), lookback, block_size(df, lookback, block_rows)).repartition(n, BLOCK)
-    return cut, block_window(keys), numbered
+    placed, rows = _positions(numbered), block_size(df, lookback, block_rows)
+    cut = with_halo_blocks(placed, lookback, rows).repartition(n, BLOCK)
+    return Blocks(cut, block_window(keys), placed, _names(keys), rows, -(-numbered.count() // rows))
 
 
 def block_size(df: DataFrame, lookback: int, block_rows: int | None = None) -> int:

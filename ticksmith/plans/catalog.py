@@ -23,7 +23,7 @@ from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
 from ticksmith.sources import bars as bar_sources
 from ticksmith.sources import messages as msg_sources
-from ticksmith.streaming import batch_ema, stream, tail
+from ticksmith.streaming import batch_ema, batch_frame, ordered, stream, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,7 @@ ARRIVAL = ("seq",)
 DATE_RANGE = ("2024-01-05", "2024-01-12")
 WINDOW_RANGE = ("2024-01-10", "2024-01-11T06:00:00")
 BAR_RANGE = ("2001-07-20", "2001-07-25")
+LATE_BEFORE = "2024-01-08"
 BAND_RANGE = ("2024-01-30T22:00:00", "2024-01-30T23:55:00")
 
 
@@ -362,23 +363,79 @@ def q_stream_late_file(spark, sf_dir):
     return res.select(*_wall(["window_start", "window_end"], ["sma_20"]))
 
 
+def _arrivals(spark, lots: list[DataFrame], step, checkpoint: str) -> int:
+    """Rows of each lot land as files and are drained before the next lands; the number of batches so far."""
+    src, n, batches = scratch_path(spark, "tick-files"), stream.default_state_partitions(spark), 0
+    for i, lot in enumerate(lots):
+        lot.write.parquet(f"{src}/arrival={i}")
+        rows = spark.readStream.schema(lot.schema).option("recursiveFileLookup", True).parquet(src)
+        with stream.shuffle_partitions(spark, n):
+            q = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.run_available([q])
+        batches = max(batches, q.lastProgress["batchId"] + 1 if q.lastProgress else 0)
+    return batches
+
+
+def _emas(got: DataFrame) -> DataFrame:
+    return got.select("symbol", "ts", "seq", "price", r6("ema_12").alias("ema_12"), r6("ema_26").alias("ema_26"))
+
+
 def _stream_ema(spark, sf_dir, keys) -> DataFrame:
     """EMA 12/26 over three arrivals of ticks, each run going on from the state of the one before."""
+    root = scratch_path(spark, "stream-ema")
+    step = batch_ema.writer(root, spans=(12, 26), keys=keys, num_partitions=stream.default_state_partitions(spark))
+    _arrivals(spark, _thirds(_ticks(spark, sf_dir), "ts"), step, f"{root}/_checkpoint")
+    return _emas(batch_ema.read_output(spark, root))
+
+
+def q_stream_indicator_frame(spark, sf_dir):
+    """All row indicators over three arrivals of ticks, each going on from the state of the one before."""
+    root = scratch_path(spark, "stream-frame")
+    step = batch_frame.writer(root, num_partitions=stream.default_state_partitions(spark))
+    _arrivals(spark, _thirds(_ticks(spark, sf_dir), "ts"), step, f"{root}/_checkpoint")
+    return _rounded(batch_frame.read_output(spark, root), FRAME_COLUMNS)
+
+
+def q_stream_ema_reordered(spark, sf_dir):
+    """Ticks that arrive up to ten minutes late, in three lots by arrival: held until their turn, then folded."""
+    root = scratch_path(spark, "stream-ema")
+    ticks = _ticks(spark, sf_dir)
+    delayed = ticks.withColumn("at", F.col("ts") + F.make_dt_interval(secs=F.pmod(F.xxhash64("seq"), F.lit(600))))
+    step = batch_ema.writer(root, spans=(12, 26), num_partitions=stream.default_state_partitions(spark))
+    lots = [lot.select(*ticks.columns) for lot in _thirds(delayed, "at")]
+    done = _arrivals(spark, lots, ordered.in_order(step, root, 600), f"{root}/_checkpoint")
+    if done:
+        ordered.flush(spark, step, root, done)
+    return _emas(batch_ema.read_output(spark, root))
+
+
+def q_stream_late_rows(spark, sf_dir):
+    """Three arrivals in time order, then a file of old rows: the rows listed as late are that file's."""
+    root = scratch_path(spark, "stream-late-rows")
+    ticks = _ticks(spark, sf_dir)
+    lots = _thirds(ticks, "ts")
+    old = ticks.where((F.col("seq") % 5 == 0) & (F.col("ts") < F.lit(LATE_BEFORE).cast("timestamp")))
+    step = lambda rows, i: rows.write.mode("overwrite").parquet(f"{root}/out/batch={i}")
+    _arrivals(spark, [*lots, old], ordered.in_order(step, root, 600), f"{root}/_checkpoint")
+    return ordered.late_rows(spark, root).select("symbol", "seq", "price")
+
+
+def q_stream_duplicates(spark, sf_dir):
+    """A third of the messages is published twice; by their position each counts once."""
     _utc(spark)
-    ticks = fixtures.ticks(spark, sf_dir)
-    root, src = scratch_path(spark, "stream-ema"), scratch_path(spark, "tick-files")
-    n = stream.default_state_partitions(spark)
-    for i, lot in enumerate(_thirds(ticks, "ts")):
-        lot.write.parquet(f"{src}/arrival={i}")
-        rows = spark.readStream.schema(ticks.schema).option("recursiveFileLookup", True).parquet(src)
-        with stream.shuffle_partitions(spark, n):
-            q = (rows.writeStream.foreachBatch(batch_ema.writer(root, spans=(12, 26), keys=keys, num_partitions=n))
-                 .option("checkpointLocation", f"{root}/_checkpoint")
-                 .trigger(availableNow=True).start())
+    root, src = scratch_path(spark, "stream-once"), scratch_path(spark, "messages")
+    msgs = fixtures.messages(spark, sf_dir).select("symbol", "seq", "timestamp", "price") \
+        .withColumn("at", timefmt.to_wall_clock(timefmt.parse_event_time("timestamp")))
+    schema = msgs.drop("at").schema
+    for i, lot in enumerate(_thirds(msgs, "at")):
+        writers.publish(lot.unionByName(lot.where("seq % 3 = 0")).drop("at"), path=f"{src}/arrival={i}")
+        rows = codec.decode_frame(msg_sources.file_stream(spark, src), schema).withColumn("at", timefmt.parse_event_time("timestamp"))
+        with stream.shuffle_partitions(spark, stream.default_state_partitions(spark)):
+            q = ordered.once(rows, ["seq"], "at").writeStream.foreachBatch(
+                lambda b, i: b.write.mode("overwrite").parquet(f"{root}/out/batch={i}")) \
+                .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start()
         stream.run_available([q])
-    got = batch_ema.read_output(spark, root)
-    return got.select("symbol", "ts", "seq", "price",
-                      r6("ema_12").alias("ema_12"), r6("ema_26").alias("ema_26"))
+    return spark.read.parquet(f"{root}/out").select("symbol", "seq", "timestamp", "price")
 
 
 def q_stream_ema(spark, sf_dir):
@@ -421,6 +478,18 @@ def q_recent_rows_price(spark, sf_dir):
     return rows.select("timestamp", "date", "price", "volume", "change_percent")
 
 
+def q_recent_rows_arrival(spark, sf_dir):
+    """Nine lots of messages, each in its order, tailed one after the other with folders rewritten in between; the last 100 to arrive."""
+    _utc(spark)
+    root, src = scratch_path(spark, "tables"), scratch_path(spark, "arrivals")
+    msgs = fixtures.messages(spark, sf_dir).withColumn("at", timefmt.to_wall_clock(timefmt.parse_event_time("timestamp")))
+    for i, lot in enumerate(lot for third in _thirds(msgs, "at") for lot in _thirds(third, "at")):
+        writers.publish(lot.orderBy("timestamp", "seq").drop("seq", "symbol", "at"), path=f"{src}/arrival={i}")
+        stream.await_all(spark, tail.start_tables({"price": msg_sources.file_stream(spark, src)}, root,
+                                                  trigger={"availableNow": True}, fan=3))
+    return tail.latest_rows(spark, root, "price").select("timestamp", "date", "price", "volume", "change_percent")
+
+
 def q_job_chain(spark, sf_dir):
     """Bars to messages stamped with their date, through the stream, into the price table."""
     _utc(spark)
@@ -451,6 +520,14 @@ def q_macd_5_200_9(spark, sf_dir):
     return _rounded(ema.macd(_ticks(spark, sf_dir), fast=5, slow=200, signal=9, names=names), list(names))
 
 
+def q_sma_2000(spark, sf_dir):
+    return _rounded(rolling.sma(_ticks(spark, sf_dir), 2000), ["sma_2000"])
+
+
+def q_bollinger_2000(spark, sf_dir):
+    return _rounded(rolling.bollinger(_ticks(spark, sf_dir), 2000, 2.0), ["BB_middle", "BB_upper", "BB_lower"])
+
+
 def _gappy(spark, sf_dir) -> DataFrame:
     """Ticks whose price is NaN at every 97th event."""
     return _ticks(spark, sf_dir).withColumn(
@@ -549,6 +626,13 @@ QUERIES: dict[str, Query] = {
     "recent_rows_bb": q_recent_rows_bb,
     "job_chain": q_job_chain,
     "stream_ema_unkeyed": q_stream_ema_unkeyed,
+    "stream_indicator_frame": q_stream_indicator_frame,
+    "stream_ema_reordered": q_stream_ema_reordered,
+    "stream_late_rows": q_stream_late_rows,
+    "stream_duplicates": q_stream_duplicates,
+    "recent_rows_arrival": q_recent_rows_arrival,
+    "sma_2000": q_sma_2000,
+    "bollinger_2000": q_bollinger_2000,
     "stream_late_file": q_stream_late_file,
     "ema_200": q_ema_200,
     "macd_5_200_9": q_macd_5_200_9,

@@ -4,7 +4,7 @@
 MACD_signal, MACD_hist`` added to every row. All of them are window
 functions over the same halo blocks (series.py): one range shuffle and one
 block shuffle of the rows, whatever the number of indicators or the size of
-the largest instrument. The EMA carries add joins with one small row per
+the largest instrument. The EMA carries add one join with a small row per
 block.
 """
 
@@ -33,16 +33,23 @@ def frame_lookback() -> int:
 
 def indicator_frame(df: DataFrame, price: str = "price",
                     keys: Sequence[str] = ("symbol",),
-                    order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+                    order: Sequence[str] = ("ts", "seq"),
+                    before: dict[str, str] | None = None, skip: str | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
     """``df`` plus the eleven indicator columns, per instrument in ``order``.
 
     Rows with a NULL, NaN or infinite price are left out (the recursion
     cannot span them). The window functions are grouped by dependency into
     few projections, so each window operator is one pass over a block group.
+
+    To go on from earlier rows: ``skip`` flags rows that only fill the frames
+    (they come first in their series and are dropped), ``before`` has, per
+    recursive column, the column with its value before the first other row.
     """
     spans = [MACD_FAST, MACD_SLOW, MACD_SIGNAL]
-    b, w, blocks = series.counted_blocks(
-        series.finite(df, price).where(F.col(price).isNotNull()), keys, order, frame_lookback(), ema.block_rows_for(spans))
+    blk = series.blocks(series.finite(df, price).where(F.col(price).isNotNull()), keys, order, frame_lookback(),
+                        ema.block_rows_for(spans), num_partitions)
+    b, w = blk.frame, blk.window
     p = F.col(price)
     f_rsi, f_bb, f_slow = (series.frame(w, n) for n in (RSI_N, BB_N, SMA_SLOW))
 
@@ -52,7 +59,7 @@ def indicator_frame(df: DataFrame, price: str = "price",
         "_bb_n": F.count(p).over(f_bb), "_bb_avg": F.avg(p).over(f_bb),
         "_bb_std": F.stddev_samp(p).over(f_bb),
         "_slow_n": F.count(p).over(f_slow), "_slow_avg": F.avg(p).over(f_slow),
-    }), w)
+    }), w, skip)
     # 2: RSI frames over the differences
     d = F.col("_delta")
     gain = F.when(d > 0, d).otherwise(F.lit(0.0))
@@ -60,13 +67,13 @@ def indicator_frame(df: DataFrame, price: str = "price",
     b = b.withColumns({
         "_rsi_n": F.count(F.lit(1)).over(f_rsi),
         "_rsi_gain": F.avg(gain).over(f_rsi), "_rsi_loss": F.avg(loss).over(f_rsi)})
-    # 3: fast and slow EMA with their carries, then the signal line
-    b = ema.add_macd(b, w, blocks, price, MACD_FAST, MACD_SLOW, MACD_SIGNAL)
+    # 3: fast and slow EMA and the signal line, with one join for their carries
+    b = ema.add_macd(b, blk, price, MACD_FAST, MACD_SLOW, MACD_SIGNAL, before=before, skip=skip)
 
     full_bb = F.col("_bb_n") >= BB_N
     middle = F.when(full_bb, F.col("_bb_avg"))
     spread = F.lit(BB_K) * F.when(full_bb, F.col("_bb_std"))
-    out = b.select(
+    out = (b if skip is None else b.where(~F.col(skip))).select(
         "*",
         F.when(F.col("_rsi_n") >= RSI_N,
                rolling.rsi_from_means(F.col("_rsi_gain"), F.col("_rsi_loss"))).alias("RSI"),

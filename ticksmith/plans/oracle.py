@@ -246,6 +246,18 @@ ORACLE: dict[str, str] = {
         f"round({_full('avg', 20)} - 2 * {_full('stddev_samp', 20)}, 6) AS BB_lower")),
     "rsi_with_gaps": _gaps(_RSI.replace("{out}", "rsi")),
     "ema_with_gaps": _gaps(_ema_sql(12, "ema_12")),
+    "stream_indicator_frame": _FRAME,
+    "stream_ema_reordered": _EMA2,
+    "stream_late_rows": ("SELECT event_type AS symbol, event_id AS seq, value AS price FROM events "
+                         "WHERE event_id % 5 = 0 AND ts < TIMESTAMP '2024-01-08'"),
+    "stream_duplicates": f"SELECT symbol, seq, timestamp, price FROM ({MSGS}) m",
+    "recent_rows_arrival": (f"SELECT timestamp, date, price, volume, change_percent FROM ({MSGS}) m "
+                            "ORDER BY timestamp DESC, seq DESC LIMIT 100"),
+    "sma_2000": _rolling(f"round({_full('avg', 2000)}, 6) AS sma_2000"),
+    "bollinger_2000": _rolling(
+        f"round({_full('avg', 2000)}, 6) AS BB_middle, "
+        f"round({_full('avg', 2000)} + 2 * {_full('stddev_samp', 2000)}, 6) AS BB_upper, "
+        f"round({_full('avg', 2000)} - 2 * {_full('stddev_samp', 2000)}, 6) AS BB_lower"),
     "percent_ties": ("SELECT event_id, (event_id % 801 - 400) / 8.0 AS change, "
                      "printf('%+.2f%%', CAST((event_id % 801 - 400) / 8.0 AS DOUBLE)) AS shown FROM events"),
     "dirty_bars": _DIRTY,

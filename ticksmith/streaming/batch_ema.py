@@ -34,11 +34,11 @@ def _names(spans: Sequence[float]) -> list[str]:
     return [f"ema_{int(s)}" for s in spans]
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda c, k: c & left[k].eqNullSafe(right[f"_k_{k}"]), keys, F.lit(True))
 
 
-def _renamed(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+def renamed(state: DataFrame, keys: Sequence[str]) -> DataFrame:
     return state.withColumnsRenamed({k: f"_k_{k}" for k in keys})
 
 
@@ -57,12 +57,12 @@ def continue_ema(batch: DataFrame, state: DataFrame | None, spans: Sequence[floa
     rows = series.finite(batch, price).filter(F.col(price).isNotNull())
     prev = [f"_prev_{n}" for n in names]
     if state is not None:
-        st = _renamed(state, keys).select(
+        st = renamed(state, keys).select(
             *[f"_k_{k}" for k in keys], F.col(ts).alias("_last_ts"), F.col(seq).alias("_last_seq"),
             *[F.col(n).alias(p) for n, p in zip(names, prev)])
         if not keys:
             st = F.broadcast(st)  # one row
-        rows = rows.join(st, _same(rows, st, keys), "left")
+        rows = rows.join(st, same_keys(rows, st, keys), "left")
         after = (F.col("_last_ts").isNull() | (F.col(ts) > F.col("_last_ts"))
                  | ((F.col(ts) == F.col("_last_ts")) & (F.col(seq) > F.col("_last_seq"))))
         rows = rows.filter(after).drop("_last_ts", "_last_seq", *[f"_k_{k}" for k in keys])
@@ -70,8 +70,9 @@ def continue_ema(batch: DataFrame, state: DataFrame | None, spans: Sequence[floa
         rows = rows.select("*", *[F.lit(None).cast("double").alias(p) for p in prev])
 
     limit = min(ema.block_rows_for(spans), block_rows or series.DEFAULT_BLOCK_ROWS)
-    b, w, blocks = series.counted_blocks(rows, keys, order, 1, limit, num_partitions)
-    b = ema.add_emas(ema.add_index(b, w), w, blocks, [(price, s, n) for s, n in zip(spans, names)], dict(zip(names, prev)))
+    blk = series.blocks(rows, keys, order, 1, limit, num_partitions)
+    states = ema.States(price, list(zip(spans, names)), before=dict(zip(names, prev)))
+    b = ema.add_states(ema.add_index(blk.frame, blk.window), blk, states)
     return series.finish(b).drop(ema.J, ema.CONT, *prev)
 
 
@@ -86,15 +87,15 @@ def next_state(out: DataFrame, state: DataFrame | None, spans: Sequence[float],
     if state is None:
         return last
     old = state.select(*keys, *cols)
-    new = _renamed(last.select(*keys, F.lit(1).alias("_new")), keys)
-    return old.join(new, _same(old, new, keys), "left_anti").unionByName(last)
+    new = renamed(last.select(*keys, F.lit(1).alias("_new")), keys)
+    return old.join(new, same_keys(old, new, keys), "left_anti").unionByName(last)
 
 
-def _read_state(spark: SparkSession, path: str) -> DataFrame:
+def read_state(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        raise RuntimeError(f"the EMA state of the previous batch is missing: {path}") from e
+        raise RuntimeError(f"the state of the previous batch is missing: {path}") from e
 
 
 def writer(root: str, spans: Sequence[float] = (12, 26), keys: Sequence[str] = ("symbol",),
@@ -103,7 +104,7 @@ def writer(root: str, spans: Sequence[float] = (12, 26), keys: Sequence[str] = (
     """``foreachBatch`` function: outputs to ``<root>/out``, state to ``<root>/state``."""
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = _read_state(spark, f"{root}/state/batch={batch_id - 1}") if batch_id > 0 else None
+        state = read_state(spark, f"{root}/state/batch={batch_id - 1}") if batch_id > 0 else None
         out_path = f"{root}/out/batch={batch_id}"
         continue_ema(batch, state, spans, keys, order, price, block_rows, num_partitions).write.mode("overwrite").parquet(out_path)
         written = spark.read.parquet(out_path)
