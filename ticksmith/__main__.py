@@ -90,14 +90,16 @@ def cmd_indicators(spark, args) -> None:
 
 def cmd_snapshot(spark, args) -> None:
     from ticksmith.plans import views
-    price = spark.read.parquet(f"{args.tables}/price")
+    from ticksmith.streaming import tail
+    price = tail.latest_rows(spark, args.tables, "price", args.rows)
     views.snapshot(price, args.rows, args.start, args.end,
                    order=TABLE_ORDER["price"]).show(truncate=False)
 
 
 def cmd_export(spark, args) -> None:
     from ticksmith.plans import views
-    price = spark.read.parquet(f"{args.tables}/price")
+    from ticksmith.streaming import tail
+    price = tail.latest_rows(spark, args.tables, "price", args.rows)
     views.export_csv(price, args.output, args.rows, order=TABLE_ORDER["price"])
 
 

@@ -38,6 +38,11 @@ def day(c: str | Column) -> Column:
     return F.date_format(_c(c), "yyyy-MM-dd")
 
 
+def shown(c: str | Column) -> Column:
+    """Display time, to the second."""
+    return F.date_format(_c(c), "yyyy-MM-dd HH:mm:ss")
+
+
 def to_event_time(c: str | Column) -> Column:
     """Any stored time (NTZ, LTZ or text) -> TIMESTAMP usable by a watermark.
 

@@ -62,7 +62,7 @@ def block_rows_for(spans: Sequence[float], cap: int = series.DEFAULT_BLOCK_ROWS)
     return min([cap, *(2 * _centre(q) for q in qs)])
 
 
-def add_index(b: DataFrame, w: WindowSpec, skip: str | None = None) -> DataFrame:
+def index_columns(w: WindowSpec, skip: str | None = None) -> dict[str, Column]:
     """``_j``: 0-based index among the block's own rows of a series; ``_cont``: it goes on from the block before.
 
     Rows flagged ``skip`` come first in their series and are no part of the recursion.
@@ -70,7 +70,11 @@ def add_index(b: DataFrame, w: WindowSpec, skip: str | None = None) -> DataFrame
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = F.col(series.HALO) if skip is None else F.col(series.HALO) | F.col(skip)
     before = F.col(series.HALO) if skip is None else F.col(series.HALO) & ~F.col(skip)
-    return b.withColumns({J: F.sum(F.when(out, 0).otherwise(1)).over(running) - 1, CONT: F.max(before).over(running)})
+    return {J: F.sum(F.when(out, 0).otherwise(1)).over(running) - 1, CONT: F.max(before).over(running)}
+
+
+def add_index(b: DataFrame, w: WindowSpec, skip: str | None = None) -> DataFrame:
+    return b.withColumns(index_columns(w, skip))
 
 
 def _first(x: Column, a: float, before: Column | None) -> Column:
@@ -211,25 +215,30 @@ def _carries(maps: DataFrame, st: States, blocks: int) -> DataFrame:
         sum((F.col(f"e.p{i}{j}") * given(j) for a, j in links if a == i), F.col(f"e.s{i}")).alias(f"_c{i}") for i in ids])
 
 
-def _add_local(b: DataFrame, w: WindowSpec, st: States) -> DataFrame:
+def local_columns(w: WindowSpec, st: States) -> dict[str, Column]:
+    """The EMAs but the signal within each block; one window step, with any others on the same frame."""
     x = F.col(st.src)
-    b = b.withColumns({out: _local(x, span, w, _first(x, alpha(span), st.prior(out)), st.skip) for span, out in st.emas})
-    if st.signal:
-        span, out = st.signal
-        line, q = F.col(st.emas[0][1]) - F.col(st.emas[1][1]), 1.0 - alpha(span)
-        prior = st.prior(out)
-        # the first line value is the first signal: zero, unless the series goes on
-        first = F.lit(0.0) if prior is None else F.coalesce(F.lit(q) * prior, F.lit(0.0))
-        b = b.withColumn(out, _local(line, span, w, first, st.skip))
-    return b
+    return {out: _local(x, span, w, _first(x, alpha(span), st.prior(out)), st.skip) for span, out in st.emas}
+
+
+def _add_signal(b: DataFrame, w: WindowSpec, st: States) -> DataFrame:
+    if not st.signal:
+        return b
+    span, out = st.signal
+    line, q = F.col(st.emas[0][1]) - F.col(st.emas[1][1]), 1.0 - alpha(span)
+    prior = st.prior(out)
+    # the first line value is the first signal: zero, unless the series goes on
+    first = F.lit(0.0) if prior is None else F.coalesce(F.lit(q) * prior, F.lit(0.0))
+    return b.withColumn(out, _local(line, span, w, first, st.skip))
 
 
-def add_states(b: DataFrame, blk: series.Blocks, st: States) -> DataFrame:
+def add_states(b: DataFrame, blk: series.Blocks, st: States, has_local: bool = False) -> DataFrame:
     """The EMAs of ``st`` on a blocked frame with ``add_index``: one join for all of them.
 
-    ``b`` may have more columns than ``blk.frame``, from other window steps.
+    ``b`` may have more columns than ``blk.frame``, from other window steps,
+    ``local_columns`` (``has_local``) among them.
     """
-    b = _add_local(b, blk.window, st)
+    b = _add_signal(b if has_local else b.withColumns(local_columns(blk.window, st)), blk.window, st)
     ids = range(len(st.qs))
     both = b.join(_carries(_maps(blk, st), st, blk.count), series.BLOCK, "left")
     n = F.col(J) + 1
@@ -243,7 +252,7 @@ def macd_states(src: str, fast: float = 12, slow: float = 26, signal: float = 9,
     return States(src, [(fast, names[0]), (slow, names[1])], (signal, names[3]), **how)
 
 
-def _with_line(b: DataFrame, names: Sequence[str]) -> DataFrame:
+def with_line(b: DataFrame, names: Sequence[str]) -> DataFrame:
     e_fast, e_slow, line, sig, hist = names
     kept = [c for c in b.columns if c not in names]
     line_of, sig_of = F.col(e_fast) - F.col(e_slow), F.col(sig)
@@ -252,13 +261,14 @@ def _with_line(b: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def add_macd(b: DataFrame, blk: series.Blocks, src: str, fast: float = 12, slow: float = 26, signal: float = 9,
              names: Sequence[str] = ("EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist"), **how) -> DataFrame:
-    return _with_line(add_states(b, blk, macd_states(src, fast, slow, signal, names, **how)), names)
+    return with_line(add_states(b, blk, macd_states(src, fast, slow, signal, names, **how)), names)
 
 
 def macd_of_whole(df: DataFrame, w: WindowSpec, src: str, fast: float = 12, slow: float = 26, signal: float = 9,
                   names: Sequence[str] = ("EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist")) -> DataFrame:
     """MACD of series short enough to be one block each (``block_rows_for``); needs ``_j``, ``_cont``, ``_halo``."""
-    return _with_line(_add_local(df, w, macd_states(src, fast, slow, signal, names)), names)
+    st = macd_states(src, fast, slow, signal, names)
+    return with_line(_add_signal(df.withColumns(local_columns(w, st)), w, st), names)
 
 
 # ---------------------------------------------------------------- public API

@@ -54,21 +54,24 @@ def indicator_frame(df: DataFrame, price: str = "price",
     f_rsi, f_bb, f_slow = (series.frame(w, n) for n in (RSI_N, BB_N, SMA_SLOW))
 
     # 1: previous price, row index, band and slow-mean frames
-    b = ema.add_index(b.withColumns({
+    b = b.withColumns({
         "_delta": p - F.lag(p, 1).over(w),
         "_bb_n": F.count(p).over(f_bb), "_bb_avg": F.avg(p).over(f_bb),
         "_bb_std": F.stddev_samp(p).over(f_bb),
         "_slow_n": F.count(p).over(f_slow), "_slow_avg": F.avg(p).over(f_slow),
-    }), w, skip)
-    # 2: RSI frames over the differences
+        **ema.index_columns(w, skip),
+    })
+    # 2: RSI frames over the differences, fast and slow EMA within the block
+    st = ema.macd_states(price, MACD_FAST, MACD_SLOW, MACD_SIGNAL, before=before, skip=skip)
     d = F.col("_delta")
     gain = F.when(d > 0, d).otherwise(F.lit(0.0))
     loss = F.when(d < 0, -d).otherwise(F.lit(0.0))
     b = b.withColumns({
         "_rsi_n": F.count(F.lit(1)).over(f_rsi),
-        "_rsi_gain": F.avg(gain).over(f_rsi), "_rsi_loss": F.avg(loss).over(f_rsi)})
-    # 3: fast and slow EMA and the signal line, with one join for their carries
-    b = ema.add_macd(b, blk, price, MACD_FAST, MACD_SLOW, MACD_SIGNAL, before=before, skip=skip)
+        "_rsi_gain": F.avg(gain).over(f_rsi), "_rsi_loss": F.avg(loss).over(f_rsi),
+        **ema.local_columns(w, st)})
+    # 3: the signal line, and one join for the carries of all three
+    b = ema.with_line(ema.add_states(b, blk, st, has_local=True), ("EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist"))
 
     full_bb = F.col("_bb_n") >= BB_N
     middle = F.when(full_bb, F.col("_bb_avg"))
