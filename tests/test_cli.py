@@ -6,7 +6,7 @@ from ticksmith.__main__ import parser
 from ticksmith.plans import fixtures, normalize
 from ticksmith.sinks import writers
 from ticksmith.sources import bars
-from ticksmith.streaming import stream
+from ticksmith.streaming import stream, tail
 
 from sf_paths import SF_MID, SF_SMALL
 
@@ -41,7 +41,7 @@ def test_from_csv_to_snapshot(spark, scratch, capsys):
     assert len({s.split('"timestamp":"')[1][:19] for s in stamps}) == 84
     _run(spark, ["stream", "--input", f"{scratch}/topic", "--output", f"{scratch}/out", "--once"])
     _run(spark, ["tables", "--input", f"{scratch}/out", "--output", f"{scratch}/tables", "--once"])
-    rows = {k: spark.read.parquet(f"{scratch}/tables/{k}").count() for k in ("price", "sma", "bb")}
+    rows = {k: t.count() for k, t in tail.read_tables(spark, f"{scratch}/tables").items()}
     assert rows["price"] == 84 and rows["sma"] == rows["bb"] > 0
     _run(spark, ["snapshot", "--tables", f"{scratch}/tables"])
     assert "$128.50" in capsys.readouterr().out
@@ -60,7 +60,7 @@ def test_once_drains_every_query(spark, scratch):
     assert {k: stream.read_messages(spark, out, k).count() for k in ("price", "sma", "bb")} == {
         "price": 10000, "sma": 29795, "bb": 29795}
     _run(spark, ["tables", "--input", f"{scratch}/out", "--output", f"{scratch}/tables", "--once"])
-    assert {k: spark.read.parquet(f"{scratch}/tables/{k}").count() for k in ("price", "sma", "bb")} == {
+    assert {k: t.count() for k, t in tail.read_tables(spark, f"{scratch}/tables").items()} == {
         "price": 10000, "sma": 29795, "bb": 29795}
 
 

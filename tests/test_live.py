@@ -95,7 +95,7 @@ def test_rows_wait_for_their_turn(spark, scratch):
 
 def test_repeats_are_dropped(spark, scratch):
     rows = spark.createDataFrame([(i, i % 40) for i in range(60)], "m long, seq long") \
-        .select(F.timestamp_seconds(F.col("seq") * 10).alias("ts"), "seq")
+        .select(F.timestamp_seconds(F.col("seq") * 10 + 1000).alias("ts"), "seq")
     rows.repartition(3).write.parquet(f"{scratch}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{scratch}/in")
     with stream.shuffle_partitions(spark, 2):

@@ -18,7 +18,7 @@ import argparse
 
 from ticksmith.session import build_session, scratch_scope
 from ticksmith.sources.messages import INPUT_TOPIC
-from ticksmith.streaming.tail import TABLE_ORDER
+from ticksmith.streaming.tail import TIMED_ORDER
 
 
 def _publish(bars, args) -> None:
@@ -91,16 +91,16 @@ def cmd_indicators(spark, args) -> None:
 def cmd_snapshot(spark, args) -> None:
     from ticksmith.plans import views
     from ticksmith.streaming import tail
-    price = tail.latest_rows(spark, args.tables, "price", args.rows)
+    price = tail.latest_rows(spark, args.tables, "price", args.rows, TIMED_ORDER["price"])
     views.snapshot(price, args.rows, args.start, args.end,
-                   order=TABLE_ORDER["price"]).show(truncate=False)
+                   order=TIMED_ORDER["price"]).show(truncate=False)
 
 
 def cmd_export(spark, args) -> None:
     from ticksmith.plans import views
     from ticksmith.streaming import tail
-    price = tail.latest_rows(spark, args.tables, "price", args.rows)
-    views.export_csv(price, args.output, args.rows, order=TABLE_ORDER["price"])
+    price = tail.latest_rows(spark, args.tables, "price", args.rows, TIMED_ORDER["price"])
+    views.export_csv(price, args.output, args.rows, order=TIMED_ORDER["price"])
 
 
 def _trigger(args) -> dict:

@@ -35,6 +35,9 @@ FAN = 64
 BATCH = "batch"
 KINDS = ("price", "sma", "bb")
 TABLE_ORDER = {kind: (BATCH, ARRIVAL_PART, ARRIVAL_SEQ) for kind in KINDS}
+# Files that land together have no order of arrival among them: by the rows' own time within a micro-batch.
+TIMED_ORDER = {kind: (BATCH, time, ARRIVAL_PART, ARRIVAL_SEQ) for kind, time in
+               (("price", "timestamp"), ("sma", "window_start"), ("bb", "window_start"))}
 
 
 def _index(root: str, kind: str) -> str:
@@ -117,13 +120,13 @@ def latest_rows(spark: SparkSession, root: str, kind: str, n: int = 100,
                 order: tuple[str, ...] | None = None) -> DataFrame:
     """The last ``n`` rows of one table, oldest first; an unknown kind raises ``ValueError``.
 
-    In order of arrival (the default) only the folders that hold them are read.
+    In order of arrival (the default), or any that begins with the batch, only the folders that hold them are read.
     """
     if kind not in TABLE_ORDER:
         raise ValueError(f"unknown data type: {kind!r}")
     state = _state(spark, root, kind)
     folders, first = state["folders"], 0
-    if order is None:
+    if order is None or order[0] == BATCH:
         first, rows = len(folders), 0
         while first and rows < n:
             first -= 1
