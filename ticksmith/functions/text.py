@@ -25,6 +25,8 @@ VOLUME_SUFFIXES = [("K", 1e3), ("M", 1e6), ("B", 1e9)]
 # One letter takes padded and unpadded numbers alike.
 DATE_FORMATS = ["M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-M-d", "yyyy/M/d", "d MMM yyyy",
                 "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss"]
+# Day-first layouts, taken only where a whole source is read by one layout.
+DAY_FIRST_FORMATS = ["d/M/yyyy", "d.M.yyyy", "d-M-yyyy"]
 
 
 def _c(c: str | Column) -> Column:
@@ -94,3 +96,12 @@ def parse_market_date(c: str | Column, formats: list[str] | None = None,
     """First layout that parses wins; NULL when none does."""
     s = _c(c) if stripped else strip(c)
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in (formats or DATE_FORMATS)])
+
+
+def parse_date_as(c: str | Column, layout: str | Column, formats: list[str]) -> Column:
+    """The text read by the layout named in ``layout`` (one of ``formats``); NULL where it does not fit."""
+    out = None
+    for f in formats:
+        here = F.try_to_timestamp(_c(c), F.lit(f))
+        out = F.when(_c(layout) == f, here) if out is None else out.when(_c(layout) == f, here)
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ticksmith.functions import codec, display, text, timefmt
-from ticksmith.operators import ema, latest as L, rolling, timewin
+from ticksmith.operators import decay_ema, ema, latest as L, rolling, timewin
 from ticksmith.plans import fixtures, normalize, views
 from ticksmith.plans.indicators import FRAME_COLUMNS, indicator_frame
 from ticksmith.schema import KEYED_BAR_MESSAGE
@@ -23,7 +23,7 @@ from ticksmith.session import scratch_path
 from ticksmith.sinks import writers
 from ticksmith.sources import bars as bar_sources
 from ticksmith.sources import messages as msg_sources
-from ticksmith.streaming import batch_ema, batch_frame, ordered, stream, tail
+from ticksmith.streaming import batch_ema, batch_frame, live_snapshot, ordered, stream, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -438,6 +438,15 @@ def q_stream_duplicates(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("symbol", "seq", "timestamp", "price")
 
 
+def q_stream_snapshot(spark, sf_dir):
+    """The snapshot after three arrivals of messages, from the rows kept beside the stream."""
+    root, msgs = scratch_path(spark, "live-snapshot"), _tick_messages(spark, sf_dir)
+    at = msgs.withColumn("at", timefmt.to_wall_clock(timefmt.parse_event_time("timestamp")))
+    lots = [lot.select(*msgs.columns) for lot in _thirds(at, "at")]
+    _arrivals(spark, lots, live_snapshot.writer(root, 100, ARRIVAL), f"{root}/_checkpoint")
+    return live_snapshot.snapshot(spark, root, msgs.schema, 100, order=ARRIVAL)
+
+
 def q_stream_ema(spark, sf_dir):
     """Ticks arriving in three lots; EMA 12/26 per symbol continued from the state table."""
     return _stream_ema(spark, sf_dir, ("symbol",))
@@ -546,6 +555,21 @@ def q_ema_with_gaps(spark, sf_dir):
     return _rounded(ema.ema(_gappy(spark, sf_dir), 12), ["ema_12"])
 
 
+def q_ema_decay_gaps(spark, sf_dir):
+    """EMA 12 over ticks with gaps, the older value losing weight with every missing row."""
+    out = decay_ema.decayed_ema(_gappy(spark, sf_dir), 12)
+    return out.select("symbol", "ts", "seq", r6("ema_12").alias("ema_12"))
+
+
+def q_layout_per_feed(spark, sf_dir):
+    """CSV bars of five feeds, two of them day-first, each read by its one date layout."""
+    _utc(spark)
+    path = scratch_path(spark, "feeds-csv")
+    fixtures.bars_by_feed(fixtures.bars(spark, sf_dir)).write.partitionBy("feed").option("header", True).csv(path)
+    out = normalize.normalize_csv_bars(bar_sources.read_csv_text(spark, path), sort=False, layout_by=("feed",))
+    return out.select("feed", timefmt.to_wall_clock("date").alias("date"), "price", "open", "high", "low", "change_percent")
+
+
 def q_percent_ties(spark, sf_dir):
     """Signed percent of eighths: ties go to the even digit."""
     _utc(spark)
@@ -631,6 +655,9 @@ QUERIES: dict[str, Query] = {
     "stream_late_rows": q_stream_late_rows,
     "stream_duplicates": q_stream_duplicates,
     "recent_rows_arrival": q_recent_rows_arrival,
+    "stream_snapshot": q_stream_snapshot,
+    "ema_decay_gaps": q_ema_decay_gaps,
+    "layout_per_feed": q_layout_per_feed,
     "sma_2000": q_sma_2000,
     "bollinger_2000": q_bollinger_2000,
     "stream_late_file": q_stream_late_file,

@@ -103,6 +103,18 @@ def bars_as_csv_text(b: DataFrame) -> DataFrame:
     ).select("symbol", *[F.col(f"`{c}`") for c in CSV_COLUMNS])
 
 
+# How each bar symbol's feed writes its dates.
+DATE_STYLE = {"1-URGENT": "MM/dd/yyyy", "2-HIGH": "dd/MM/yyyy", "3-MEDIUM": "yyyy-MM-dd",
+              "4-NOT SPECIFIED": "MMM d, yyyy", "5-LOW": "d.M.yyyy"}
+
+
+def bars_by_feed(b: DataFrame) -> DataFrame:
+    """CSV cells with a ``feed`` column (the symbol), each feed with its own date layout."""
+    day = F.to_date("Date", "MM/dd/yyyy")
+    shown = F.coalesce(*[F.when(F.col("symbol") == s, F.date_format(day, f)) for s, f in DATE_STYLE.items()], F.col("Date"))
+    return bars_as_csv_text(b).withColumn("Date", shown).withColumnRenamed("symbol", "feed")
+
+
 def bars_as_history_payloads(b: DataFrame) -> DataFrame:
     """One payload document per symbol and month, JSON text in ``value``.
 

@@ -224,6 +224,15 @@ def _gaps(sql: str) -> str:
     return sql.replace("FROM events", f"FROM {_GAPPY}")
 
 
+# Recursion over every row, with the last priced row's number; a gap of g rows leaves q^g of the older weight.
+_DECAY = (f"WITH RECURSIVE s AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, "
+          f"row_number() OVER ({_W}) AS rn FROM {_GAPPY}), "
+          "r AS (SELECT symbol, ts, seq, rn, price AS e, CASE WHEN price IS NOT NULL THEN rn END AS p FROM s WHERE rn = 1 "
+          "UNION ALL SELECT s.symbol, s.ts, s.seq, s.rn, CASE WHEN s.price IS NULL THEN r.e WHEN r.e IS NULL THEN s.price "
+          f"ELSE (pow({_q(12)}, s.rn - r.p) * r.e + {_alpha(12)} * s.price) / (pow({_q(12)}, s.rn - r.p) + {_alpha(12)}) END, "
+          "CASE WHEN s.price IS NULL THEN r.p ELSE s.rn END FROM r JOIN s ON s.symbol = r.symbol AND s.rn = r.rn + 1) "
+          "SELECT symbol, ts, seq, round(e, 6) AS ema_12 FROM r")
+
 _DIRTY = (f"WITH b AS ({BARS}), t AS (SELECT *, dayofyear(date) % 20 AS k, "
           + _VOL_TEXT.format(sym="symbol", v="volume") + " AS vol_text FROM b) "
           "SELECT symbol, 'say \"' || symbol || '\", ok' AS note, date, price, "
@@ -246,6 +255,9 @@ ORACLE: dict[str, str] = {
         f"round({_full('avg', 20)} - 2 * {_full('stddev_samp', 20)}, 6) AS BB_lower")),
     "rsi_with_gaps": _gaps(_RSI.replace("{out}", "rsi")),
     "ema_with_gaps": _gaps(_ema_sql(12, "ema_12")),
+    "ema_decay_gaps": _DECAY,
+    "layout_per_feed": f"SELECT symbol AS feed, date, price, open, high, low, change_percent FROM ({BARS}) b",
+    "stream_snapshot": _snapshot(),
     "stream_indicator_frame": _FRAME,
     "stream_ema_reordered": _EMA2,
     "stream_late_rows": ("SELECT event_type AS symbol, event_id AS seq, value AS price FROM events "
