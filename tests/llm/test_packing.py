@@ -6,6 +6,7 @@ from fixtures_llm import docs, empty, rows
 from tokenizers import Tokenizer
 
 from ticksmith.llm import packing as P
+from ticksmith.llm.common import stored
 from ticksmith.llm.word_tokens import WordTokens, tokenizer_path
 
 ODD = ["á ́b é", "x<|endoftext|>y <|startoftext|> z", " a b　c", "it's don't 12345 !!??", "가 ᅡ İI ẞ", "a\x1cb\x1fc\x85d  e",
@@ -74,3 +75,31 @@ def test_documents(spark):
     n, bound = _check(P.pack_documents(docs(spark), capacity=300, shard_rows=16), rows(), 300)
     assert n <= bound * 1.2 + 2
     assert P.pack_documents(empty(spark)).count() == 0
+
+
+def _packed(spark, lengths, **how):
+    """Number of sequences; every piece placed once, without gaps and within the capacity."""
+    items = stored(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "item long, length long"), "items")
+    got = P.pack(items, 100, **how).collect()
+    assert sorted((r.item, r.length) for r in got) == list(enumerate(lengths))
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in seqs.values():
+        ends = np.cumsum([n for _, n in sorted(parts)]).tolist()
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 100
+    return len(seqs)
+
+
+def test_shards_are_dealt_until_no_deal_helps(spark):
+    rng = random.Random(4)
+    # large pieces each with one partner among small ones: shards of 8 rarely hold both
+    lengths = [n for _ in range(60) for n in (lambda x: (x, 100 - x))(rng.randint(51, 75))]
+    rng.shuffle(lengths)
+    few = _packed(spark, lengths, shard_rows=8)
+    assert few <= _packed(spark, lengths, shard_rows=8, least_gain=2.0)  # two deals only
+    assert _packed(spark, lengths, shard_rows=1000) <= few
+    # nothing fits beside anything: the second deal saves none, the first one stays
+    assert _packed(spark, [60] * 50, shard_rows=8) == 50
+    assert _packed(spark, [100] * 5 + [1], shard_rows=2) == 6
+    assert _packed(spark, [], shard_rows=2) == 0

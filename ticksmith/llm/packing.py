@@ -6,8 +6,9 @@ best-fit decreasing, then improves underfull sequences from the fullest to
 the emptiest: it moves a piece in, exchanges one for one, two for one or one
 for two, each exchange raising the sum of squared fills, until the emptiest
 sequences run empty or no exchange helps. What is left underfull in every
-shard is dealt again to fewer shards and packed together, until one shard is
-left or mixing no longer helps.
+shard is dealt anew and packed together, so that sequences of all shards come
+to meet, until one shard is left or a deal saves less than ``LEAST_GAIN`` of
+the open sequences; one that saves none leaves the packing before it.
 
 Defined results: null and blank texts are just the end token. Repeated rows
 are separate pieces with equal ids. A null id is carried. Extra columns are
@@ -35,9 +36,10 @@ END_ID = 1
 SHARD_ROWS = 8192
 #: Text bytes encoded at once by a task.
 BATCH_BYTES = 16_000_000
-#: Sequences at least this full are final after any round.
+#: Sequences at least this full are final after any deal.
 FULL = 0.98
-MAX_ROUNDS = 12
+#: Share of the open sequences that a new deal must save to be followed by another.
+LEAST_GAIN = 0.001
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -213,8 +215,12 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 
 # --- all shards -----------------------------------------------------------
 
-def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``items`` (a stored frame; lengths of 1 to ``capacity``) plus ``sequence_id`` and ``offset`` (long)."""
+def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length", shard_rows: int = SHARD_ROWS,
+         least_gain: float = LEAST_GAIN) -> DataFrame:
+    """``items`` (a stored frame; lengths of 1 to ``capacity``) plus ``sequence_id`` and ``offset`` (long).
+
+    ``least_gain``: share of the open sequences that a deal must save to be followed by another.
+    """
     cols = items.columns
     names = [StructField(c, LongType()) for c in ("sequence_id", "offset", "sequence_fill")]
     uid = F.monotonically_increasing_id()
@@ -222,43 +228,40 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
         "*", (-1 - uid).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     todo = items.where(F.col(length_col) < capacity).withColumn("uid", uid)
     schema = StructType(list(todo.schema.fields) + names)
-    result, left = whole, todo.count()
-    for r in range(MAX_ROUNDS):
-        if not left:
-            break
-        shards = -(-left // shard_rows)
 
-        def solve(t: pa.Table, r: int = r) -> pa.Table:
-            shard = t.column("shard")[0].as_py() if t.num_rows else 0
-            t = t.drop_columns(["shard"])
-            n = t.column(length_col).to_pylist()
-            seq, off, full = np.zeros((3, len(n)), np.int64)
-            for k, b in enumerate(pack_lengths(n, capacity)):
-                at = 0
-                for i in b:
-                    seq[i], off[i] = (r << 58) | (shard << 24) | k, at
-                    at += n[i]
-                full[b] = at
-            for name, a in (("sequence_id", seq), ("offset", off), ("sequence_fill", full)):
-                t = t.append_column(name, pa.array(a))
-            return t
-
-        def run(table: pa.Table) -> pa.Table:
-            return solve(table)
-
-        dealt = todo.withColumn("shard", F.pmod(F.xxhash64(F.lit(r), "uid"), F.lit(shards)))
+    def run(t: pa.Table) -> pa.Table:
+        t = t.drop_columns(["shard"])
+        n, ids = t.column(length_col).to_pylist(), t.column("uid").to_pylist()
+        seq, off, fill = np.zeros((3, len(n)), np.int64)
+        for b in pack_lengths(n, capacity):
+            at = 0
+            for i in b:
+                seq[i], off[i] = ids[b[0]], at  # a piece opens one sequence at most, so its number names it
+                at += n[i]
+            fill[b] = at
+        for name, a in (("sequence_id", seq), ("offset", off), ("sequence_fill", fill)):
+            t = t.append_column(name, pa.array(a))
+        return t
+
+    full = F.col("sequence_fill") >= int(FULL * capacity)
+    opens = F.col("offset") == 0
+    result, left, deal = whole, todo.count(), 0
+    kept: DataFrame | None = None  # the pieces of ``todo`` as packed before, in ``was`` sequences
+    was = 0
+    while left:
+        shards = -(-left // shard_rows)
+        dealt = todo.withColumn("shard", F.pmod(F.xxhash64(F.lit(deal), "uid"), F.lit(shards)))
         packed = stored(dealt.groupBy("shard").applyInArrow(run, schema), "packed")
-        full = F.col("sequence_fill") >= int(FULL * capacity)
-        last = shards == 1 or r == MAX_ROUNDS - 1
-        rest = 0 if last else packed.where(~full).count()
-        if rest > left // 2:
-            # mixing again would not fill them: no piece in them is small enough
-            last = True
-        done = packed if last else packed.where(full)
-        result = result.unionByName(done.select(*cols, "sequence_id", "offset"))
+        used, rest, rest_used = packed.agg(F.count_if(opens), F.count_if(~full), F.count_if(~full & opens)).first()
+        if kept is not None and used >= was:
+            result = result.unionByName(kept.select(*cols, "sequence_id", "offset"))
+            break
+        last = shards == 1 or (kept is not None and was - used < least_gain * was)
+        result = result.unionByName((packed if last else packed.where(full)).select(*cols, "sequence_id", "offset"))
         if last:
             break
-        todo, left = packed.where(~full).select(*cols, "uid"), rest
+        kept, was, left, deal = packed.where(~full), rest_used, rest, deal + 1
+        todo = kept.select(*cols, "uid")
     return result
 
 
