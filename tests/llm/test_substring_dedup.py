@@ -72,7 +72,7 @@ def fixture():
     return rows + [(300, None), (301, ""), (302, "z" * 9000), (303, "y" * 50 + "z" * 5000), (-4, rows[7][1])]
 
 
-@pytest.mark.parametrize("limits", [{}, {"hot_classes": 3}, {"local_hot": 2}, {"small": True}])
+@pytest.mark.parametrize("limits", [{}, {"hot_classes": 3}, {"hot_bytes": 300}, {"local_hot": 2}, {"small": True}])
 def test_dedup_matches_brute_force(spark, limits, monkeypatch):
     if limits == {"small": True}:  # every buffer overflows again and again
         for name, n in (("CHUNK", 700), ("RUN", 20), ("ARRAY_BYTES", 500), ("DEAL_RUNS", 40), ("HOLD_RUNS", 30)):

@@ -17,8 +17,8 @@ occurrences together without moving the corpus to every task:
    the first run of each class is fetched from its text, dealt by anchor,
    and the task's suffix array finds the maximal repeats among them.
 
-An anchor with more than ``HOT_CLASSES`` classes would be too much for one
-task. Its windows are hashed instead and grouped by Spark with partial
+An anchor with more than ``HOT_CLASSES`` classes, or more than ``HOT_BYTES``
+bytes in them, would be too much for one suffix array. Its windows are hashed instead and grouped by Spark with partial
 aggregation; the result is the same. Map tasks that see ``LOCAL_HOT``
 classes of one anchor send them that way at once.
 
@@ -50,6 +50,7 @@ GRAM = 24
 #: Windows of one run at most.
 RUN = 4096
 HOT_CLASSES = 20_000
+HOT_BYTES = 4_000_000
 LOCAL_HOT = 2048
 #: Runs that a map task gathers before it deals them, and that a reduce task holds of one bucket.
 DEAL_RUNS = 500_000
@@ -146,6 +147,15 @@ def _counts(firsts: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(cut), np.diff(cut))
 
 
+def _sizes(firsts: np.ndarray) -> np.ndarray:
+    """Bytes in all classes of each run's anchor (``firsts`` by anchor)."""
+    if not len(firsts):
+        return np.zeros(0, np.int64)
+    cut = np.concatenate([[0], np.flatnonzero(firsts["m"][1:] != firsts["m"][:-1]) + 1])
+    total = np.add.reduceat((firsts["n"] & ~np.uint32(SELF)).astype(np.int64), cut)
+    return np.repeat(total, np.diff(np.append(cut, len(firsts))))
+
+
 def _ends(runs: np.ndarray) -> np.ndarray:
     return runs["at"].astype(np.int64) + (runs["n"] & ~np.uint32(SELF))
 
@@ -298,8 +308,8 @@ class _Out:
 class _Bucket:
     """Runs of one bucket as they arrive; large anchors go the other way as soon as they are known."""
 
-    def __init__(self, limit: int, out: _Out) -> None:
-        self.limit, self.out = limit, out
+    def __init__(self, limit: int, most: int, out: _Out) -> None:
+        self.limit, self.most, self.out = limit, most, out
         self.held: list[np.ndarray] = []
         self.n, self.hot = 0, np.zeros(0, np.uint64)
 
@@ -316,7 +326,7 @@ class _Bucket:
         told = runs["n"] == 0
         self.hot = np.union1d(self.hot, runs["m"][told])
         firsts, others = split_classes(runs[~told])
-        self.hot = np.union1d(self.hot, firsts["m"][_counts(firsts) > self.limit])
+        self.hot = np.union1d(self.hot, firsts["m"][(_counts(firsts) > self.limit) | (_sizes(firsts) > self.most)])
         is_hot = np.isin(firsts["m"], self.hot)
         self.out.cover(others["doc"], others["at"], _ends(others))
         self.out.ask(HOT, firsts[is_hot])
@@ -328,11 +338,11 @@ class _Bucket:
             self.out.ask(RUNS, firsts[(_counts(firsts) > 1) | (firsts["n"] >= SELF)])
 
 
-def _reduce_runs(rows: DataFrame, hot: int) -> DataFrame:
+def _reduce_runs(rows: DataFrame, hot: int, most: int) -> DataFrame:
     """Covers and requests, from the runs of whole buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out()
-        at, bucket = None, _Bucket(hot, out)
+        at, bucket = None, _Bucket(hot, most, out)
         for b in batches:
             kinds = b.column(1).to_numpy()
             passed = np.flatnonzero(kinds != RUNS)
@@ -342,7 +352,7 @@ def _reduce_runs(rows: DataFrame, hot: int) -> DataFrame:
                 here = b.column(0)[i].as_py()
                 if here != at:
                     bucket.close()
-                    at, bucket = here, _Bucket(hot, out)
+                    at, bucket = here, _Bucket(hot, most, out)
                 bucket.add(_unpack(b.column(3)[i].as_py()))
                 yield from out.rows(DEAL_RUNS)
         bucket.close()
@@ -488,29 +498,29 @@ def ordered_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                   "ordered-texts")
 
 
-def _runs(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot: int) -> DataFrame:
+def _runs(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot: int, hot_bytes: int) -> DataFrame:
     """``kind, doc, data``: covers of whole runs, and the runs whose bytes are needed."""
     buckets = 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(_reduce_runs(_map_runs(texts, least, gram, buckets, local_hot), hot_classes).drop("bucket"), "runs")
+    return stored(_reduce_runs(_map_runs(texts, least, gram, buckets, local_hot), hot_classes, hot_bytes).drop("bucket"), "runs")
 
 
 def repeats(texts: DataFrame, least: int = MIN_BYTES, gram: int = GRAM, hot_classes: int = HOT_CLASSES,
-            local_hot: int = LOCAL_HOT) -> DataFrame:
+            local_hot: int = LOCAL_HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``repeat, length, doc, start, first``: the maximal repeats of ``doc, text`` with all their occurrences.
 
     Runs with equal bytes are listed as one repeat too; a repeat longer than
     a run appears as the overlapping parts that its runs hold. Occurrences
     inside a longer listed repeat are left to that one.
     """
-    settled = _runs(texts, least, gram, hot_classes, local_hot)
+    settled = _runs(texts, least, gram, hot_classes, local_hot, hot_bytes)
     found = _by_arrays(_fetch(texts, settled.where(F.col("kind") == RUNS)), least, False)
     hot = settled.where(F.col("kind") == HOT)
     return found if hot.isEmpty() else found.unionByName(_by_windows(_fetch(texts, hot), least))
 
 
-def _covers(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot: int) -> DataFrame:
+def _covers(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot: int, hot_bytes: int) -> DataFrame:
     """``doc, data, s, e``: packed spans, and begins and ends, of all that goes."""
-    settled = _runs(texts, least, gram, hot_classes, local_hot)
+    settled = _runs(texts, least, gram, hot_classes, local_hot, hot_bytes)
     whole = settled.where(F.col("kind") == COVER).select("doc", "data")
     # one fetch for both ways, whether or not some anchor is hot
     runs = stored(_fetch(texts, settled.where(F.col("kind") != COVER)), "run-bytes")
@@ -526,11 +536,12 @@ def _covers(texts: DataFrame, least: int, gram: int, hot_classes: int, local_hot
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_BYTES, gram: int = GRAM,
-          hot_classes: int = HOT_CLASSES, local_hot: int = LOCAL_HOT, with_bytes: bool = False) -> DataFrame:
+          hot_classes: int = HOT_CLASSES, local_hot: int = LOCAL_HOT, hot_bytes: int = HOT_BYTES,
+          with_bytes: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row, and the ``kept`` bytes if asked for."""
     small_batches(docs.sparkSession)
     texts = ordered_texts(docs, id_col, text_col)
-    cover = _covers(texts.select("doc", "text"), least, gram, hot_classes, local_hot)
+    cover = _covers(texts.select("doc", "text"), least, gram, hot_classes, local_hot, hot_bytes)
     schema = StructType([texts.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
                          StructField("n_spans", LongType()), StructField("kept_sha256", StringType()),
                          *([StructField("kept", BinaryType())] if with_bytes else [])])
