@@ -60,6 +60,34 @@ def test_decayed_ema_without_gaps_is_the_plain_one(spark):
     assert decay_ema.decayed_ema(df.limit(0), 12).collect() == []
 
 
+@pytest.mark.parametrize("block,fan", [(None, 512), (16, 3)])
+def test_decayed_macd_equals_pandas(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(decay_ema, "FAN", fan)
+    monkeypatch.setattr(ema, "FAN", fan)
+    rows = gappy(6)
+    out = decay_ema.decayed_macd(spark.createDataFrame(rows, TICKS), block_rows=block)
+    assert out.columns == ["symbol", "ts", "seq", "price", "EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist"]
+    got = {r.seq: r for r in out.collect()}
+    fast, slow = wanted(rows, 12), wanted(rows, 26)
+    line = [(r[0], r[1], r[2], None if math.isnan(fast[r[2]]) else fast[r[2]] - slow[r[2]]) for r in rows]
+    signal = wanted(line, 9)
+    assert got.keys() == signal.keys()
+    for _, _, k, m in line:
+        want = (fast[k], slow[k], m, signal[k], None if m is None else m - signal[k])
+        for name, y in zip(out.columns[4:], want):
+            g = got[k][name]
+            assert (g is None and (y is None or math.isnan(y))) or math.isclose(g, y, rel_tol=1e-9, abs_tol=1e-9), (name, k, g, y)
+
+
+def test_decayed_macd_without_gaps_is_the_plain_one(spark):
+    df = spark.createDataFrame([r for r in gappy() if r[3] is not None and math.isfinite(r[3])], TICKS)
+    a = {r.seq: r for r in decay_ema.decayed_macd(df, block_rows=32).collect()}
+    b = {r.seq: r for r in ema.macd(df).collect()}
+    assert a.keys() == b.keys()
+    assert all(math.isclose(a[k][c], b[k][c], rel_tol=1e-9, abs_tol=1e-9) for k in a for c in ("EMA_12", "MACD_signal", "MACD_hist"))
+    assert decay_ema.decayed_macd(df.limit(0)).collect() == []
+
+
 def cells(spark, dates):
     return spark.createDataFrame([(s, d) for s, ds in dates.items() for d in ds], "feed string, Date string")
 

@@ -1,4 +1,4 @@
-"""EMA that decays across missing prices (pandas ``ewm(span, adjust=False)`` with NaN in the column).
+"""EMA and MACD that decay across missing prices (pandas ``ewm(span, adjust=False)`` with NaN in the column).
 
 A row without a price repeats the value before it, but its time passes: after a
 gap the older value has less weight. With ``q = 1 - a`` and ``g`` the rows since
@@ -18,7 +18,12 @@ place of the last price, which may lie any number of rows back. A block hands on
 the map ``(f, x_f, Q, R, last place)``; two such maps make one again, as the gap
 between them is known, so they are composed ``FAN`` at a time, level by level,
 and joined back by block. Blocks are written once, so each window runs once, and
-the map of a block is read off its last row without an aggregate.
+the map of a block is read off its last row without an aggregate. Several spans
+share the blocks, the window steps and the join.
+
+The signal of a MACD is a plain EMA of the line, which has a value in every row
+from the first price on: it moves on through a gap. It takes the linear scan of
+``ema`` over the same blocks.
 
 Defined results: NULL, NaN and infinite prices are missing; rows before a series'
 first price are NULL; an empty table gives an empty one; a NULL key is a series.
@@ -32,7 +37,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticksmith.operators import series
+from ticksmith.operators import ema, series
 from ticksmith.operators.ema import FAN, alpha, block_rows_for
 from ticksmith.session import scratch_path
 
@@ -40,6 +45,7 @@ _CENTRE = 600.0
 _CONT, _FIRST, _X, _LAST, _PREV, _LN, _Q, _R = "_cont", "_first", "_x", "_last", "_prev", "_ln", "_q", "_r"
 _MAP = "struct<fresh:boolean,f:bigint,x:double,q:double,r:double,l:bigint>"
 _FIELDS = ("fresh", "f", "x", "q", "r", "l")
+_NONE = "_none"
 
 
 def _kept(q: float, gap: Column) -> Column:
@@ -53,8 +59,8 @@ def _ln_kept(q: float, gap: Column) -> Column:
     return gap * F.lit(math.log(q)) - F.ln(F.pow(F.lit(q), gap) + F.lit(1.0 - q))
 
 
-def _local(blk: series.Blocks, price: str, q: float) -> DataFrame:
-    """The blocked rows with ``_q, _r`` (value = ``_q`` * value at the block's first price + ``_r``)."""
+def _local(blk: series.Blocks, price: str, qs: Sequence[float]) -> DataFrame:
+    """The blocked rows with ``_q0, _r0, ..`` (value = ``_q`` * value at the block's first price + ``_r``)."""
     w = blk.window
     run, past = (w.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
     x = F.when(~F.col(series.HALO), F.col(price))
@@ -63,14 +69,19 @@ def _local(blk: series.Blocks, price: str, q: float) -> DataFrame:
         _CONT: F.max(series.HALO).over(run), _FIRST: F.first(at, True).over(run), _X: F.first(x, True).over(run),
         _LAST: F.last(at, True).over(run), _PREV: F.last(at, True).over(past)})
     gap = F.when(x.isNotNull(), F.col(series.POS) - F.col(_PREV))  # NULL: no price, or the block's first
-    if q <= 0.0:
-        again = F.col(_LAST) > F.col(_FIRST)
-        newest = F.last(x, True).over(run)
-        return b.withColumns({_Q: F.when(again, 0.0).otherwise(1.0), _R: F.when(again, newest).otherwise(0.0)}).drop(_PREV)
-    b = b.withColumn(_LN, F.sum(F.coalesce(_ln_kept(q, gap), F.lit(0.0))).over(run))
-    added = (F.lit(1.0) - _kept(q, gap)) * F.col(price) * F.exp(-F.col(_LN) - F.lit(_CENTRE))
-    total = F.sum(F.coalesce(added, F.lit(0.0))).over(run)
-    return b.withColumns({_Q: F.exp(_LN), _R: total * F.exp(F.col(_LN) + F.lit(_CENTRE))}).drop(_PREV, _LN)
+    decays = [(i, q) for i, q in enumerate(qs) if q > 0.0]
+    lns = {f"{_LN}{i}": F.sum(F.coalesce(_ln_kept(q, gap), F.lit(0.0))).over(run) for i, q in decays}
+    b = b.withColumns(lns)
+    parts = {}
+    for i, q in decays:
+        ln = F.col(f"{_LN}{i}")
+        added = (F.lit(1.0) - _kept(q, gap)) * F.col(price) * F.exp(-ln - F.lit(_CENTRE))
+        total = F.sum(F.coalesce(added, F.lit(0.0))).over(run)
+        parts |= {f"{_Q}{i}": F.exp(ln), f"{_R}{i}": total * F.exp(ln + F.lit(_CENTRE))}
+    for i in set(range(len(qs))) - {i for i, _ in decays}:  # span 1: the newest price
+        again, newest = F.col(_LAST) > F.col(_FIRST), F.last(x, True).over(run)
+        parts |= {f"{_Q}{i}": F.when(again, 0.0).otherwise(1.0), f"{_R}{i}": F.when(again, newest).otherwise(0.0)}
+    return b.withColumns(parts).drop(_PREV, *lns)
 
 
 def _struct(**of: Column) -> Column:
@@ -108,25 +119,60 @@ def _carries(maps: DataFrame, q: float, blocks: int) -> DataFrame:
     return rows.join(above, "_grp", "left").select(F.col("e.b").alias(series.BLOCK), whole.alias("m"))
 
 
+def _decayed(blk: series.Blocks, price: str, emas: Sequence[tuple[float, str]]) -> DataFrame:
+    """The blocked rows, without halo copies, with the EMA of every ``(span, out)``."""
+    spark = blk.frame.sparkSession
+    qs = [1.0 - alpha(span) for span, _ in emas]
+    path = scratch_path(spark, "decay-blocks")
+    _local(blk, price, qs).where(~F.col(series.HALO)).write.mode("overwrite").parquet(path)
+    both = spark.read.parquet(path)
+    ends = both.where(F.col(series.POS) == (F.col(series.BLOCK) + 1) * blk.rows - 1)
+    given: DataFrame | None = None
+    for i, q in enumerate(qs):
+        maps = ends.select(series.BLOCK, _struct(fresh=~F.col(_CONT), f=F.col(_FIRST), x=F.col(_X), q=F.col(f"{_Q}{i}"),
+                                                 r=F.col(f"{_R}{i}"), l=F.col(_LAST)).alias("m"))
+        one = _carries(maps, q, blk.count).select(
+            series.BLOCK, (F.col("m.q") * F.col("m.x") + F.col("m.r")).alias(f"_carry{i}"), F.col("m.l").alias(f"_place{i}"))
+        given = one if given is None else given.join(one, series.BLOCK)
+    rows = both.join(given, series.BLOCK, "left")
+    values = {}
+    for i, (q, (_, out)) in enumerate(zip(qs, emas)):
+        carry = F.when(F.col(_CONT), F.col(f"_carry{i}"))
+        p = _kept(q, F.col(_FIRST) - F.col(f"_place{i}"))
+        first = F.when(carry.isNull(), F.col(_X)).otherwise(p * carry + (F.lit(1.0) - p) * F.col(_X))
+        values[out] = F.when(F.col(_FIRST).isNull(), carry).otherwise(F.col(f"{_Q}{i}") * first + F.col(f"{_R}{i}"))
+    return rows.withColumns(values).drop(_CONT, _FIRST, _X, _LAST, *[f"{c}{i}" for i in range(len(qs))
+                                                                     for c in (_Q, _R, "_carry", "_place")])
+
+
 def decayed_ema(df: DataFrame, span: float, price: str = "price", out: str | None = None,
                 keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"),
                 block_rows: int | None = None) -> DataFrame:
     """``df`` with the EMA of ``price``; every row is kept, those without a price repeat the last value."""
     out = out or f"ema_{int(span) if float(span).is_integer() else span}"
-    q = 1.0 - alpha(span)
     limit = min(block_rows_for([span]), block_rows or series.DEFAULT_BLOCK_ROWS)
     blk = series.blocks(series.finite(df, price), keys, order, 1, limit)
-    path = scratch_path(df.sparkSession, "decay-blocks")
-    _local(blk, price, q).where(~F.col(series.HALO)).write.mode("overwrite").parquet(path)
-    rows = df.sparkSession.read.parquet(path)
-    ends = rows.where(F.col(series.POS) == (F.col(series.BLOCK) + 1) * blk.rows - 1)
-    maps = ends.select(series.BLOCK, _struct(fresh=~F.col(_CONT), f=F.col(_FIRST), x=F.col(_X), q=F.col(_Q), r=F.col(_R),
-                                             l=F.col(_LAST)).alias("m"))
-    given = _carries(maps, q, blk.count).select(
-        series.BLOCK, (F.col("m.q") * F.col("m.x") + F.col("m.r")).alias("_carry"), F.col("m.l").alias("_place"))
-    both = rows.join(given, series.BLOCK, "left")
-    carry = F.when(F.col(_CONT), F.col("_carry"))
-    p = _kept(q, F.col(_FIRST) - F.col("_place"))
-    first = F.when(carry.isNull(), F.col(_X)).otherwise(p * carry + (F.lit(1.0) - p) * F.col(_X))
-    value = F.when(F.col(_FIRST).isNull(), carry).otherwise(F.col(_Q) * first + F.col(_R))
-    return series.finish(both.withColumn(out, value).drop(_CONT, _FIRST, _X, _LAST, _Q, _R, "_carry", "_place"))
+    return series.finish(_decayed(blk, price, [(span, out)]))
+
+
+def decayed_macd(df: DataFrame, price: str = "price", fast: float = 12, slow: float = 26, signal: float = 9,
+                 keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"),
+                 names: Sequence[str] = ("EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist"),
+                 block_rows: int | None = None) -> DataFrame:
+    """``df`` with MACD of ``price``, every row kept: EMAs and line hold still in a gap, the signal moves on to the line."""
+    limit = min(block_rows_for([fast, slow, signal]), block_rows or series.DEFAULT_BLOCK_ROWS)
+    src = series.finite(df, price)
+    n = series.range_partitions(src)
+    blk = series.blocks(src, keys, order, 1, limit, n)
+    e_fast, e_slow, line, sig, hist = names
+    valued = _decayed(blk, price, [(fast, e_fast), (slow, e_slow)]).drop(series.BLOCK, series.HALO) \
+        .withColumn(line, F.col(e_fast) - F.col(e_slow)).withColumn(_NONE, F.col(line).isNull())
+    path = scratch_path(df.sparkSession, "decay-line")  # read by the blocks and by their maps
+    valued.write.mode("overwrite").parquet(path)
+    placed = df.sparkSession.read.parquet(path)
+    cut = series.with_halo_blocks(placed, 1, blk.rows).repartition(n, series.BLOCK)
+    again = series.Blocks(cut, blk.window, placed, blk.keys, blk.rows, blk.count)
+    states = ema.States(line, [(signal, sig)], skip=_NONE)
+    b = ema.add_states(ema.add_index(again.frame, again.window, _NONE), again, states)
+    b = b.withColumn(sig, F.when(~F.col(_NONE), F.col(sig)))
+    return series.finish(b.withColumn(hist, F.col(line) - F.col(sig))).drop(ema.J, ema.CONT, _NONE)

@@ -561,6 +561,12 @@ def q_ema_decay_gaps(spark, sf_dir):
     return out.select("symbol", "ts", "seq", r6("ema_12").alias("ema_12"))
 
 
+def q_macd_decay_gaps(spark, sf_dir):
+    """MACD over ticks with gaps: both EMAs decay across them, the signal goes on through them."""
+    names = ["EMA_12", "EMA_26", "MACD", "MACD_signal", "MACD_hist"]
+    return decay_ema.decayed_macd(_gappy(spark, sf_dir)).select("symbol", "ts", "seq", *[r6(c).alias(c) for c in names])
+
+
 def q_layout_per_feed(spark, sf_dir):
     """CSV bars of five feeds, two of them day-first, each read by its one date layout."""
     _utc(spark)
@@ -657,6 +663,7 @@ QUERIES: dict[str, Query] = {
     "recent_rows_arrival": q_recent_rows_arrival,
     "stream_snapshot": q_stream_snapshot,
     "ema_decay_gaps": q_ema_decay_gaps,
+    "macd_decay_gaps": q_macd_decay_gaps,
     "layout_per_feed": q_layout_per_feed,
     "sma_2000": q_sma_2000,
     "bollinger_2000": q_bollinger_2000,

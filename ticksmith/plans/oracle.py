@@ -233,6 +233,25 @@ _DECAY = (f"WITH RECURSIVE s AS (SELECT event_type AS symbol, ts, event_id AS se
           "CASE WHEN s.price IS NULL THEN r.p ELSE s.rn END FROM r JOIN s ON s.symbol = r.symbol AND s.rn = r.rn + 1) "
           "SELECT symbol, ts, seq, round(e, 6) AS ema_12 FROM r")
 
+
+
+def _decayed(span: int, e: str) -> str:
+    left = f"pow({_q(span)}, s.rn - r.p)"
+    return (f"(CASE WHEN s.price IS NULL THEN r.{e} WHEN r.{e} IS NULL THEN s.price "
+            f"ELSE ({left} * r.{e} + {_alpha(span)} * s.price) / ({left} + {_alpha(span)}) END)")
+
+
+# The signal starts with the first price (line and signal zero) and then moves on with every row.
+_DECAY_MACD = (f"WITH RECURSIVE s AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, "
+               f"row_number() OVER ({_W}) AS rn FROM {_GAPPY}), "
+               "r AS (SELECT symbol, ts, seq, rn, price AS e12, price AS e26, CASE WHEN price IS NOT NULL THEN CAST(0 AS DOUBLE) END AS sig, "
+               "CASE WHEN price IS NOT NULL THEN rn END AS p FROM s WHERE rn = 1 "
+               f"UNION ALL SELECT s.symbol, s.ts, s.seq, s.rn, {_decayed(12, 'e12')}, {_decayed(26, 'e26')}, "
+               "CASE WHEN r.sig IS NULL THEN CASE WHEN s.price IS NOT NULL THEN CAST(0 AS DOUBLE) END "
+               f"ELSE {_alpha(9)} * ({_decayed(12, 'e12')} - {_decayed(26, 'e26')}) + {_q(9)} * r.sig END, "
+               "CASE WHEN s.price IS NULL THEN r.p ELSE s.rn END FROM r JOIN s ON s.symbol = r.symbol AND s.rn = r.rn + 1) "
+               f"SELECT symbol, ts, seq, {_MACD_COLS} FROM r")
+
 _DIRTY = (f"WITH b AS ({BARS}), t AS (SELECT *, dayofyear(date) % 20 AS k, "
           + _VOL_TEXT.format(sym="symbol", v="volume") + " AS vol_text FROM b) "
           "SELECT symbol, 'say \"' || symbol || '\", ok' AS note, date, price, "
@@ -256,6 +275,7 @@ ORACLE: dict[str, str] = {
     "rsi_with_gaps": _gaps(_RSI.replace("{out}", "rsi")),
     "ema_with_gaps": _gaps(_ema_sql(12, "ema_12")),
     "ema_decay_gaps": _DECAY,
+    "macd_decay_gaps": _DECAY_MACD,
     "layout_per_feed": f"SELECT symbol AS feed, date, price, open, high, low, change_percent FROM ({BARS}) b",
     "stream_snapshot": _snapshot(),
     "stream_indicator_frame": _FRAME,
