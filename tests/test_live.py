@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ticksmith.functions import timefmt
 from ticksmith.operators import ema, rolling
 from ticksmith.plans.indicators import FRAME_COLUMNS, indicator_frame
+from ticksmith.sinks import writers
 from ticksmith.sources import messages as msg_sources
 from ticksmith.streaming import batch_frame, manifest, ordered, stream, tail
 
@@ -105,6 +106,23 @@ def test_repeats_are_dropped(spark, scratch):
     assert sorted(r.seq for r in spark.read.parquet(f"{scratch}/out").collect()) == list(range(40))
 
 
+def test_window_tables_take_a_window_once(spark, scratch):
+    def send(minutes, lot):
+        rows = spark.createDataFrame([(m, float(m)) for m in minutes], "m long, sma_20 double").select(
+            "sma_20", F.timestamp_seconds(F.col("m") * 60).alias("window_start"), F.timestamp_seconds(F.col("m") * 60 + 300).alias("window_end"))
+        writers.publish(rows, path=f"{scratch}/sma/lot={lot}")
+
+    for lot, minutes in enumerate(([1, 2, 3, 3], [2, 3, 4, 200], [4, 200, 201])):
+        send(minutes, lot)
+        for name, within in (("once", "1 hour"), ("all", None)):
+            with stream.shuffle_partitions(spark, 2):
+                qs = tail.start_tables({"sma": msg_sources.file_stream(spark, f"{scratch}/sma")}, f"{scratch}/{name}",
+                                       {"availableNow": True}, once_within=within)
+            stream.await_all(spark, qs)
+    got = {name: sorted(r.sma_20 for r in tail.latest_rows(spark, f"{scratch}/{name}", "sma").collect()) for name in ("once", "all")}
+    assert got == {"once": [1.0, 2.0, 3.0, 4.0, 200.0, 201.0], "all": [1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 4.0, 4.0, 200.0, 200.0, 201.0]}
+
+
 def test_index_bounds_what_is_read(spark, scratch):
     write = tail._table_writer(scratch, "sma", 3)
 

@@ -78,7 +78,7 @@ def cmd_tables(spark, args) -> None:
         sources = {k: messages.result_messages(spark, args.kafka, k) for k in messages.RESULT_TOPICS}
     else:
         sources = {k: messages.file_stream(spark, f"{args.input}/{k}") for k in messages.RESULT_TOPICS}
-    stream.await_all(spark, tail.start_tables(sources, args.output, _trigger(args)))
+    stream.await_all(spark, tail.start_tables(sources, args.output, _trigger(args), once_within=args.once_within))
 
 
 def cmd_indicators(spark, args) -> None:
@@ -144,6 +144,8 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--kafka-out", help="write result topics to these servers")
             s.add_argument("--quarantine", action="store_true")
             s.add_argument("--event-time", choices=["timestamp", "date"], default="timestamp")
+        else:
+            s.add_argument("--once-within", help="window tables take a window sent again within this time once, e.g. '1 hour'")
 
     s = add("indicators", cmd_indicators)
     s.add_argument("--input", required=True)

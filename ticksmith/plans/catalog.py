@@ -487,6 +487,18 @@ def q_recent_rows_price(spark, sf_dir):
     return rows.select("timestamp", "date", "price", "volume", "change_percent")
 
 
+def q_table_window_repeats(spark, sf_dir):
+    """A third of the window messages is sent again in a second arrival; the table holds every window once."""
+    out, root, src = _run_stream(spark, sf_dir), scratch_path(spark, "tables"), scratch_path(spark, "window-arrivals")
+    sent = stream.read_messages(spark, out, "sma")
+    for i, lot in enumerate((sent, sent.where(F.pmod(F.xxhash64("value"), F.lit(3)) == 0))):
+        lot.write.text(f"{src}/arrival={i}")
+        with stream.shuffle_partitions(spark, stream.default_state_partitions(spark)):
+            qs = tail.start_tables({"sma": msg_sources.file_stream(spark, src)}, root, {"availableNow": True}, once_within="1 hour")
+        stream.await_all(spark, qs)
+    return tail.read_tables(spark, root, ("sma",))["sma"].select(*_wall(["window_start", "window_end"], ["sma_20"]))
+
+
 def q_recent_rows_arrival(spark, sf_dir):
     """Nine lots of messages, each in its order, tailed one after the other with folders rewritten in between; the last 100 to arrive."""
     _utc(spark)
@@ -660,6 +672,7 @@ QUERIES: dict[str, Query] = {
     "stream_ema_reordered": q_stream_ema_reordered,
     "stream_late_rows": q_stream_late_rows,
     "stream_duplicates": q_stream_duplicates,
+    "table_window_repeats": q_table_window_repeats,
     "recent_rows_arrival": q_recent_rows_arrival,
     "stream_snapshot": q_stream_snapshot,
     "ema_decay_gaps": q_ema_decay_gaps,

@@ -283,6 +283,7 @@ ORACLE: dict[str, str] = {
     "stream_late_rows": ("SELECT event_type AS symbol, event_id AS seq, value AS price FROM events "
                          "WHERE event_id % 5 = 0 AND ts < TIMESTAMP '2024-01-08'"),
     "stream_duplicates": f"SELECT symbol, seq, timestamp, price FROM ({MSGS}) m",
+    "table_window_repeats": _sliding("sma", where=_STREAM_DONE),
     "recent_rows_arrival": (f"SELECT timestamp, date, price, volume, change_percent FROM ({MSGS}) m "
                             "ORDER BY timestamp DESC, seq DESC LIMIT 100"),
     "sma_2000": _rolling(f"round({_full('avg', 2000)}, 6) AS sma_2000"),

@@ -27,13 +27,14 @@ from ticksmith.operators import latest as L
 from ticksmith.session import delete_path
 from ticksmith.sinks.writers import with_receive_time
 from ticksmith.sources.messages import ARRIVAL_PART, ARRIVAL_SEQ, decode_results
-from ticksmith.streaming import manifest
+from ticksmith.streaming import manifest, ordered
 
 #: Folders rewritten as one.
 FAN = 64
 # Order of arrival: micro-batch, then the place the message came from.
 BATCH = "batch"
 KINDS = ("price", "sma", "bb")
+WINDOW_KINDS = ("sma", "bb")
 TABLE_ORDER = {kind: (BATCH, ARRIVAL_PART, ARRIVAL_SEQ) for kind in KINDS}
 # Files that land together have no order of arrival among them: by the rows' own time within a micro-batch.
 TIMED_ORDER = {kind: (BATCH, time, ARRIVAL_PART, ARRIVAL_SEQ) for kind, time in
@@ -86,18 +87,27 @@ def _table_writer(root: str, kind: str, fan: int):
 
 
 def start_tables(sources: dict[str, DataFrame], root: str,
-                 trigger: dict | None = None, fan: int = FAN) -> list[StreamingQuery]:
+                 trigger: dict | None = None, fan: int = FAN, once_within: str | None = None) -> list[StreamingQuery]:
     """``sources``: kind -> streaming frame with a ``value`` message column.
 
     Other columns (where the message came from) are kept in the table.
+
+    ``once_within`` (e.g. ``"1 hour"``): the writer of a result topic sends the
+    windows of a micro-batch again when it replays it, so a window table takes
+    each window once. State holds the windows of that time; a window that ends
+    further behind the newest one of the batches before counts as sent again.
+    Messages without a window count as one. Price rows, which have no name of
+    their own, are left as they come.
     """
     if fan < 2:
         raise ValueError("fan must be at least 2")
     trigger = trigger or {"processingTime": "1 second"}
     queries = []
     for kind, messages in sources.items():
-        rows = with_receive_time(decode_results(messages, kind))
-        queries.append(rows.writeStream.foreachBatch(_table_writer(root, kind, fan)).outputMode("append")
+        rows = decode_results(messages, kind)
+        if once_within and kind in WINDOW_KINDS:
+            rows = ordered.once(rows, ["window_start"], "window_end", once_within)
+        queries.append(with_receive_time(rows).writeStream.foreachBatch(_table_writer(root, kind, fan)).outputMode("append")
                        .option("checkpointLocation", f"{root}/_checkpoints/{kind}")
                        .trigger(**trigger).start())
     return queries
